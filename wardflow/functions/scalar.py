@@ -100,7 +100,7 @@ def elapsed_minutes(start, end):
 
 
 def add_minutes(ts, minutes):
-    return _col(ts) + F.make_dt_interval(mins=F.lit(0), secs=(_col(minutes) * 60).cast("decimal(18,6)"))
+    return from_micros(micros(ts) + F.floor(_col(minutes) * F.lit(6e7)).cast("long"))
 
 
 def severe_weather(precipitation):

@@ -95,3 +95,17 @@ def fill_spine(spine, values, cols, ts="ts"):
     right = values.select("hospital_id", "dept_id", ts, *cols)
     return (spine.join(right, ["hospital_id", "dept_id", ts], "left")
             .withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in cols}))
+
+
+def expected_end(df, start="arrival_ts", los="expected_los_minutes"):
+    return df.withColumn("expected_end", S.add_minutes(start, los))
+
+
+def overdue_patients(df):
+    """Arrivals whose patient has no next arrival or discharge before the expected end."""
+    rows = df.filter(F.col("event_type").isin("arrival", "discharge"))
+    rows = scans.neighbour(rows, ["hospital_id", "patient_id"], ["event_ts", "event_id"], "event_ts",
+                           "event_ts", "next_ts")
+    late = expected_end(rows.filter(F.col("event_type") == "arrival"))
+    return (late.filter(F.col("next_ts").isNull() | (F.col("next_ts") >= F.col("expected_end")))
+            .select("hospital_id", "patient_id", "dept_id", "event_id", "arrival_ts", "expected_end"))
