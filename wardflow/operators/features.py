@@ -29,8 +29,8 @@ def los_deviation(features, days=7):
 
     Works on window rows: sums and counts per window, so the frame never touches single patients.
     """
-    trailing = (W.partitionBy("hospital_id", "dept_id").orderBy("window_end")
-                .rangeBetween(F.make_dt_interval(F.lit(-days)), F.make_dt_interval(F.lit(0))))
+    trailing = (W.partitionBy("hospital_id", "dept_id").orderBy(S.micros("window_end"))
+                .rangeBetween(-days * 86_400_000_000, 0))
     weight = F.when(F.col("avg_expected_los").isNotNull(), F.col("arrival_count")).otherwise(0)
     total = F.coalesce(F.col("avg_expected_los") * F.col("arrival_count"), F.lit(0.0))
     base = features.withColumns({"_w": weight, "_s": total}).withColumn(
