@@ -32,12 +32,18 @@ def with_peak(predictions):
 
 def nested_forecasts(predictions, ts="ts"):
     """One row per hospital and time with an array of departments (bounded by the registry)."""
-    scores = [S.display_round(f"h{h}", 4) for h in C.HORIZONS]
-    dept = F.struct("dept_id", S.forecast_map(*scores).alias("forecasts"),
-                    "max_congestion", "severity_label")
-    return (with_peak(predictions).groupBy("hospital_id", F.col(ts).alias("prediction_ts"))
-            .agg(F.array_sort(F.collect_list(F.struct(F.col("dept_id").alias("k"), dept.alias("d")))).alias("r"))
-            .select("hospital_id", "prediction_ts", F.transform("r", lambda x: x["d"]).alias("departments")))
+    scores = [S.display_round(f"h{h}", 4).alias(f"h{h}") for h in C.HORIZONS]
+    dept = F.struct("dept_id", *scores, "max_congestion", "severity_label")
+    nested = (with_peak(predictions).groupBy("hospital_id", F.col(ts).alias("prediction_ts"))
+              .agg(F.array_sort(F.collect_list(dept)).alias("r")))
+
+    def document(d):
+        return F.struct(d["dept_id"].alias("dept_id"),
+                        S.forecast_map(*[d[f"h{h}"] for h in C.HORIZONS]).alias("forecasts"),
+                        d["max_congestion"].alias("max_congestion"),
+                        d["severity_label"].alias("severity_label"))
+
+    return nested.select("hospital_id", "prediction_ts", F.transform("r", document).alias("departments"))
 
 
 def training_set(dense, edges, hospital_ids=None, start=None, end=None, steps=24):

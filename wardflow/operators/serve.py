@@ -47,10 +47,13 @@ def forecast_document(hospitals, registry, scores, context, horizon="4h", reques
             .join(names, ["hospital_id", "dept_id"]).join(context, "hospital_id", "left"))
     dept = F.struct(
         "ordinal", "dept_id", "dept_name", "dept_type",
-        S.forecast_map(*[S.display_round(f"h{h}", 3) for h in C.HORIZONS]).alias("forecasts"),
+        *[S.display_round(f"h{h}", 3).alias(f"h{h}") for h in C.HORIZONS],
         S.display_round("max_congestion", 3).alias("max_congestion"), "severity_label",
         F.struct("weather_score", "flu_index", "traffic_score").alias("contributing_factors"))
     docs = rows.groupBy("hospital_id").agg(F.array_sort(F.collect_list(dept)).alias("departments"))
+    docs = docs.withColumn("departments", F.transform("departments", lambda d: d.withField(
+        "forecasts", S.forecast_map(*[d[f"h{h}"] for h in C.HORIZONS]))
+        .dropFields("ordinal", *[f"h{h}" for h in C.HORIZONS])))
     peak = F.coalesce(F.array_max(F.transform("departments", lambda d: d["max_congestion"])), F.lit(0.0))
     return (hospitals.join(docs, "hospital_id", "left")
             .withColumn("forecast_horizon", F.lit(horizon))

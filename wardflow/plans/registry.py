@@ -4,6 +4,7 @@ from functools import cached_property
 
 from pyspark.sql import functions as F
 
+from wardflow.functions import scalar as S
 from wardflow.operators import events as E
 from wardflow.operators import features, flow, forecast, graph, scans, serve, census, context
 from wardflow.plans.views import oracle
@@ -71,7 +72,6 @@ class Tables:
 
     @cached_property
     def zgrid(self):
-        from wardflow.functions import scalar as S
         return self.grid.withColumn("feature_vector", S.zscore_vector("feature_vector"))
 
     @cached_property
@@ -104,7 +104,7 @@ def query(name, sql=None, doubles=""):
     def wrap(fn):
         def run(spark, sf_dir):
             out = fn(Tables(spark, sf_dir))
-            return out.withColumns({c: F.round(F.col(c), 6) for c in doubles.split()})
+            return out.withColumns({c: S.display_round(c, 6) for c in doubles.split()})
 
         QUERIES[name] = run
         if sql is not None:

@@ -226,7 +226,7 @@ def oracle(body, doubles=""):
 
     visit(body)
     head = ", ".join(f"{v} AS ({VIEWS[v]})" for v in used)
-    cols = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in doubles.split())
+    cols = ", ".join(f"floor({c} * 1e6 + 0.5) / 1e6 AS {c}" for c in doubles.split())
     if cols:
         body = f"SELECT * REPLACE ({cols}) FROM ({body})"
     return (f"WITH {head} " if head else "") + body
