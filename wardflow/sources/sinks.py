@@ -26,11 +26,14 @@ def append_batch(df, path, batch_id):
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def upsert_batch(df, path, batch_id, ts):
-    """Store rows by day and batch."""
-    (df.withColumn("dt", F.to_date(ts)).withColumn("batch_id", F.lit(int(batch_id)).cast("long"))
+def upsert_batch(df, path, batch_id, ts=None):
+    """Store rows by batch, and by day where the key holds a time (`ts`)."""
+    parts = ["batch_id"]
+    if ts is not None:
+        df, parts = df.withColumn("dt", F.to_date(ts)), ["dt", "batch_id"]
+    (df.withColumn("batch_id", F.lit(int(batch_id)).cast("long"))
        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .partitionBy("dt", "batch_id").parquet(path))
+       .partitionBy(*parts).parquet(path))
 
 
 def read_latest(spark, path, keys, dates=None):
@@ -38,7 +41,8 @@ def read_latest(spark, path, keys, dates=None):
     df = spark.read.parquet(path)
     if dates is not None:
         df = df.filter(F.col("dt").isin(*dates))
-    return latest_per_key(df, ["dt", *keys], ["batch_id"]).drop("dt", "batch_id")
+    day = ["dt"] if "dt" in df.columns else []
+    return latest_per_key(df, [*day, *keys], ["batch_id"]).drop("dt", "batch_id")
 
 
 def compact(spark, path, target, keys, ts):
