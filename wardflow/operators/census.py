@@ -101,11 +101,11 @@ def expected_end(df, start="arrival_ts", los="expected_los_minutes"):
     return df.withColumn("expected_end", S.add_minutes(start, los))
 
 
-def overdue_patients(df):
+def overdue_patients(df, hot_rows=scans.HOT_ROWS):
     """Arrivals whose patient has no next arrival or discharge before the expected end."""
     rows = df.filter(F.col("event_type").isin("arrival", "discharge"))
     rows = scans.neighbour(rows, ["hospital_id", "patient_id"], ["event_ts", "event_id"], "event_ts",
-                           "event_ts", "next_ts")
+                           "event_ts", "next_ts", hot_rows=hot_rows)
     late = expected_end(rows.filter(F.col("event_type") == "arrival"))
     return (late.filter(F.col("next_ts").isNull() | (F.col("next_ts") >= F.col("expected_end")))
             .select("hospital_id", "patient_id", "dept_id", "event_id", "arrival_ts", "expected_end"))

@@ -8,11 +8,14 @@ from wardflow.functions import scalar as S
 from wardflow.operators import census, context, flow, scans
 
 
-def wait_minutes(events):
-    """Minutes from each arrival to the patient's next event of any kind."""
+def wait_minutes(events, hot_rows=scans.HOT_ROWS):
+    """Minutes from each arrival to the patient's next event of any kind.
+
+    Heavy patient ids (a placeholder id, for instance) are split by day.
+    """
     moves = events.select("hospital_id", "dept_id", "patient_id", "event_type", "event_ts", "event_id")
     nxt = scans.neighbour(moves, ["hospital_id", "patient_id"], ["event_ts", "event_id"],
-                          "event_ts", "event_ts", "next_ts")
+                          "event_ts", "event_ts", "next_ts", hot_rows=hot_rows)
     gap = (S.micros("next_ts") - S.micros("event_ts")) / F.lit(6e7)
     return nxt.filter(F.col("event_type") == "arrival").withColumn("wait_minutes", gap)
 
@@ -39,8 +42,12 @@ def los_deviation(features, days=7):
                             / F.col("los_baseline")).drop("_w", "_s"))
 
 
-def feature_table(events, signals, registry, length="1 hour", minutes=60):
-    """All ten features per department and window, as named columns and as one vector."""
+def feature_table(events, signals, registry, length="1 hour", minutes=60, stage=lambda df, name: df):
+    """All ten features per department and window, as named columns and as one vector.
+
+    `stage(df, name)` may write a frame that is read twice (see `session.staged`): the window rows
+    before the context is attached.
+    """
     keys = ["hospital_id", "dept_id", "window_end"]
     rows = los_deviation(flow.flow_features(events, length))
     load = census.occupancy(
@@ -48,6 +55,7 @@ def feature_table(events, signals, registry, length="1 hour", minutes=60):
     rows = (rows.join(load.select("hospital_id", "dept_id", F.col("tick").alias("window_end"),
                                   "occupancy_ratio"), keys, "left")
             .join(avg_wait(events, length), keys, "left"))
+    rows = stage(rows, "window-rows")
     rows = context.attach_context(rows, context.context_windows(signals))
     return (rows.withColumn("feature_vector", S.feature_vector())
             .select(*keys, *C.FEATURES, "feature_vector"))

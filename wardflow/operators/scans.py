@@ -1,7 +1,7 @@
 """Ordered scans that do not put a whole key into one task.
 
 A plain `sum() over (partition by key order by ts)` sends every row of a key to one task, which
-breaks when one department or hospital holds a third of all rows. Each scan here works in two
+breaks when one department or patient id holds a third of all rows. Each scan here works in two
 levels: time slots inside the key (a day or an hour), and the slots themselves.
 
 * level 1: one partial aggregate per (key, slot), combined map-side, gives the slot's summary;
@@ -9,86 +9,104 @@ levels: time slots inside the key (a day or an hour), and the slots themselves.
   not the number of rows) gives what each slot inherits from its neighbours;
 * the rows are then windowed by (key, slot), so a hot key is spread over its slots.
 
-The inherited values join on (key, slot); AQE makes that a broadcast while they are small.
+The inherited values join on (key, slot), the partitioning the rows already have after their
+window, so the join adds no exchange of rows.
+
+Series with few keys (hospital, department) are always split. For series with very many keys
+(patients) `hot_rows` splits only the keys that are heavy: a sketch (`approx_top_k`, at most 256
+keys, one pass over the key columns) names candidates, and all other keys keep a single slot and
+cost one exchange. The sketch only chooses how a key is processed, never what the result is.
 """
 
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SLOT = "_slot"
+HOT_ROWS = 1_000_000
+_TRACKED, _KEPT = 10_000, 256
+
+
+def _prepare(df, keys, ts, slot, hot_rows):
+    """Adds the slot and NULL-free copies of the keys; returns their names too."""
+    ks = [f"_k{i}" for i in range(len(keys))]
+    df = df.withColumns({k: F.coalesce(F.col(c).cast("string"), F.lit("\u0000"))
+                         for k, c in zip(ks, keys)})
+    at = F.date_trunc(slot, F.col(ts))
+    if hot_rows is None:
+        return df.withColumn(SLOT, at), ks
+    sketch = F.expr(f"approx_top_k(_h, {_KEPT}, {_TRACKED})").alias("t")
+    heavy = (df.select(F.xxhash64(*ks).alias("_h")).agg(sketch).select(F.inline("t"))
+             .filter(F.col("count") >= hot_rows)
+             .select(F.col("item").alias("_h"), F.lit(True).alias("_hot")))
+    df = df.withColumn("_h", F.xxhash64(*ks)).join(heavy, "_h", "left")
+    return df.withColumn(SLOT, F.when(F.col("_hot"), at)).drop("_h", "_hot"), ks
 
 
-def _with_slot(df, ts, slot):
-    return df.withColumn(SLOT, F.date_trunc(slot, F.col(ts)))
+def _inherit(rows, carried, ks):
+    return rows.join(carried, [*ks, SLOT], "left").drop(*ks, SLOT)
 
 
-def _inherit(rows, carried, keys):
-    """Left join on the keys and the slot; NULL keys match each other."""
-    names = [*keys, SLOT]
-    right = carried.select(*[F.col(k).alias(f"_r{i}") for i, k in enumerate(names)],
-                           *[c for c in carried.columns if c not in names])
-    cond = [F.col(k).eqNullSafe(F.col(f"_r{i}")) for i, k in enumerate(names)]
-    return rows.join(right, cond, "left").drop(*[f"_r{i}" for i in range(len(names))], SLOT)
+def _summaries(rows, ks, hot_rows, *aggs):
+    """One row per (key, slot). With every key split, no filter is added: the input plan stays the
+    same as that of the rows, and Spark reuses its exchange."""
+    rows = rows if hot_rows is None else rows.filter(F.col(SLOT).isNotNull())
+    return rows.groupBy(*ks, SLOT).agg(*aggs)
 
 
-def running_total(df, keys, ts, delta, out, slot="day"):
+def running_total(df, keys, ts, delta, out, slot="day", hot_rows=None):
     """`out` = sum of `delta` over all rows of the key up to this time (ties included)."""
-    rows = _with_slot(df, ts, slot)
-    sums = rows.groupBy(*keys, SLOT).agg(F.sum(delta).alias("_sum"))
-    before = W.partitionBy(*keys).orderBy(SLOT).rowsBetween(W.unboundedPreceding, -1)
-    carried = sums.select(*keys, SLOT, F.sum("_sum").over(before).alias("_before"))
-    inside = (W.partitionBy(*keys, SLOT).orderBy(ts)
-              .rangeBetween(W.unboundedPreceding, W.currentRow))
+    rows, ks = _prepare(df, keys, ts, slot, hot_rows)
+    before = W.partitionBy(*ks).orderBy(SLOT).rowsBetween(W.unboundedPreceding, -1)
+    carried = _summaries(rows, ks, hot_rows, F.sum(delta).alias("_sum")).select(
+        *ks, SLOT, F.sum("_sum").over(before).alias("_before"))
+    inside = W.partitionBy(*ks, SLOT).orderBy(ts).rangeBetween(W.unboundedPreceding, W.currentRow)
     rows = rows.withColumn(out, F.sum(delta).over(inside))
-    return (_inherit(rows, carried, keys)
+    return (_inherit(rows, carried, ks)
             .withColumn(out, F.col(out) + F.coalesce(F.col("_before"), F.lit(0)))
             .drop("_before"))
 
 
-def fill(df, keys, order, ts, values, slot="day", backward=False):
+def fill(df, keys, order, ts, values, slot="day", backward=False, hot_rows=None):
     """Each of `values` becomes its nearest non-null value at or before the row.
 
     With `backward=True` the search runs to later rows. `order` must be a total order in the key.
     """
-    rows = _with_slot(df, ts, slot)
+    rows, ks = _prepare(df, keys, ts, slot, hot_rows)
     by = F.struct(*order)
-    pick = F.min_by if backward else F.max_by
-    summary = rows.groupBy(*keys, SLOT).agg(
-        *[pick(F.col(v), F.when(F.col(v).isNotNull(), by)).alias(f"_s_{v}") for v in values])
-    take = F.first if backward else F.last
-    outer = W.partitionBy(*keys).orderBy(SLOT)
-    outer = (outer.rowsBetween(1, W.unboundedFollowing) if backward
-             else outer.rowsBetween(W.unboundedPreceding, -1))
+    pick, take = (F.min_by, F.first) if backward else (F.max_by, F.last)
+    outer, inner = W.partitionBy(*ks).orderBy(SLOT), W.partitionBy(*ks, SLOT).orderBy(*order)
+    if backward:
+        outer = outer.rowsBetween(1, W.unboundedFollowing)
+        inner = inner.rowsBetween(W.currentRow, W.unboundedFollowing)
+    else:
+        outer = outer.rowsBetween(W.unboundedPreceding, -1)
+        inner = inner.rowsBetween(W.unboundedPreceding, W.currentRow)
+    summary = _summaries(rows, ks, hot_rows, *[
+        pick(F.col(v), F.when(F.col(v).isNotNull(), by)).alias(f"_s_{v}") for v in values])
     carried = summary.select(
-        *keys, SLOT, *[take(f"_s_{v}", ignorenulls=True).over(outer).alias(f"_c_{v}") for v in values])
-    inner = W.partitionBy(*keys, SLOT).orderBy(*order)
-    inner = (inner.rowsBetween(W.currentRow, W.unboundedFollowing) if backward
-             else inner.rowsBetween(W.unboundedPreceding, W.currentRow))
+        *ks, SLOT, *[take(f"_s_{v}", ignorenulls=True).over(outer).alias(f"_c_{v}") for v in values])
     rows = rows.withColumns({v: take(v, ignorenulls=True).over(inner) for v in values})
-    return (_inherit(rows, carried, keys)
+    return (_inherit(rows, carried, ks)
             .withColumns({v: F.coalesce(F.col(v), F.col(f"_c_{v}")) for v in values})
             .drop(*[f"_c_{v}" for v in values]))
 
 
-def neighbour(df, keys, order, ts, value, out, ahead=True, slot="day"):
+def neighbour(df, keys, order, ts, value, out, ahead=True, slot="day", hot_rows=None):
     """`out` = `value` of the next row of the key (`ahead=False`: of the previous one)."""
-    rows = _with_slot(df, ts, slot)
-    by = F.struct(*order)
+    rows, ks = _prepare(df, keys, ts, slot, hot_rows)
     boxed = F.struct(F.col(value).alias("v"))
-    edge = F.min_by if ahead else F.max_by
-    shift = F.lead if ahead else F.lag
-    summary = rows.groupBy(*keys, SLOT).agg(edge(boxed, by).alias("_edge"))
-    carried = summary.select(
-        *keys, SLOT, shift("_edge").over(W.partitionBy(*keys).orderBy(SLOT)).alias("_next"))
-    inner = W.partitionBy(*keys, SLOT).orderBy(*order)
-    rows = rows.withColumn("_here", boxed).withColumn("_here", shift("_here").over(inner))
-    return (_inherit(rows, carried, keys)
+    edge, shift = (F.min_by, F.lead) if ahead else (F.max_by, F.lag)
+    summary = _summaries(rows, ks, hot_rows, edge(boxed, F.struct(*order)).alias("_edge"))
+    carried = summary.select(*ks, SLOT, shift("_edge").over(W.partitionBy(*ks).orderBy(SLOT)).alias("_next"))
+    here = shift("_box").over(W.partitionBy(*ks, SLOT).orderBy(*order))
+    rows = rows.withColumn("_box", boxed).withColumn("_here", here).drop("_box")
+    return (_inherit(rows, carried, ks)
             .withColumn(out, F.coalesce(F.col("_here"), F.col("_next"))["v"])
             .drop("_here", "_next"))
 
 
 def top_per_key(df, keys, order, n, spread=64):
-    """The first `n` rows of each key by `order` (a total order).
+    """The first `n` rows of each key by `order` (a total order), with their rank in `_rn`.
 
     Two ranks: first inside `spread` slices of the key by hash of the row, then over the
     survivors, at most n * spread rows per key. Spark also applies the rank limit before the

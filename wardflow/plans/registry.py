@@ -8,6 +8,7 @@ from wardflow.functions import scalar as S
 from wardflow.operators import events as E
 from wardflow.operators import features, flow, forecast, graph, scans, serve, census, context
 from wardflow.plans.views import oracle
+from wardflow.session import staged
 from wardflow.sources import feeds, topology
 
 QUERIES = {}
@@ -48,7 +49,8 @@ class Tables:
     @cached_property
     def edges(self):
         """Edges of the hospitals that appear in the feed."""
-        return serve.restrict_hospitals(topology.edges(self.spark), self.patients)
+        seen = self.patients.select("hospital_id").distinct()
+        return serve.restrict_hospitals(topology.edges(self.spark), seen)
 
     @cached_property
     def bounds(self):
@@ -64,7 +66,9 @@ class Tables:
 
     @cached_property
     def features_1h(self):
-        return features.feature_table(self.patients, self.signals, self.registry)
+        """The feature store: written once, read by everything built on it."""
+        return staged(features.feature_table(self.patients, self.signals, self.registry, stage=staged),
+                      "features")
 
     @cached_property
     def grid(self):
@@ -76,11 +80,12 @@ class Tables:
 
     @cached_property
     def occupancy(self):
-        return serve.dense_occupancy(self.patients, self.registry, *self.bounds)
+        return staged(serve.dense_occupancy(self.patients, self.registry, *self.bounds), "occupancy")
 
     @cached_property
     def weighted_edges(self):
-        return graph.edge_weights(self.edges, graph.total_transfers(self.patients))
+        """A few rows per hospital, joined several times: written once."""
+        return staged(graph.edge_weights(self.edges, graph.total_transfers(self.patients)), "edges")
 
     @cached_property
     def raw_forecasts(self):

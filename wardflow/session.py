@@ -44,6 +44,17 @@ def tuned(spark):
     return twin
 
 
+def staged(df, name):
+    """The frame written once to the shared folder and read back.
+
+    For a result that several later steps read: they scan the written table and do not repeat its
+    plan, and a lost executor costs a re-read. Contents are window-grain tables, not raw events.
+    """
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_dir(spark, name):
     """A fresh path in the shared folder named by spark.checkpoint.dir.
 
