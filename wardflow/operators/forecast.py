@@ -67,9 +67,12 @@ def training_set(dense, edges, hospital_ids=None, start=None, end=None, steps=24
         *SERIES, "ts", "features", "sequence", *[f"target_{h}h" for h in C.HORIZONS])
 
 
-def split(df, keys=("hospital_id", "dept_id", "ts"), parts=10, validation=2):
-    """Repeatable 80/20 split by key hash: the same row lands on the same side in every run."""
-    return df.withColumn("is_validation", F.pmod(F.xxhash64(*keys), F.lit(parts)) < validation)
+def split(df, keys=("hospital_id", "dept_id"), ts="ts", parts=10, validation=2):
+    """Repeatable 80/20 split by a hash of key and time: a row lands on the same side in every run
+    and in every engine that knows md5."""
+    text = F.concat_ws("|", *keys, S.micros(ts).cast("string"))
+    bucket = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % parts
+    return df.withColumn("is_validation", bucket < validation)
 
 
 def split_by_time(df, cut, ts="ts"):

@@ -121,7 +121,7 @@ def top_per_key(df, keys, order, n, spread=64):
 
 
 def latest_per_key(df, keys, order):
-    """Newest row of each key as one partial aggregate: no sort, no window."""
+    """Newest row of each key as one aggregate: map tasks send one row per key, a hot key included."""
     rest = [c for c in df.columns if c not in keys]
     newest = F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
     return df.groupBy(*keys).agg(newest).select(*keys, "_row.*")

@@ -188,7 +188,9 @@ def training_set(t):
     return unpack(out.drop("sequence"), "features", "f", 20)
 
 
-@query("split_80_20")
+@query("split_80_20", """
+SELECT hospital_id, is_validation, count(*) AS n FROM (SELECT hospital_id, CAST('0x' || substr(md5(concat_ws('|', hospital_id, dept_id,
+ CAST(epoch_us(ts) AS string))), 1, 8) AS BIGINT) % 10 < 2 AS is_validation FROM spine_1h) GROUP BY 1, 2""")
 def split_80_20(t):
     out = forecast.split(t.occupancy.select("hospital_id", "dept_id", "ts"))
     return out.groupBy("hospital_id", "is_validation").agg(F.count("*").alias("n"))

@@ -4,7 +4,7 @@ of the Spark operators. `oracle(body)` puts the views a query names in front of
 import re
 
 from wardflow import config as C
-from wardflow.sources.topology import DEPT_TYPES, EDGE_TYPES, HOSPITALS
+from wardflow.sources import topology as T
 
 
 def flow(length):
@@ -45,9 +45,9 @@ _V0 = ", ".join(f"coalesce(f.v{i}, 0.0) AS v{i}" for i in range(10))
 _Z = ", ".join(f"(v{i} - {m}) / {s} AS z{i}" for i, (m, s) in enumerate(zip(C.FEATURE_MEAN, C.FEATURE_STD)))
 
 VIEWS = {
-    "dept_types": DEPT_TYPES,
-    "hospitals": HOSPITALS,
-    "edge_types": EDGE_TYPES,
+    "dept_types": T.as_sql(T.DEPT_TYPES, T.DEPT_TYPES_COLUMNS),
+    "hospitals": T.as_sql(T.HOSPITALS, T.HOSPITALS_COLUMNS),
+    "edge_types": T.as_sql(T.EDGE_TYPES, T.EDGE_TYPES_COLUMNS),
     "patient_events": """
 SELECT CAST(e.event_id AS string) AS event_id,
  CASE e.event_type WHEN 'signup' THEN 'arrival' WHEN 'purchase' THEN 'discharge' ELSE 'transfer' END AS event_type,

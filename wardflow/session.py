@@ -16,6 +16,9 @@ SETTINGS = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
+# Fixed when the session starts: no Python call sites are recorded while plans are built.
+START_ONLY = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 _own_dir = None
 
 
@@ -24,7 +27,7 @@ def build_session(app="wardflow", master=None, **conf):
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **conf}.items():
+    for key, value in {**SETTINGS, **START_ONLY, **conf}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
