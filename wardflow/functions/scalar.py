@@ -148,5 +148,11 @@ def vector_or_zeros(vec, width=len(C.FEATURES)):
     return F.when(F.size(_col(vec)) == width, _col(vec)).otherwise(zeros)
 
 
+def json_text(*cols):
+    """The columns as one JSON text, times with all six digits; NULL columns are left out."""
+    pattern = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    return F.to_json(F.struct(*cols), {"timestampFormat": pattern, "timestampNTZFormat": pattern})
+
+
 def add_all(cols):
     return reduce(lambda a, b: a + b, cols)

@@ -63,7 +63,7 @@ def dead_letter_split(df, rules, topic, key="hospital_id"):
     """(valid rows, reject rows). Both sides are filters over the same narrow plan."""
     checked = validate(df, rules)
     ok = checked.filter(F.size("errors") == 0).drop("errors")
-    payload = F.to_json(F.struct(*df.columns))
+    payload = S.json_text(*df.columns)
     dead = checked.filter(F.size("errors") > 0).select(
         F.lit(topic).alias("original_topic"), F.col(key).alias("key"), payload.alias("value"),
         F.concat_ws("; ", "errors").alias("error"), "event_id", "event_type", "errors")

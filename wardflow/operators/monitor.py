@@ -37,28 +37,31 @@ def _bin_counts(x, name, bins):
     return out
 
 
-def _psi(bins, eps):
-    def frac(name, n, i):
-        f = F.col(f"_{name}{i}") / (F.col(n) + F.lit(eps))
-        return F.when(f == 0, F.lit(eps)).otherwise(f)
-
-    terms = []
-    for i in range(bins):
-        e, a = frac("e", "_ne", i), frac("a", "_na", i)
-        terms.append((a - e) * F.log(a / e))
-    return S.add_all(terms)
-
-
 def _psi_aggs(predicted, actual, bins):
     p, a = F.col(predicted), F.col(actual)
     return [*_bin_counts(p, "e", bins), *_bin_counts(a, "a", bins),
             F.count(p).alias("_ne"), F.count(a).alias("_na")]
 
 
+def _fold_bins(counts, keys, cfg, keep=()):
+    """The bins as rows, summed per key again: the frame is already partitioned by key, so this
+    costs no exchange, and the index comes out as a plain column instead of a huge expression."""
+    bins = F.array(*[F.struct(F.col(f"_e{i}").alias("_e"), F.col(f"_a{i}").alias("_a"))
+                     for i in range(cfg.bins)])
+
+    def frac(n_bin, n):
+        return F.when(F.col(n_bin) == 0, F.lit(cfg.epsilon)).otherwise(
+            F.col(n_bin) / (F.col(n) + F.lit(cfg.epsilon)))
+
+    rows = (counts.select(*keys, *keep, "_ne", "_na", F.inline(bins))
+            .withColumns({"_fe": frac("_e", "_ne"), "_fa": frac("_a", "_na")}))
+    term = (F.col("_fa") - F.col("_fe")) * F.log(F.col("_fa") / F.col("_fe"))
+    return rows.groupBy(*keys).agg(F.sum(term).alias("psi"), *[F.max(c).alias(c) for c in keep])
+
+
 def psi(pairs, keys, predicted="predicted", actual="actual", cfg=C.DriftConfig()):
-    """Population stability index per group: one aggregate of conditional counts."""
-    agg = pairs.groupBy(*keys).agg(*_psi_aggs(predicted, actual, cfg.bins))
-    return agg.select(*keys, _psi(cfg.bins, cfg.epsilon).alias("psi"))
+    """Population stability index per group from one aggregate of conditional counts."""
+    return _fold_bins(pairs.groupBy(*keys).agg(*_psi_aggs(predicted, actual, cfg.bins)), keys, cfg)
 
 
 def mae_column(predicted="predicted", actual="actual"):
@@ -91,12 +94,12 @@ def recent(pairs, keys, order, n=C.DriftConfig.keep_records):
 def drift_status(pairs, keys, order, cfg=C.DriftConfig()):
     """Drift report per series over its newest records."""
     last = recent(pairs, keys, order, cfg.keep_records)
-    agg = last.groupBy(*keys).agg(F.count("*").alias("records_checked"), mae_column().alias("_mae"),
-                                  *_psi_aggs("predicted", "actual", cfg.bins))
-    ratio = F.col("_mae") / F.lit(max(cfg.baseline_mae, 1e-8))
-    rows = agg.withColumns({"_psi": _psi(cfg.bins, cfg.epsilon), "_ratio": ratio})
+    counts = last.groupBy(*keys).agg(F.count("*").alias("records_checked"), mae_column().alias("mae"),
+                                     *_psi_aggs("predicted", "actual", cfg.bins))
+    rows = _fold_bins(counts, keys, cfg, ["records_checked", "mae"])
+    ratio = F.col("mae") / F.lit(max(cfg.baseline_mae, 1e-8))
     few = F.col("records_checked") < cfg.min_records
-    drift = (F.col("_psi") > cfg.psi_limit) | (F.col("_ratio") > cfg.mae_factor)
+    drift = (F.col("psi") > cfg.psi_limit) | (ratio > cfg.mae_factor)
 
     def known(c):
         return F.when(~few, c)
@@ -104,9 +107,9 @@ def drift_status(pairs, keys, order, cfg=C.DriftConfig()):
     return rows.select(
         *keys,
         F.when(few, "insufficient_data").when(drift, "drift_detected").otherwise("stable").alias("status"),
-        known(S.display_round("_psi", 4)).alias("psi"),
-        known(S.display_round("_mae", 4)).alias("rolling_mae"),
-        known(S.display_round("_ratio", 2)).alias("mae_ratio"), "records_checked")
+        known(S.display_round("psi", 4)).alias("psi"),
+        known(S.display_round("mae", 4)).alias("rolling_mae"),
+        known(S.display_round(ratio, 2)).alias("mae_ratio"), "records_checked")
 
 
 def alert_rows(pairs, threshold=C.RED_FROM):

@@ -3,15 +3,12 @@
 from pyspark.sql import functions as F
 
 from wardflow import config as C
+from wardflow.functions import scalar as S
 from wardflow.operators import events as E
 
-_MICROS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
-           "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
-
-
 def encode(df, key="hospital_id"):
     """`value` holds every column as JSON; NULL columns are left out."""
-    return df.select(F.col(key).alias("key"), F.to_json(F.struct("*"), _MICROS).alias("value"))
+    return df.select(F.col(key).alias("key"), S.json_text("*").alias("value"))
 
 
 def decode(df, schema):
