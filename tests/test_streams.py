@@ -127,6 +127,11 @@ def test_census_and_overdue_over_batches(job, tables):
     _, late = job.files(state.overdue_stream(job.patients), "late")
     want = census.overdue_patients(tables.patients)
     same(late.filter("hospital_id <> 'H0'").select(*want.columns), want)
+    for name, hot_rows in (("cold", 10 ** 6), ("hot", 1)):
+        body = state.overdue_body(job.spark, job.path(name + "-held"), job.path(name), hot_rows=hot_rows)
+        jobs.finish(jobs.start(job.patients, body, job.path(name + "-ckpt"), "append", trigger=NOW))
+        got = codec.without_zone(job.spark.read.parquet(job.path(name)))
+        same(got.filter("hospital_id <> 'H0'").select(*want.columns), want)
 
 
 def test_drift_over_batches_equals_one_check(job, tables):

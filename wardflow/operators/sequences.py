@@ -38,15 +38,15 @@ def history_attention(df, width=10, out="attended"):
     query = F.element_at(seq, -1)
     scores = F.transform(seq, lambda x: _dot(x, query, width) / math.sqrt(width))
     df = df.withColumn("_scores", scores).withColumn("_peak", F.array_max("_scores"))
-    df = df.withColumn("_e", F.transform("_scores", lambda s: F.exp(s - F.col("_peak"))))
-    df = df.withColumn("_z", F.aggregate("_e", F.lit(0.0), lambda acc, x: acc + x))
+    parts = F.zip_with("_scores", seq, lambda s, x: F.struct(F.exp(s - F.col("_peak")).alias("e"), x.alias("x")))
 
-    def weighted(i):
-        pairs = F.zip_with("_e", seq, lambda e, x: e * x[i])
-        return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x) / F.col("_z")
+    def add(acc, p):
+        return F.array(acc[0] + p["e"], *[acc[i + 1] + p["e"] * p["x"][i] for i in range(width)])
 
-    return (df.withColumn(out, F.array(*[weighted(i) for i in range(width)]))
-            .drop("_scores", "_peak", "_e", "_z"))
+    total = F.aggregate(parts, F.array(*[F.lit(0.0)] * (width + 1)), add)
+    df = df.withColumn("_total", total)
+    return (df.withColumn(out, F.array(*[F.col("_total")[i + 1] / F.col("_total")[0] for i in range(width)]))
+            .drop("_scores", "_peak", "_total"))
 
 
 def temporal_state(df, k=0.3, width=10, out="state"):

@@ -221,7 +221,9 @@ SELECT hospital_id, patient_id, dept_id, event_id, arrival_ts, expected_end FROM
  FROM pe WHERE event_type <> 'transfer') WHERE event_type = 'arrival' AND (next_ts IS NULL OR next_ts >= expected_end)""")
 def stream_overdue_patients(t):
     live = Live(t, closing=True)
-    return live.to_files(state.overdue_stream(live.patients))
+    out = live.dir("overdue")
+    live.run(live.patients, state.overdue_body(live.spark, live.dir("held"), out), mode="append")
+    return live.read(out).drop("batch_id")
 
 
 @query("stream_drift", f"SELECT * FROM ({DRIFT}) WHERE status = 'drift_detected'", "psi rolling_mae mae_ratio")

@@ -1,11 +1,18 @@
-"""Stateful streams: live census and overdue patients."""
+"""Stateful streams: live census and overdue patients.
+
+Overdue patients come in two forms. `overdue_stream` reacts through event-time timers, one state
+row per patient; it reads all new rows of a patient together, so it wants a bounded intake.
+`overdue_body` runs per micro-batch on DataFrame operators only and splits heavy patient ids, so
+it also takes a backfill in which one placeholder id holds a third of the rows.
+"""
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from wardflow.functions import scalar as S
-from wardflow.operators import census
+from wardflow.operators import census, scans
+from wardflow.sources import sinks
 from wardflow.streaming.windows import watermarked
 
 
@@ -27,6 +34,8 @@ OVERDUE_SCHEMA = ("hospital_id string, patient_id string, dept_id string, event_
 class OverdueProcessor(StatefulProcessor):
     """Keeps one open stay per patient and reports it once its expected end has passed.
 
+    The new rows of one patient are sorted in memory: their number is bounded by the intake cap.
+
     Small Python helper per patient: the grouping, the shuffle, the state store and the timers are
     Spark's. State is one row per patient with an open stay.
     """
@@ -84,3 +93,35 @@ def overdue_stream(events, ts="event_ts"):
     return late.select("hospital_id", "patient_id", "dept_id", "event_id",
                        F.timestamp_micros("arrival_us").alias("arrival_ts"),
                        F.timestamp_micros("expected_us").alias("expected_end"))
+
+
+_STAY = ["hospital_id", "patient_id", "dept_id", "event_id", "event_type", "event_ts", "arrival_ts",
+         "expected_end"]
+
+
+def overdue_body(spark, held, out, delay_minutes=10, hot_rows=scans.HOT_ROWS):
+    """A foreachBatch body with the same result: open stays are carried from batch to batch.
+
+    A stay is reported when the patient's next arrival or discharge comes after its expected end,
+    or when event time minus the delay has passed it. What is still open goes to one folder per
+    batch, so a replay starts from the same state.
+    """
+    def body(df, batch_id):
+        moves = df.filter(F.col("event_type").isin("arrival", "discharge"))
+        rows = census.expected_end(moves).select(*_STAY)
+        if batch_id > 0:
+            rows = rows.unionByName(spark.read.parquet(f"{held}/open/batch={batch_id - 1}"))
+        near = scans.neighbour(rows, ["hospital_id", "patient_id"], ["event_ts", "event_id"],
+                               "event_ts", "event_ts", "next_ts", hot_rows=hot_rows)
+        path = f"{held}/stays/batch={batch_id}"
+        near.write.mode("overwrite").parquet(path)
+        near = spark.read.parquet(path)
+        now = near.agg((F.max("event_ts") - F.make_dt_interval(mins=F.lit(delay_minutes))).alias("now")).scalar()
+        stays = near.filter(F.col("event_type") == "arrival").withColumn("_now", now)
+        nothing = F.col("next_ts").isNull()
+        passed = F.coalesce("next_ts", "_now") >= F.col("expected_end")
+        sinks.append_batch(stays.filter(passed).select(
+            "hospital_id", "patient_id", "dept_id", "event_id", "arrival_ts", "expected_end"), out, batch_id)
+        stays.filter(nothing & ~passed).select(*_STAY).write.mode("overwrite").parquet(
+            f"{held}/open/batch={batch_id}")
+    return body
