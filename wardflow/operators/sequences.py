@@ -29,24 +29,31 @@ def _dot(a, b, width):
     return total
 
 
+def _bind(value, body):
+    """`body(value)` with the value computed once per row, also where a lambda uses it many times."""
+    return F.transform(F.array(value), body)[0]
+
+
 def history_attention(df, width=10, out="attended"):
     """The last step attends to all steps: softmax(q . k / sqrt(d)), weighted sum.
 
     Everything happens inside the row's own array: no self join.
     """
     seq = F.col("sequence")
-    query = F.element_at(seq, -1)
-    scores = F.transform(seq, lambda x: _dot(x, query, width) / math.sqrt(width))
-    df = df.withColumn("_scores", scores).withColumn("_peak", F.array_max("_scores"))
-    parts = F.zip_with("_scores", seq, lambda s, x: F.struct(F.exp(s - F.col("_peak")).alias("e"), x.alias("x")))
 
     def add(acc, p):
         return F.array(acc[0] + p["e"], *[acc[i + 1] + p["e"] * p["x"][i] for i in range(width)])
 
-    total = F.aggregate(parts, F.array(*[F.lit(0.0)] * (width + 1)), add)
+    def totals(scores, peak):
+        parts = F.zip_with(scores, seq, lambda s, x: F.struct(F.exp(s - peak).alias("e"), x.alias("x")))
+        return F.aggregate(parts, F.array(*[F.lit(0.0)] * (width + 1)), add)
+
+    scores = _bind(F.element_at(seq, -1),
+                   lambda q: F.transform(seq, lambda x: _dot(x, q, width) / math.sqrt(width)))
+    total = _bind(scores, lambda s: _bind(F.array_max(s), lambda peak: totals(s, peak)))
     df = df.withColumn("_total", total)
     return (df.withColumn(out, F.array(*[F.col("_total")[i + 1] / F.col("_total")[0] for i in range(width)]))
-            .drop("_scores", "_peak", "_total"))
+            .drop("_total"))
 
 
 def temporal_state(df, k=0.3, width=10, out="state"):

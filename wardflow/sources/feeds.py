@@ -1,18 +1,15 @@
 """Hospital feeds derived from an `events` table (event_id, ts, user_id, event_type, value, props)."""
 
-from pyspark.sql import functions as F
-
 # Department suffixes by node index.
 SUFFIXES = ("TRIAGE", "RESUS", "FASTTRACK", "OBS", "RADIOLOGY", "BOARDING", "DISCHARGE")
 
 
-def _hospital():
-    return F.concat(F.lit("H"), (F.col("user_id") % 6 + 1).cast("string"))
+_HOSPITAL = "concat('H', cast(user_id % 6 + 1 AS string))"
+_SUFFIX_ARRAY = "array(" + ", ".join(f"'{s}'" for s in SUFFIXES) + ")"
 
 
 def _dept(index):
-    suffix = F.array(*[F.lit(s) for s in SUFFIXES])
-    return F.concat_ws("_", _hospital(), F.get(suffix, index.cast("int")))
+    return f"concat_ws('_', {_HOSPITAL}, get({_SUFFIX_ARRAY}, cast({index} AS int)))"
 
 
 def read_events(spark, sf_dir):
@@ -26,74 +23,60 @@ def stream_events(spark, sf_dir, schema, **options):
 
 def patient_events(events):
     """Arrivals, discharges and transfers in the wide patient schema."""
-    kind = F.col("event_type")
-    uid, eid = F.col("user_id"), F.col("event_id")
-    here = _dept(uid % 7)
-    there = _dept((uid + eid % 6 + 1) % 7)
-    rows = events.filter(kind.isin("signup", "purchase", "click"))
-    return rows.select(
-        eid.cast("string").alias("event_id"),
-        F.when(kind == "signup", "arrival").when(kind == "purchase", "discharge")
-         .otherwise("transfer").alias("event_type"),
-        _hospital().alias("hospital_id"),
-        F.when(kind != "click", here).alias("dept_id"),
-        uid.cast("string").alias("patient_id"),
-        F.when(kind != "purchase", (eid % 5 + 1).cast("int")).alias("acuity"),
-        F.when(kind == "signup", F.col("ts")).alias("arrival_ts"),
-        F.when(kind == "purchase", F.col("ts")).alias("discharge_ts"),
-        F.when(kind == "click", F.col("ts")).alias("transfer_ts"),
-        F.when(kind == "click", here).alias("source_dept_id"),
-        F.when(kind == "click", there).alias("target_dept_id"),
-        F.when(kind == "signup", F.col("value") + 1).alias("expected_los_minutes"),
-        F.when(kind == "purchase", F.col("value") + 1).alias("actual_los_minutes"),
-    )
+    here, there = _dept("user_id % 7"), _dept("(user_id + event_id % 6 + 1) % 7")
+
+    def only(kind, value):
+        return f"CASE WHEN event_type = '{kind}' THEN {value} END"
+
+    return events.filter("event_type IN ('signup', 'purchase', 'click')").selectExpr(
+        "cast(event_id AS string) AS event_id",
+        "CASE event_type WHEN 'signup' THEN 'arrival' WHEN 'purchase' THEN 'discharge' "
+        "ELSE 'transfer' END AS event_type",
+        f"{_HOSPITAL} AS hospital_id",
+        f"CASE WHEN event_type <> 'click' THEN {here} END AS dept_id",
+        "cast(user_id AS string) AS patient_id",
+        "CASE WHEN event_type <> 'purchase' THEN cast(event_id % 5 + 1 AS int) END AS acuity",
+        only("signup", "ts") + " AS arrival_ts",
+        only("purchase", "ts") + " AS discharge_ts",
+        only("click", "ts") + " AS transfer_ts",
+        only("click", here) + " AS source_dept_id",
+        only("click", there) + " AS target_dept_id",
+        only("signup", "value + 1") + " AS expected_los_minutes",
+        only("purchase", "value + 1") + " AS actual_los_minutes")
 
 
 def context_events(events):
     """Weather, flu and traffic readings in one wide shape."""
-    kind, eid, v = F.col("event_type"), F.col("event_id"), F.col("value")
-    rain = v / 20
-    weather, flu = kind == "error", (kind == "view") & (eid % 10 == 0)
-    road = (kind == "view") & (eid % 10 != 0)
-    boost = F.when(rain > 10, 0.3).otherwise(0.0)
-    rows = events.filter(kind.isin("error", "view"))
-    return rows.select(
-        eid.cast("string").alias("event_id"),
-        F.when(weather, "weather").when(flu, "flu_index").otherwise("traffic").alias("event_type"),
-        _hospital().alias("hospital_id"),
-        F.col("ts").alias("event_ts"),
-        F.when(weather, rain).alias("precipitation"),
-        F.when(weather, rain > 10).alias("is_severe"),
-        F.when(weather, F.least(F.lit(1.0), v / 300 + boost)).alias("weather_score"),
-        F.when(flu, v % 10).alias("flu_index"),
-        F.when(road, v % 100 / 100).alias("congestion_score"),
-    )
+    weather, flu = "event_type = 'error'", "event_type = 'view' AND event_id % 10 = 0"
+    road, rain = "event_type = 'view' AND event_id % 10 <> 0", "value / 20"
+    boost = f"CASE WHEN {rain} > 10 THEN 0.3D ELSE 0.0D END"
+    return events.filter("event_type IN ('error', 'view')").selectExpr(
+        "cast(event_id AS string) AS event_id",
+        f"CASE WHEN {weather} THEN 'weather' WHEN {flu} THEN 'flu_index' ELSE 'traffic' END AS event_type",
+        f"{_HOSPITAL} AS hospital_id", "ts AS event_ts",
+        f"CASE WHEN {weather} THEN {rain} END AS precipitation",
+        f"CASE WHEN {weather} THEN {rain} > 10 END AS is_severe",
+        f"CASE WHEN {weather} THEN least(1.0D, value / 300 + {boost}) END AS weather_score",
+        f"CASE WHEN {flu} THEN value % 10 END AS flu_index",
+        f"CASE WHEN {road} THEN value % 100 / 100 END AS congestion_score")
 
 
 def prediction_pairs(events):
-    return events.select(
-        "event_id", _hospital().alias("hospital_id"), "ts",
-        ((F.col("event_id") % 97).cast("double") / 97).alias("predicted"),
-        F.least(F.lit(1.0), F.col("value") / 200).alias("actual"))
+    return events.selectExpr("event_id", f"{_HOSPITAL} AS hospital_id", "ts",
+                             "cast(event_id % 97 AS double) / 97 AS predicted",
+                             "least(1.0D, value / 200) AS actual")
 
 
 def raw_forecasts(events):
     """One forecast per event for one department; the 8 h score is missing now and then."""
-    eid = F.col("event_id")
-
-    def score(p):
-        return (eid % p).cast("double") / p
-
-    return events.select(
-        "event_id", _hospital().alias("hospital_id"), _dept(F.col("user_id") % 7).alias("dept_id"),
-        "ts", score(97).alias("h1"), score(89).alias("h2"), score(83).alias("h4"),
-        F.when(eid % 10 != 0, score(79)).alias("h8"))
+    return events.selectExpr(
+        "event_id", f"{_HOSPITAL} AS hospital_id", f"{_dept('user_id % 7')} AS dept_id", "ts",
+        *[f"cast(event_id % {p} AS double) / {p} AS {h}" for h, p in (("h1", 97), ("h2", 89), ("h4", 83))],
+        "CASE WHEN event_id % 10 <> 0 THEN cast(event_id % 79 AS double) / 79 END AS h8")
 
 
 def model_rows(events):
     """A model registry feed: versions per hospital with their metrics as JSON text."""
-    return events.select(
-        _hospital().alias("hospital_id"),
-        F.concat(F.lit("v"), F.col("event_id").cast("string")).alias("model_version"),
-        F.col("ts").alias("trained_at"), F.col("props").alias("metrics_json"),
-        (F.col("event_id") % 7 == 0).alias("is_active"))
+    return events.selectExpr(
+        f"{_HOSPITAL} AS hospital_id", "concat('v', cast(event_id AS string)) AS model_version",
+        "ts AS trained_at", "props AS metrics_json", "event_id % 7 = 0 AS is_active")
