@@ -20,6 +20,8 @@ SETTINGS = {
 # Fixed when the session starts: no Python call sites are recorded while plans are built.
 START_ONLY = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
+UNSET_WIDTH = 200  # Spark's default number of shuffle partitions
+
 _own_dir = None
 
 
@@ -43,8 +45,13 @@ def tuned(spark):
     twin = spark.newSession()
     for key, value in SETTINGS.items():
         twin.conf.set(key, value)
-    # newSession starts from the context's settings: carry over the caller's shuffle width
-    twin.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    # newSession starts from the context's settings: carry over the caller's shuffle width. Where
+    # nobody chose one, Spark's 200 would give a stream more state partitions than a small cluster
+    # has cores, each with its own commit per batch: twice the cores is enough there.
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if width == UNSET_WIDTH:
+        width = min(width, 2 * spark.sparkContext.defaultParallelism)
+    twin.conf.set("spark.sql.shuffle.partitions", str(width))
     return twin
 
 
