@@ -1,6 +1,7 @@
 """Session settings and the shared working folder."""
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -67,14 +68,20 @@ def staged(df, name):
 
 
 def shared_dir(spark, name):
-    """A fresh path in the shared folder named by spark.checkpoint.dir.
+    """A fresh path in the shared folder named by spark.checkpoint.dir, deleted when Spark ends.
 
-    Only where that setting is missing (a test on one machine) is a local folder used.
+    Only a session on one machine (master local) may go without that setting; it gets a folder of its
+    own. On a cluster executors would each write to their own disk, so that is an error.
     """
     global _own_dir
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if _own_dir is None or not os.path.isdir(_own_dir):
             _own_dir = tempfile.mkdtemp(prefix="wardflow-")
         root = _own_dir
-    return f"{root.rstrip('/')}/wardflow/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{root.rstrip('/')}/wardflow/{name}-{uuid.uuid4().hex[:12]}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
