@@ -339,7 +339,8 @@ def similar_groups(docs, size=4, num=85, den=100):
     units = units.groupBy("rep").agg(F.collect_list(F.struct(
         "lead", F.least("own", "j").alias("a"), F.greatest("own", "j").alias("b"), "own")).alias("units"))
 
-    involved = units.join(texts, F.col("rep") == F.col("doc_id")).select(F.col("rep").alias("doc"), "units", "text")
+    # The documents in play grow with the corpus and have no proven bound: never a broadcast.
+    involved = units.hint("merge").join(texts, F.col("rep") == F.col("doc_id")).select(F.col("rep").alias("doc"), "units", "text")
     sets = involved.mapInArrow(_send_sets(size), UNIT)
     links = sets.repartition("lead", "a", "b").sortWithinPartitions("lead", "a", "b").mapInArrow(_verify(num, den), "a long, b long")
     links = links.unionByName(firsts.filter("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b")))
