@@ -20,6 +20,7 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 SPACES = np.array([9, 10, 11, 12, 13, 32])
+WHITE = bytes(SPACES.tolist())
 # Last two bytes of white space beyond ASCII in UTF-8 (U+0085, 00A0, 1680, 180E,
 # 2000-200A, 2028, 2029, 202F, 205F, 3000).
 WIDE_BEFORE = np.array([0xC2, 0x9A, 0xA0, 0x80, 0x81])
@@ -95,7 +96,8 @@ class Pieces:
             self.before[WIDE_BEFORE] = self.last[WIDE_LAST] = True
             self.names = token_bytes(spec)
         self.letters = str.maketrans({chr(b): c for b, c in alphabet().items()})
-        self.known, self.room = {}, room
+        self.space = alphabet()[32]
+        self.known, self.room = {}, room if self.by_byte else 2 * room
 
     def cuts(self, b):
         """Flags by position of a byte array: a text may be cut before this byte."""
@@ -126,8 +128,12 @@ class Pieces:
 
     def _word(self, piece):
         """The one pattern match a piece of Latin letters consists of, in the vocabulary's characters."""
-        text = piece.decode("utf-8", "replace")
-        core = text[1:] if text[:1] == " " else text
+        core = piece[1:] if piece[:1] == b" " else piece
+        if core.isalpha():  # ASCII letters only
+            return core.decode().lower() if not self.by_byte else piece.decode().replace(" ", self.space)
+        if core.isascii():
+            return None
+        text, core = piece.decode("utf-8", "replace"), core.decode("utf-8", "replace")
         if not core.isalpha() or max(core) >= "\u0250":
             return None
         if not self.by_byte:
@@ -187,7 +193,11 @@ class Pieces:
                 stop = min(end, at + step)
             places = np.flatnonzero(flags)
             # 0xFF is in no UTF-8 text: put it at the cuts and split there.
-            frags = np.insert(whole[at:stop], places, 0xFF).tobytes().split(b"\xff")
+            frags = np.insert(whole[at:stop], places, 0xFF).tobytes()
+            if not self.by_byte and b"<|" not in frags:
+                # White space is dropped and case is folded: fewer different pieces to encode.
+                frags = frags.lower().translate(None, WHITE)
+            frags = frags.split(b"\xff")
             ends = []
             while text < len(offsets) - 1 and offsets[text] < stop:
                 a, z = max(at, int(offsets[text])), min(stop, int(offsets[text + 1]))
