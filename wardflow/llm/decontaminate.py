@@ -204,44 +204,60 @@ class Benchmark:
                 yield k, a + end - begin, a + end, edits
 
 
-def find_passages(docs, benchmark, rate=0.2, target=0.95, portion=32 << 20):
-    """doc_id, item_id, start, end (bytes of the text) and edits of every benchmark passage found."""
-    spark = docs.sparkSession
-    ship(spark)
+def _portions(benchmark, rate, target, portion):
+    """Keys of the benchmark, in portions of at most about `portion` bytes."""
     items = benchmark.select("item_id", "text").filter("text IS NOT NULL")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     portions = max(1, -(-size // portion))
-    out = None
     for p in range(portions):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(portions)) == p).orderBy("item_id", "text").collect()
-        known = Benchmark([(r["item_id"], r["text"]) for r in rows], rate, target)
+        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(portions)) == p).collect()
+        yield Benchmark(sorted(((r["item_id"], r["text"]) for r in rows), key=lambda x: (x[0] is None, x)), rate, target)
+
+
+def find_passages(docs, benchmark, rate=0.2, target=0.95, portion=32 << 20):
+    """doc_id, item_id, start, end (bytes of the text) and edits of every benchmark passage found."""
+    ship(docs.sparkSession)
+    out = None
+    for known in _portions(benchmark, rate, target, portion):
         found = docs.select("doc_id", "text").mapInArrow(_finder(known), "doc_id long, item_id long, start long, end long, edits int")
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def without_passages(docs, benchmark, rate=0.2, target=0.95, portion=32 << 20):
+    """The rows in whose text no benchmark passage is found; nothing is shuffled."""
+    ship(docs.sparkSession)
+    for known in _portions(benchmark, rate, target, portion):
+        docs = docs.mapInArrow(_cleaner(known), docs.schema)
+    return docs
+
+
+def _found(known, part):
+    """(row, item, start, end, edits) of the passages in an Arrow batch."""
+    symbol = known.vocabulary.get
+    gap = np.zeros(getattr(known, "gap", 1), np.int64)
+    buf, offsets = pieces.texts(part.column("text"))
+    plain, parts, rows, place = buf.translate(PLAIN), [], [], {}
+    for a, z in zip(offsets, offsets[1:]):
+        found = plain[a:z].split()
+        parts += (np.fromiter(map(symbol, found, repeat(0)), np.int64, len(found)), gap)
+    if not parts or not known.items:
+        return rows
+    first = np.cumsum([0] + [len(parts[k]) + len(gap) for k in range(0, len(parts), 2)])
+    for i, s, e, edits in known.matches(np.concatenate(parts)):
+        k = int(np.searchsorted(first, s, "right")) - 1
+        if k not in place:
+            place[k] = [m.span() for m in WORD.finditer(plain, int(offsets[k]), int(offsets[k + 1]))]
+        s, e = s - int(first[k]), min(e - int(first[k]), len(place[k]))
+        rows.append((k, known.names[i], place[k][s][0] - int(offsets[k]), place[k][e - 1][1] - int(offsets[k]), edits))
+    return rows
+
+
 def _finder(known):
     def run(batches):
-        symbol = known.vocabulary.get
-        gap = np.zeros(getattr(known, "gap", 1), np.int64)
         for batch in batches:
             for part in slices(batch, "text", limit=4 << 20):
-                buf, offsets = pieces.texts(part.column("text"))
-                plain, parts = buf.translate(PLAIN), []
-                for a, z in zip(offsets, offsets[1:]):
-                    found = plain[a:z].split()
-                    parts += (np.fromiter(map(symbol, found, repeat(0)), np.int64, len(found)), gap)
-                if not parts or not known.items:
-                    continue
-                first = np.cumsum([0] + [len(parts[k]) + len(gap) for k in range(0, len(parts), 2)])
-                rows, place = [], {}
-                for i, s, e, edits in known.matches(np.concatenate(parts)):
-                    k = int(np.searchsorted(first, s, "right")) - 1
-                    if k not in place:
-                        place[k] = [m.span() for m in WORD.finditer(plain, int(offsets[k]), int(offsets[k + 1]))]
-                    s, e = s - int(first[k]), min(e - int(first[k]), len(place[k]))
-                    rows.append((k, known.names[i], place[k][s][0] - int(offsets[k]), place[k][e - 1][1] - int(offsets[k]), edits))
-                if rows:
+                if rows := _found(known, part):
                     at, item, start, end, edits = zip(*rows)
                     yield pa.RecordBatch.from_arrays(
                         [part.column("doc_id").take(pa.array(at)), pa.array(item, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64()),
@@ -249,7 +265,11 @@ def _finder(known):
     return run
 
 
-def without_passages(docs, benchmark, **how):
-    """Documents in which no passage was found; rows with a null doc_id cannot be named and stay."""
-    found = find_passages(docs, benchmark, **how).select(F.col("doc_id").alias("_d")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_d"), "left_anti")
+def _cleaner(known):
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text", limit=4 << 20):
+                keep = np.ones(part.num_rows, bool)
+                keep[[r[0] for r in _found(known, part)]] = False
+                yield part.filter(pa.array(keep))
+    return run

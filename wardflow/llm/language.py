@@ -12,8 +12,9 @@ Training takes a sample of labelled texts, bounded by `per_language` documents (
 doc_id) and `windows` windows of each; only those windows reach the driver.
 
 Defined results: a null, empty or letterless text is `und` with score 0; repeated rows get equal
-results; an empty table gives an empty frame; without any labelled row `train` raises ValueError;
-other columns pass through, and columns named like the new ones are replaced.
+results; an empty table gives an empty frame; without any labelled row there is no network (None), every
+text is `und` with score 0, and no row is filtered; other columns pass through, and columns named like
+the new ones are replaced.
 """
 
 import numpy as np
@@ -151,12 +152,12 @@ def sample_windows(docs, counts, per_language, windows):
 
 
 def train(docs, per_language=1500, windows=3):
-    """A network learned from (doc_id, lang, text), held-out rows left aside."""
+    """A network learned from (doc_id, lang, text), held-out rows left aside; None without such rows."""
     ship(docs.sparkSession)
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     counts = sorted((r["lang"], r["n"]) for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect())
     if not counts:
-        raise ValueError("no labelled text to learn from")
+        return None
     rows = sample_windows(docs, counts, per_language, windows).toArrow().sort_by([("lang", "ascending"), ("bytes", "ascending")])
     names = [c[0] for c in counts]
     x = np.frombuffer(b"".join(rows["bytes"].to_pylist()), np.uint8).reshape(-1, WINDOW)
@@ -167,11 +168,13 @@ def train(docs, per_language=1500, windows=3):
 NEW = ("lang_pred", "score")
 
 
-def identify(df, network, text="text", keep=None):
-    """`df` (columns `keep`, default all) with lang_pred and score of its text."""
+def identify(df, network, text="text", keep=None, new=NEW):
+    """`df` (columns `keep`, default all) with the language of its text and its score, named `new`."""
     ship(df.sparkSession)
-    keep = [c for c in (keep or df.columns) if c not in NEW]
-    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    keep = [c for c in (keep or df.columns) if c not in new]
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(new[0], T.StringType()), T.StructField(new[1], T.DoubleType())])
+    if network is None:
+        return df.select(*keep, F.lit("und").alias(new[0]), F.lit(0.0).alias(new[1]))
     network.pairs = None
     names, at_once = network.names, 1024
 
@@ -213,11 +216,19 @@ def identify(df, network, text="text", keep=None):
             for part in slices(batch, text, limit=1 << 20):
                 lang, score = answers(part)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score)],
-                                                 names=[*keep, *NEW])
+                                                 names=[*keep, *new])
 
     return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
 
 
+def in_known_languages(docs, network, least=0.3):
+    """The rows whose text has letters and a language with a score of at least `least`."""
+    if network is None:
+        return docs
+    found = identify(docs, network, new=("_language", "_language_score"))
+    return found.filter((F.col("_language") != "und") & (F.col("_language_score") >= least)).select(docs.columns)
+
+
 def language_report(docs):
     """doc_id, held_out, lang_pred and score of every document, by a network learned from the rest."""
     network = train(docs)

@@ -350,3 +350,10 @@ def similar_groups(docs, size=4, num=85, den=100):
     known = known.join(found, F.col("of") == F.col("node"), "left")
     return known.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"),
                         F.when(F.col("doc").isNotNull(), F.coalesce("root", "of")).alias("component_id"))
+
+
+def one_of_each_group(docs, **how):
+    """The documents with the smallest doc_id of their group; rows with a null doc_id stay."""
+    groups = similar_groups(docs, **how)
+    gone = groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti")

@@ -9,9 +9,10 @@ Training takes at most `sample` labelled documents, chosen by a hash of doc_id;
 statistics, not as texts. Neither labels nor lang, source or doc_id are inputs of a score.
 
 Defined results: a null or empty text has statistics of zero and the score learned for them; repeated
-rows get equal results; a label whose quality or doc_id is null is no label; an empty table gives an
-empty frame; without labels of both kinds `train` raises ValueError; other columns pass through, and
-columns named like the new ones are replaced.
+rows get equal results; a label whose quality or doc_id is null is no label, and of several for a
+document the largest counts; an empty table gives an empty frame; with labels of one kind every score is
+their share, without labels there are no trees (None), every score is 0.5 and no row is filtered; other
+columns pass through, and columns named like the new ones are replaced.
 """
 
 import math
@@ -79,6 +80,8 @@ class Trees:
 
     def score(self, x):
         """Probability of label 1 for rows of statistics; a leaf is its own child."""
+        if not len(self.roots):
+            return np.full(len(x), 1 / (1 + np.exp(-self.base)))
         node = np.tile(self.roots, (len(x), 1))
         row = np.arange(len(x))[:, None]
         for _ in range(self.depth):
@@ -116,7 +119,7 @@ def fit(x, y, rounds=60, leaves=16, rate=0.15, bins=64, least=20, ridge=1.0):
         f, b = np.unravel_index(int(gain.argmax()), gain.shape)
         return float(gain[f, b]), int(f), int(b)
 
-    for _ in range(rounds):
+    for _ in range(rounds if y.min() < y.max() else 0):
         p = 1 / (1 + np.exp(-raw))
         g, h = p - y, p * (1 - p)
         root = node()
@@ -146,7 +149,7 @@ def fit(x, y, rounds=60, leaves=16, rate=0.15, bins=64, least=20, ridge=1.0):
 
 
 def train(docs, labels, sample=20_000):
-    """Trees learned from labelled documents that are not held out."""
+    """Trees learned from labelled documents that are not held out; None where there are none."""
     spark = docs.sparkSession
     ship(spark)
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -162,29 +165,39 @@ def train(docs, labels, sample=20_000):
 
     got = rows.mapInArrow(run, "doc_id long, quality int, x binary").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
     y = (got["quality"].to_numpy() == 1).astype(float)
-    if y.size == 0 or y.min() == y.max():
-        raise ValueError("labels of both kinds are needed")
+    if y.size == 0:
+        return None
     return fit(np.frombuffer(b"".join(got["x"].to_pylist()), np.float64).reshape(len(y), -1), y)
 
 
 NEW = ("score", "predicted")
 
 
-def score(df, trees, text="text", keep=None, at_least=0.7):
-    """`df` (columns `keep`, default all) with score and predicted (1 where score >= at_least)."""
+def score(df, trees, text="text", keep=None, at_least=0.7, new=NEW):
+    """`df` (columns `keep`, default all) with score and predicted (1 where score >= at_least), named `new`."""
     ship(df.sparkSession)
-    keep = [c for c in (keep or df.columns) if c not in NEW]
-    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    keep = [c for c in (keep or df.columns) if c not in new]
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(new[0], T.DoubleType()), T.StructField(new[1], T.IntegerType())])
+
+    if trees is None:
+        return df.select(*keep, F.lit(0.5).alias(new[0]), F.lit(int(at_least <= 0.5)).alias(new[1]))
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, text, limit=1 << 20):
                 p = trees.score(matrix(part.column(text)))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(p), pa.array((p >= at_least).astype(np.int32))], names=[*keep, *NEW])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(p), pa.array((p >= at_least).astype(np.int32))], names=[*keep, *new])
 
     return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
 
 
+def of_good_quality(docs, trees, at_least=0.7):
+    """The rows whose text is predicted to be of good quality."""
+    if trees is None:
+        return docs
+    return score(docs, trees, at_least=at_least, new=("_quality", "_good")).filter("_good = 1").select(docs.columns)
+
+
 def quality_report(docs, labels):
     """doc_id, held_out, score and predicted of every document."""
     return score(docs.select("doc_id", "text"), train(docs, labels), keep=["doc_id"]).select(

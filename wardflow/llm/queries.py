@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from wardflow.llm import bpe, ngram_join, token_count, token_file, warc
+from wardflow.llm import bpe, decontaminate, embedding_dedup, language, licence, ngram_join, quality, token_count, token_file, warc
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -22,6 +22,21 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_embedding_near_dedup", """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+  ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(vec_id, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON links.a = reach.root),
+c AS (SELECT vec_id, min(root) AS component_id FROM reach GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT c.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, c.vec_id = c.component_id AS kept FROM c LEFT JOIN n USING (vec_id)""")
+def op1_embedding_near_dedup(spark, sf_dir):
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query("op2_warc", """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest FROM p),
@@ -33,6 +48,16 @@ def op2_warc(spark, sf_dir):
     return warc.archived_pages(table(spark, sf_dir, "pages"))
 
 
+@query("op3_quality")
+def op3_quality(spark, sf_dir):
+    return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_language")
+def op4_language(spark, sf_dir):
+    return language.language_report(table(spark, sf_dir, "documents"))
+
+
 @query("op5_ngram_jaccard_join", r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -50,6 +75,16 @@ def op5_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.similar_groups(table(spark, sf_dir, "documents"))
 
 
+@query("op6_licence_scan")
+def op6_licence_scan(spark, sf_dir):
+    return licence.licence_report(table(spark, sf_dir, "documents"))
+
+
+@query("op7_decontamination")
+def op7_decontamination(spark, sf_dir):
+    return decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op8_token_file")
 def op8_token_file(spark, sf_dir):
     manifest = token_file.write(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
