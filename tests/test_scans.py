@@ -34,13 +34,13 @@ def same(a, b):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
-MODES = [None, 1, 500, 10 ** 9]  # every key split, all keys hot, only the heavy one, none
+MODES = [("minute", "day"), ("hour", "month"), ("day", "year"), ("year", "year")]  # widths never change a result
 
 
-@pytest.mark.parametrize("hot_rows", MODES)
-def test_running_total(skewed, hot_rows):
+@pytest.mark.parametrize("width", MODES)
+def test_running_total(skewed, width):
     w = W.partitionBy("k").orderBy("ts").rangeBetween(W.unboundedPreceding, W.currentRow)
-    same(scans.running_total(skewed, ["k"], "ts", "d", "total", hot_rows=hot_rows),
+    same(scans.running_total(skewed, ["k"], "ts", "d", "total", slot=width[0], span=width[1]),
          skewed.withColumn("total", F.sum("d").over(w)))
 
 
@@ -51,24 +51,24 @@ def test_running_total_slots(skewed, slot):
          skewed.withColumn("total", F.sum("d").over(w)))
 
 
-@pytest.mark.parametrize("hot_rows", MODES)
+@pytest.mark.parametrize("width", MODES)
 @pytest.mark.parametrize("backward", [False, True])
-def test_fill(skewed, hot_rows, backward):
+def test_fill(skewed, width, backward):
     w = W.partitionBy("k").orderBy("ts", "id")
     if backward:
         want = F.first("v", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
     else:
         want = F.last("v", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
-    same(scans.fill(skewed, ["k"], ["ts", "id"], "ts", ["v"], backward=backward, hot_rows=hot_rows),
+    same(scans.fill(skewed, ["k"], ["ts", "id"], "ts", ["v"], backward=backward, slot=width[0], span=width[1]),
          skewed.withColumn("v", want))
 
 
-@pytest.mark.parametrize("hot_rows", MODES)
+@pytest.mark.parametrize("width", MODES)
 @pytest.mark.parametrize("ahead", [False, True])
-def test_neighbour(skewed, hot_rows, ahead):
+def test_neighbour(skewed, width, ahead):
     w = W.partitionBy("k").orderBy("ts", "id")
     want = (F.lead if ahead else F.lag)("v").over(w)
-    same(scans.neighbour(skewed, ["k"], ["ts", "id"], "ts", "v", "near", ahead=ahead, hot_rows=hot_rows),
+    same(scans.neighbour(skewed, ["k"], ["ts", "id"], "ts", "v", "near", ahead=ahead, slot=width[0], span=width[1]),
          skewed.withColumn("near", want))
 
 
@@ -126,7 +126,7 @@ def test_wait_with_one_placeholder_patient(spark, tables):
                                         .otherwise(F.col("patient_id")))
     w = W.partitionBy("hospital_id", "patient_id").orderBy("event_ts", "event_id")
     plain = masked.withColumn("next_ts", F.lead("event_ts").over(w)).filter("event_type = 'arrival'")
-    got = features.wait_minutes(masked, hot_rows=20)
+    got = features.wait_minutes(masked)
     same(got.select("event_id", "next_ts"), plain.select("event_id", "next_ts"))
 
 

@@ -34,7 +34,7 @@ class FlowConfig:
     context_window: str = "30 minutes"
     context_watermark: str = "30 minutes"
     trigger: str = "60 seconds"
-    max_offsets: int = 60_000
+    max_offsets: int | None = None  # intake per micro-batch; no bound unless the caller sets one
 
 
 @dataclass(frozen=True)

@@ -7,6 +7,8 @@ from wardflow import config as C
 from wardflow.functions import scalar as S
 from wardflow.operators import scans
 
+UNFOLD = 1024  # ticks of a run made at once
+
 
 def movements(df):
     """Signed moves per department: +1 arrival, -1 discharge, a transfer is -1 and +1."""
@@ -21,11 +23,11 @@ def movements(df):
             .select("hospital_id", "ts", "m.dept_id", "m.delta"))
 
 
-def running_census(df, keys=("hospital_id", "dept_id"), slot="day"):
+def running_census(df, keys=("hospital_id", "dept_id")):
     """Patients present after each change. Moves at the same instant are netted first."""
     keys = list(keys)
     net = movements(df).groupBy(*keys, "ts").agg(F.sum("delta").alias("net_move"))
-    total = scans.running_total(net, keys, "ts", "net_move", "total", slot)
+    total = scans.running_total(net, keys, "ts", "net_move", "total")
     return total.withColumn("census", F.greatest(F.col("total"), F.lit(0))).drop("total")
 
 
@@ -57,8 +59,11 @@ def census_at_ticks(stays, tick_minutes=60, start="arrival_ts", los="expected_lo
                       F.sum("d").over(order.rowsBetween(W.unboundedPreceding, 0)).alias("census"),
                       F.lead("k").over(order).alias("next_k"))
     return (runs.filter(F.col("census") > 0)
+            .withColumn("to", F.col("next_k") - 1)
+            # in pieces, so that no stay, however wrong its length, becomes one long array
+            .withColumn("k", F.explode(F.sequence("k", "to", F.lit(UNFOLD).cast("long"))))
             .select("hospital_id", "dept_id",
-                    F.explode(F.sequence("k", F.col("next_k") - 1)).alias("k"), "census")
+                    F.explode(F.sequence("k", F.least(F.col("k") + (UNFOLD - 1), "to"))).alias("k"), "census")
             .select("hospital_id", "dept_id", S.from_micros(F.col("k") * step).alias("tick"), "census"))
 
 
@@ -101,11 +106,11 @@ def expected_end(df, start="arrival_ts", los="expected_los_minutes"):
     return df.withColumn("expected_end", S.add_minutes(start, los))
 
 
-def overdue_patients(df, hot_rows=scans.HOT_ROWS):
+def overdue_patients(df):
     """Arrivals whose patient has no next arrival or discharge before the expected end."""
     rows = df.filter(F.col("event_type").isin("arrival", "discharge"))
     rows = scans.neighbour(rows, ["hospital_id", "patient_id"], ["event_ts", "event_id"], "event_ts",
-                           "event_ts", "next_ts", hot_rows=hot_rows)
+                           "event_ts", "next_ts", span="month")
     late = expected_end(rows.filter(F.col("event_type") == "arrival"))
     return (late.filter(F.col("next_ts").isNull() | (F.col("next_ts") >= F.col("expected_end")))
             .select("hospital_id", "patient_id", "dept_id", "event_id", "arrival_ts", "expected_end"))

@@ -12,45 +12,55 @@ def _rule(name, broken):
     return name, F.coalesce(broken, F.lit(False))
 
 
-def _missing(kinds, *cols):
-    kind = F.col("event_type").isin(*kinds)
-    return [_rule(f"{c} missing", kind & F.col(c).isNull()) for c in cols]
+# Fixed values of the event schemas: field, the kinds it is required in, and its bound (a text for the
+# rule's name, least, greatest; `positive` excludes 0). A missing value breaks a two-sided bound.
+PATIENT_KINDS, CONTEXT_KINDS = ("arrival", "discharge", "transfer"), ("weather", "flu_index", "traffic")
+PATIENT_FIELDS = (
+    ("dept_id", ("arrival", "discharge"), None),
+    ("arrival_ts", ("arrival",), None),
+    ("patient_id", ("discharge", "transfer"), None),
+    ("discharge_ts", ("discharge",), None),
+    ("transfer_ts", ("transfer",), None),
+    ("source_dept_id", ("transfer",), None),
+    ("target_dept_id", ("transfer",), None),
+    ("acuity", ("arrival", "transfer"), ("not in 1..5", 1, 5)),
+    ("expected_los_minutes", ("arrival",), ("not positive", 0, None)),
+    ("actual_los_minutes", ("discharge",), ("not positive", 0, None)),
+)
+CONTEXT_FIELDS = (
+    ("temperature_c", ("weather",), None),
+    ("precipitation", ("weather",), ("negative", 0, None)),
+    ("weather_score", ("weather",), ("not in 0..1", 0, 1)),
+    ("flu_index", ("flu_index",), ("not in 0..10", 0, 10)),
+    ("congestion_score", ("traffic",), ("not in 0..1", 0, 1)),
+    ("avg_speed_kmh", ("traffic",), ("negative", 0, None)),
+)
+
+
+def _rules(kinds, fields, always):
+    """Rules of a field table: kind known, fields of every kind, missing fields, then bounds."""
+    kind = F.col("event_type")
+    rules = [_rule("event_type unknown", kind.isNull() | ~kind.isin(*kinds))]
+    rules += [_rule(name, F.col(c).isNull()) for name, c in always]
+    for field, where, bound in fields:
+        if bound is None or bound[2] is None:
+            rules.append(_rule(f"{field} missing", kind.isin(*where) & F.col(field).isNull()))
+    for field, where, bound in fields:
+        if bound is not None:
+            text, low, high = bound
+            value = F.col(field)
+            broken = (value.isNull() | ~value.between(low, high) if high is not None
+                      else value <= low if text == "not positive" else value < low)
+            rules.append(_rule(f"{field} {text}", kind.isin(*where) & broken))
+    return rules
 
 
 def patient_rules():
-    """Fixed rules of the patient event schemas."""
-    kind = F.col("event_type")
-    known = kind.isin("arrival", "discharge", "transfer")
-    return [
-        _rule("event_type unknown", kind.isNull() | ~known),
-        _rule("hospital_id missing", F.col("hospital_id").isNull()),
-        *_missing(["arrival", "discharge"], "dept_id"),
-        *_missing(["arrival"], "arrival_ts", "expected_los_minutes"),
-        *_missing(["discharge"], "patient_id", "discharge_ts", "actual_los_minutes"),
-        *_missing(["transfer"], "transfer_ts", "source_dept_id", "target_dept_id"),
-        _rule("acuity not in 1..5", kind.isin("arrival", "transfer")
-              & (F.col("acuity").isNull() | ~F.col("acuity").between(1, 5))),
-        _rule("expected_los_minutes not positive", (kind == "arrival") & (F.col("expected_los_minutes") <= 0)),
-        _rule("actual_los_minutes not positive", (kind == "discharge") & (F.col("actual_los_minutes") <= 0)),
-    ]
+    return _rules(PATIENT_KINDS, PATIENT_FIELDS, [("hospital_id missing", "hospital_id")])
 
 
 def context_rules(ts="event_ts"):
-    """Fixed rules of the context event schemas."""
-    kind = F.col("event_type")
-    known = kind.isin("weather", "flu_index", "traffic")
-    return [
-        _rule("event_type unknown", kind.isNull() | ~known),
-        _rule("hospital_id missing", F.col("hospital_id").isNull()),
-        _rule("time missing", F.col(ts).isNull()),
-        _rule("precipitation negative", (kind == "weather") & (F.col("precipitation") < 0)),
-        _rule("weather_score not in 0..1", (kind == "weather")
-              & (F.col("weather_score").isNull() | ~F.col("weather_score").between(0, 1))),
-        _rule("flu_index not in 0..10", (kind == "flu_index")
-              & (F.col("flu_index").isNull() | ~F.col("flu_index").between(0, 10))),
-        _rule("congestion_score not in 0..1", (kind == "traffic")
-              & (F.col("congestion_score").isNull() | ~F.col("congestion_score").between(0, 1))),
-    ]
+    return _rules(CONTEXT_KINDS, CONTEXT_FIELDS, [("hospital_id missing", "hospital_id"), ("time missing", ts)])
 
 
 def validate(df, rules):

@@ -8,14 +8,14 @@ from wardflow.functions import scalar as S
 from wardflow.operators import census, context, flow, scans
 
 
-def wait_minutes(events, hot_rows=scans.HOT_ROWS):
+def wait_minutes(events):
     """Minutes from each arrival to the patient's next event of any kind.
 
-    Heavy patient ids (a placeholder id, for instance) are split by day.
+    A patient id that holds many rows (a placeholder, for instance) is split by minute.
     """
     moves = events.select("hospital_id", "dept_id", "patient_id", "event_type", "event_ts", "event_id")
     nxt = scans.neighbour(moves, ["hospital_id", "patient_id"], ["event_ts", "event_id"],
-                          "event_ts", "event_ts", "next_ts", hot_rows=hot_rows)
+                          "event_ts", "event_ts", "next_ts", span="month")
     gap = (S.micros("next_ts") - S.micros("event_ts")) / F.lit(6e7)
     return nxt.filter(F.col("event_type") == "arrival").withColumn("wait_minutes", gap)
 

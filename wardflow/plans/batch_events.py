@@ -21,24 +21,31 @@ def broken_json(df, key="hospital_id"):
                         .otherwise(F.col("value")).alias("value"))
 
 
-@query("decode_patient_json", "SELECT " + ", ".join(
-    f"CASE WHEN CAST(event_id AS BIGINT) % 50 <> 3 THEN {c} END AS {c}" for c in _PATIENT)
-    + " FROM patient_events", _LOS)
+DECODED_PATIENTS = "SELECT " + ", ".join(
+    f"CASE WHEN CAST(event_id AS BIGINT) % 50 <> 3 THEN {c} END AS {c}" for c in _PATIENT) + " FROM patient_events"
+
+
+@query("decode_patient_json", DECODED_PATIENTS, _LOS)
 def decode_patient_json(t):
     raw = broken_json(t.patients.drop("event_ts"))
     return codec.without_zone(codec.decode(raw, schemas.PATIENT_EVENT))
 
 
-_CONTEXT = "event_id event_type hospital_id event_ts precipitation is_severe weather_score flu_index congestion_score"
+_CONTEXT = ("event_id event_type hospital_id event_ts temperature_c precipitation is_severe weather_score flu_index "
+            "congestion_score avg_speed_kmh")
+CONTEXT_VALUES = "temperature_c precipitation weather_score flu_index congestion_score avg_speed_kmh"
 
 
-@query("decode_context_json", "SELECT " + ", ".join(
+DECODED_CONTEXT = "SELECT " + ", ".join(
     f"CASE WHEN CAST(event_id AS BIGINT) % 50 <> 3 THEN {c} END AS {'timestamp' if c == 'event_ts' else c}"
-    for c in _CONTEXT.split()) + " FROM context_events", "precipitation weather_score flu_index congestion_score")
+    for c in _CONTEXT.split()) + " FROM context_events"
+
+
+@query("decode_context_json", DECODED_CONTEXT, CONTEXT_VALUES)
 def decode_context_json(t):
     raw = broken_json(t.signals.withColumnRenamed("event_ts", "timestamp"))
     out = codec.without_zone(codec.decode(raw, schemas.CONTEXT_EVENT))
-    return out.drop("temperature_c", "trend", "avg_speed_kmh")
+    return out.drop("trend")
 
 
 @query("encode_keyed_json", """
@@ -55,10 +62,12 @@ BAD_SQL = """SELECT * REPLACE (
  CASE WHEN CAST(event_id AS BIGINT) % 50 = 0 THEN 9 ELSE acuity END AS acuity,
  CASE WHEN CAST(event_id AS BIGINT) % 50 = 1 AND expected_los_minutes IS NOT NULL THEN -1.0 ELSE expected_los_minutes END AS expected_los_minutes,
  CASE WHEN CAST(event_id AS BIGINT) % 50 = 1 AND actual_los_minutes IS NOT NULL THEN -1.0 ELSE actual_los_minutes END AS actual_los_minutes,
+ CASE WHEN CAST(event_id AS BIGINT) % 50 <> 3 OR event_type <> 'transfer' THEN patient_id END AS patient_id,
  CASE WHEN CAST(event_id AS BIGINT) % 50 <> 2 THEN hospital_id END AS hospital_id) FROM patient_events"""
 
 ERRORS_SQL = f"""SELECT *, concat_ws('; ',
  CASE WHEN hospital_id IS NULL THEN 'hospital_id missing' END,
+ CASE WHEN event_type <> 'arrival' AND patient_id IS NULL THEN 'patient_id missing' END,
  CASE WHEN event_type <> 'discharge' AND acuity NOT BETWEEN 1 AND 5 THEN 'acuity not in 1..5' END,
  CASE WHEN event_type = 'arrival' AND expected_los_minutes <= 0 THEN 'expected_los_minutes not positive' END,
  CASE WHEN event_type = 'discharge' AND actual_los_minutes <= 0 THEN 'actual_los_minutes not positive' END) AS error
@@ -71,12 +80,28 @@ def bad_patients(t):
     df = t.patients.drop("event_ts")
     los = {c: F.when((i == 1) & F.col(c).isNotNull(), -1.0).otherwise(F.col(c)) for c in _LOS.split()}
     return df.withColumns({"acuity": F.when(i == 0, 9).otherwise(F.col("acuity")), **los,
+                           "patient_id": F.when((i != 3) | (F.col("event_type") != "transfer"), F.col("patient_id")),
                            "hospital_id": F.when(i != 2, F.col("hospital_id"))})
 
 
-@query("validate_events", f"SELECT event_id, event_type, error AS errors FROM ({ERRORS_SQL})")
+BAD_CONTEXT_SQL = """SELECT *, concat_ws('; ', CASE WHEN precipitation IS NULL AND event_type = 'weather' THEN 'precipitation missing' END,
+ CASE WHEN avg_speed_kmh < 0 THEN 'avg_speed_kmh negative' END) AS error FROM (
+ SELECT * REPLACE (CASE WHEN CAST(event_id AS BIGINT) % 50 <> 4 THEN precipitation END AS precipitation,
+  CASE WHEN CAST(event_id AS BIGINT) % 50 = 5 THEN -avg_speed_kmh - 1 ELSE avg_speed_kmh END AS avg_speed_kmh) FROM context_events)"""
+
+
+def bad_signals(t):
+    i = F.col("event_id").cast("long") % 50
+    return t.signals.withColumns({"precipitation": F.when(i != 4, F.col("precipitation")),
+                                  "avg_speed_kmh": F.when(i == 5, -F.col("avg_speed_kmh") - 1).otherwise(F.col("avg_speed_kmh"))})
+
+
+@query("validate_events", f"SELECT event_id, event_type, error AS errors FROM ({ERRORS_SQL}) "
+       f"UNION ALL SELECT event_id, event_type, error FROM ({BAD_CONTEXT_SQL})")
 def validate_events(t):
-    out = E.validate(bad_patients(t), E.patient_rules())
+    names = ["event_id", "event_type", "errors"]
+    out = E.validate(bad_patients(t), E.patient_rules()).select(*names).unionByName(
+        E.validate(bad_signals(t), E.context_rules()).select(*names))
     return out.select("event_id", "event_type", F.concat_ws("; ", "errors").alias("errors"))
 
 
@@ -100,10 +125,12 @@ def reject_counts(t):
 
 @query("publish_events", f"""
 SELECT 'ed.patient.events' AS topic, hospital_id AS key, event_id, event_type FROM ({ERRORS_SQL}) WHERE error = ''
-UNION ALL SELECT 'ed.context.events', hospital_id, event_id, event_type FROM context_events""")
+UNION ALL SELECT 'ed.dead.letter', hospital_id, event_id, event_type FROM ({ERRORS_SQL}) WHERE error <> ''
+UNION ALL SELECT CASE WHEN error = '' THEN 'ed.context.events' ELSE 'ed.dead.letter' END, hospital_id, event_id, event_type
+FROM ({BAD_CONTEXT_SQL})""")
 def publish_events(t):
     sent = codec.publish(bad_patients(t), E.patient_rules(), codec.topic_of("patient")).unionByName(
-        codec.publish(t.signals, E.context_rules(), codec.topic_of("context")))
+        codec.publish(bad_signals(t), E.context_rules(), codec.topic_of("context")))
     return sent.select("topic", "key", F.get_json_object("value", "$.event_id").alias("event_id"),
                        F.get_json_object("value", "$.event_type").alias("event_type"))
 

@@ -58,9 +58,9 @@ def flow_features(t):
     return flow.flow_features(t.patients)
 
 
-@query("join_flow_windows", "SELECT * FROM flow_1h_full", FLOW_DOUBLES)
+@query("join_flow_windows", "SELECT * FROM flow_10m_full", FLOW_DOUBLES)
 def join_flow_windows(t):
-    return flow.join_flow(flow.arrivals(t.patients, "1 hour"), flow.discharges(t.patients, "1 hour"))
+    return flow.join_flow(flow.arrivals(t.patients), flow.discharges(t.patients))
 
 
 @query("default_nulls", """
@@ -254,8 +254,8 @@ def active_model(t):
 
 @query("transfer_counts", """
 SELECT hospital_id, source_dept_id AS source_dept, target_dept_id AS target_dept, window_end, count(*) AS transfer_count FROM (
- SELECT *, CAST(unnest(generate_series(time_bucket(INTERVAL '1 hour', event_ts) + INTERVAL '1 hour',
-  time_bucket(INTERVAL '1 hour', event_ts) + INTERVAL '24 hours', INTERVAL '1 hour')) AS TIMESTAMP) AS window_end
+ SELECT *, CAST(unnest(generate_series(time_bucket(INTERVAL '10 minutes', event_ts) + INTERVAL '10 minutes',
+  time_bucket(INTERVAL '10 minutes', event_ts) + INTERVAL '24 hours', INTERVAL '10 minutes')) AS TIMESTAMP) AS window_end
  FROM pe WHERE event_type = 'transfer') GROUP BY 1, 2, 3, 4""")
 def transfer_counts(t):
-    return graph.transfer_counts(t.patients, 24 * 60, 60)
+    return graph.transfer_counts(t.patients, 24 * 60, 10)

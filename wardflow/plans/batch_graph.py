@@ -21,7 +21,7 @@ SELECT hospital_id, dept_id, row_number() OVER (PARTITION BY hospital_id ORDER B
 WHERE dept_id IN (SELECT dept_id FROM patient_events)""".replace("row_number() OVER (PARTITION BY hospital_id ORDER BY ordinal) - 1",
        "CAST(row_number() OVER (PARTITION BY hospital_id ORDER BY ordinal) - 1 AS INT)"))
 def node_index(t):
-    seen = t.registry.join(t.patients.select("dept_id"), "dept_id", "left_semi")
+    seen = t.registry.join(t.patients.select("dept_id").distinct(), "dept_id", "left_semi")
     return graph.node_index(seen).select("hospital_id", "dept_id", "node_idx")
 
 

@@ -64,20 +64,19 @@ def archive_history(t):
 SELECT h.hospital_id, h.hospital_name, n.n AS n_departments, coalesce({LABEL.format('m')}, 'green') AS severity,
  CAST(floor(coalesce(m, 0) * 100 + 0.5) AS INT) AS percent FROM hospitals h
 JOIN (SELECT hospital_id, count(*) AS n FROM departments GROUP BY 1) n USING (hospital_id)
-LEFT JOIN (SELECT hospital_id, max(max_congestion) AS m FROM last_preds WHERE hospital_id <> 'H6' GROUP BY 1) f
+LEFT JOIN (SELECT hospital_id, max(max_congestion) AS m FROM last_preds GROUP BY 1) f
  USING (hospital_id)""".replace(f"coalesce({LABEL.format('m')}, 'green')", f"CASE WHEN m IS NULL THEN 'green' ELSE {LABEL.format('m')} END"))
 def overview_cards(t):
-    known = t.hospitals.filter(F.col("hospital_id") != "H6")
-    return serve.overview_cards(t.hospitals, serve.hospital_rollup(known, t.last_predictions), t.registry)
+    return serve.overview_cards(t.hospitals, serve.hospital_rollup(t.hospitals, t.last_predictions), t.registry)
 
 
 @query("hospital_rollup", f"""
 SELECT hospital_id, hospital_name, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon, coalesce(m, 0.0) AS hospital_max_congestion,
  {LABEL.format('coalesce(m, 0.0)')} AS hospital_severity FROM hospitals LEFT JOIN (
- SELECT hospital_id, max(max_congestion) AS m FROM last_preds WHERE hospital_id <> 'H6' GROUP BY 1) USING (hospital_id)""",
+ SELECT hospital_id, max(max_congestion) AS m FROM last_preds GROUP BY 1) USING (hospital_id)""",
        "lat lon hospital_max_congestion")
 def hospital_rollup(t):
-    return serve.hospital_rollup(t.hospitals, t.last_predictions.filter(F.col("hospital_id") != "H6"))
+    return serve.hospital_rollup(t.hospitals, t.last_predictions)
 
 
 @query("topology_document", """

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wardflow import config as C
 from wardflow import schemas
 from wardflow.operators import events as E
+from wardflow.plans.batch_events import CONTEXT_VALUES, DECODED_CONTEXT, DECODED_PATIENTS, broken_json
 from wardflow.plans.batch_serve import DRIFT, newest
 from wardflow.plans.registry import query
 from wardflow.plans.views import FLOW_DOUBLES
@@ -21,39 +22,48 @@ KEYS = ["hospital_id", "dept_id", "window_end"]
 CONTEXT_DOUBLES = "weather_score flu_index traffic_score"
 
 
+CLOSING = "~closing"  # hospital of the rows that only move event time on
+
+
 class Live:
     """The events table as a stream, in a session with this library's streaming settings."""
 
     def __init__(self, t, closing=False, **options):
-        self.spark, self.main, self.sf_dir = tuned(t.spark), t.spark, t.sf_dir
+        self.spark, self.main, self.sf_dir, self.closing = tuned(t.spark), t.spark, t.sf_dir, closing
         self.schema = t.events.schema
         self.events = feeds.stream_events(self.spark, self.sf_dir, self.schema, **options)
         if closing:
-            self.events = self.events.unionByName(self._closing_rows())
+            self.events = self.events.unionByName(self._closing_rows(t.events))
 
-    def _closing_rows(self):
-        """One row per event kind far in the future, so that every window closes (append mode)."""
-        far, path = dt.datetime(2030, 1, 1), shared_dir(self.main, "closing")
-        rows = [(-1 - i, far, -1, k, 0.0, None)
+    def _closing_rows(self, events):
+        """One row per event kind, two days after the newest, so that every window closes (append mode)."""
+        path, newest_ = shared_dir(self.main, "closing"), events.groupBy("event_type").agg(F.max("ts").alias("ts")).collect()
+        last = max((r["ts"] for r in newest_ if r["ts"] is not None), default=dt.datetime(2000, 1, 1))
+        rows = [(-1 - i, last + dt.timedelta(days=2), -1, k, 0.0, None)
                 for i, k in enumerate(("signup", "purchase", "click", "view", "error"))]
         self.spark.createDataFrame(rows, self.schema).coalesce(1).write.parquet(path)
         return self.spark.readStream.schema(self.schema).parquet(path)
 
     @property
     def patients(self):
-        return E.unify_event_time(feeds.patient_events(self.events))
+        return self._marked(E.unify_event_time(feeds.patient_events(self.events)))
 
     @property
     def signals(self):
-        return feeds.context_events(self.events)
+        return self._marked(feeds.context_events(self.events))
+
+    def _marked(self, df):
+        """Closing rows have ids below 0; they get a hospital of their own."""
+        own = F.col("event_id").cast("long") < 0
+        return df.withColumn("hospital_id", F.when(own, CLOSING).otherwise(F.col("hospital_id"))) if self.closing else df
 
     def dir(self, name):
         return shared_dir(self.main, name)
 
     def read(self, path):
-        """What a finished query wrote, without zone and without the closing rows."""
+        """What a finished query wrote, without zone and without the closing rows, if there were any."""
         df = codec.without_zone(self.main.read.parquet(path))
-        return df.filter(F.col("hospital_id") != "H0") if "hospital_id" in df.columns else df
+        return df.filter(~F.col("hospital_id").eqNullSafe(F.lit(CLOSING))) if self.closing else df
 
     def to_files(self, df):
         """Run an append-mode query to its end and read its files."""
@@ -71,23 +81,27 @@ class Live:
         return codec.without_zone(sinks.read_latest(self.main, store, keys))
 
 
-@query("src_patient_events", "SELECT * EXCLUDE (event_ts) FROM pe", "expected_los_minutes actual_los_minutes")
+def _broken_topic(live, df):
+    """A topic in which one payload in fifty is cut off."""
+    topic = live.dir("topic")
+    broken_json(df).select(F.lit(None).cast("string").alias("key"), "value").write.parquet(f"{topic}/batch_id=0")
+    return topic
+
+
+@query("src_patient_events", DECODED_PATIENTS, "expected_los_minutes actual_los_minutes")
 def src_patient_events(t):
     live = Live(t)
-    topic = live.dir("topic")
-    sinks.write_topic(t.patients.drop("event_ts"), topic, 0)
+    topic = _broken_topic(live, t.patients.drop("event_ts"))
     raw = streams.patient_source(live.spark, {"path": topic}, "parquet")
     return live.to_files(codec.decode(raw, schemas.PATIENT_EVENT))
 
 
-@query("src_context_events", "SELECT * RENAME (event_ts AS timestamp) FROM context_events",
-       "precipitation weather_score flu_index congestion_score")
+@query("src_context_events", DECODED_CONTEXT, CONTEXT_VALUES)
 def src_context_events(t):
     live = Live(t)
-    topic = live.dir("topic")
-    sinks.write_topic(t.signals.withColumnRenamed("event_ts", "timestamp"), topic, 0)
+    topic = _broken_topic(live, t.signals.withColumnRenamed("event_ts", "timestamp"))
     raw = streams.context_source(live.spark, {"path": topic}, "parquet")
-    return live.to_files(codec.decode(raw, schemas.CONTEXT_EVENT)).drop("temperature_c", "trend", "avg_speed_kmh")
+    return live.to_files(codec.decode(raw, schemas.CONTEXT_EVENT)).drop("trend")
 
 
 @query("bounded_intake", "SELECT event_id, event_type, hospital_id, event_ts FROM pe")
@@ -163,11 +177,10 @@ def stream_sliding_windows(t):
     return live.to_files(windows.patient_windows(live.patients, cfg))
 
 
-@query("stream_flow_join", "SELECT * FROM flow_1h_full", FLOW_DOUBLES)
+@query("stream_flow_join", "SELECT * FROM flow_10m_full", FLOW_DOUBLES)
 def stream_flow_join(t):
     live = Live(t, closing=True)
-    cfg = C.FlowConfig(window="1 hour", slide="1 hour")
-    return live.to_files(windows.flow_join(live.patients, cfg))
+    return live.to_files(windows.flow_join(live.patients))
 
 
 @query("stream_dedup", "SELECT event_id, event_type, hospital_id, event_ts FROM pe")
@@ -188,9 +201,9 @@ def stream_hourly_rollup(t):
 
 
 @query("join_context_interval", """
-SELECT p.event_id, p.hospital_id, p.event_ts, c.event_id AS context_id, c.event_ts AS context_ts, c.weather_score, c.flu_index,
- c.congestion_score AS traffic_score FROM pe p LEFT JOIN context_events c ON c.hospital_id = p.hospital_id
- AND c.event_ts <= p.event_ts AND c.event_ts > p.event_ts - INTERVAL 30 MINUTES""", CONTEXT_DOUBLES)
+SELECT p.event_id, p.hospital_id, p.event_ts, c.window_end AS context_ts, c.weather_score, c.flu_index, c.traffic_score, c.is_severe_weather
+FROM pe p LEFT JOIN ctx_30m c ON c.hospital_id = p.hospital_id AND c.window_end = time_bucket(INTERVAL '30 minutes', p.event_ts)""",
+       CONTEXT_DOUBLES)
 def join_context_interval(t):
     live = Live(t, closing=True)
     events = live.patients.select("event_id", "hospital_id", "event_ts")
@@ -230,10 +243,9 @@ def stream_overdue_patients(t):
 def stream_drift(t):
     live = Live(t)
     held, requests = live.dir("state"), live.dir("requests")
-    query_ = live.run(feeds.prediction_pairs(live.events),
-                      jobs.drift_body(live.spark, held, requests, ["hospital_id"], newest()), mode="append")
-    last = query_.lastProgress.batchId
-    return t.spark.read.parquet(f"{requests}/batch_id={last}")
+    live.run(feeds.prediction_pairs(live.events),
+             jobs.drift_body(live.spark, held, requests, ["hospital_id"], newest()), mode="append")
+    return t.spark.read.parquet(requests).drop("batch_id")  # the requests of all batches
 
 
 @query("stream_alerts", """
@@ -248,22 +260,23 @@ def stream_alerts(t):
     return out.drop("indexed_at", "actual_value", "threshold")
 
 
-def _pair_of_queries(t):
+def _pair_of_queries(t, watch=None):
     """Both feature queries side by side, each with its own checkpoint."""
     live = Live(t)
+    watched = watch and watch(live)
     names = ("patients", "context")
     stores = [live.dir(n) for n in names]
     frames = (windows.patient_windows(live.patients), windows.context_windows(live.signals))
     queries = [jobs.start(df, jobs.fanout(lambda b, i, s=store: sinks.upsert_batch(b, s, i, "window_end")),
                           live.dir("ckpt"), name=f"{name}-{store[-6:]}", trigger=NOW)
                for name, store, df in zip(names, stores, frames)]
-    return stores, jobs.finish(*queries)
+    return stores, jobs.finish(*queries), watched
 
 
 @query("stream_triggers", """
 SELECT 'context' AS feed, count(*) AS n_windows FROM ctx_30m UNION ALL SELECT 'patients', count(*) FROM flow_10m""")
 def stream_triggers(t):
-    stores, _ = _pair_of_queries(t)
+    stores, *_ = _pair_of_queries(t)
     keys = (["hospital_id", "dept_id", "window_end"], ["hospital_id", "window_end"])
     counts = [sinks.read_latest(t.spark, s, k).groupBy().agg(F.count("*").alias("n_windows"))
               .select(F.lit(n).alias("feed"), "n_windows")
@@ -276,8 +289,9 @@ SELECT feed, count(*) AS input_rows, CAST(0 AS BIGINT) AS late_rows, true AS has
 FROM events CROSS JOIN (VALUES ('patients'), ('context')) AS f(feed) GROUP BY 1""")
 def stream_health(t):
     """The counts of the report; its rates and durations differ from run to run."""
-    _, queries = _pair_of_queries(t)
-    report = jobs.health(t.spark, *queries)
+    _, queries, progress = _pair_of_queries(t, lambda live: jobs.ProgressLog(live.spark, live.dir("progress")))
+    report = progress.report(*queries)
+    progress.close()
     return report.groupBy(F.substring_index("name", "-", 1).alias("feed")).agg(
         F.sum("input_rows").alias("input_rows"), F.sum("late_rows").alias("late_rows"),
         (F.max("watermark") > "2000").alias("has_watermark"))

@@ -72,11 +72,13 @@ SELECT CAST(event_id AS string) AS event_id,
  CASE WHEN event_type = 'error' THEN 'weather' WHEN event_id % 10 = 0 THEN 'flu_index' ELSE 'traffic' END AS event_type,
  concat('H', CAST(user_id % 6 + 1 AS string)) AS hospital_id,
  ts AS event_ts,
+ CASE WHEN event_type = 'error' THEN value / 10 END AS temperature_c,
  CASE WHEN event_type = 'error' THEN value / 20 END AS precipitation,
  CASE WHEN event_type = 'error' THEN value / 20 > 10 END AS is_severe,
  CASE WHEN event_type = 'error' THEN least(1.0, value / 300 + CASE WHEN value / 20 > 10 THEN 0.3 ELSE 0.0 END) END AS weather_score,
  CASE WHEN event_type = 'view' AND event_id % 10 = 0 THEN value % 10 END AS flu_index,
- CASE WHEN event_type = 'view' AND event_id % 10 <> 0 THEN value % 100 / 100 END AS congestion_score
+ CASE WHEN event_type = 'view' AND event_id % 10 <> 0 THEN value % 100 / 100 END AS congestion_score,
+ CASE WHEN event_type = 'view' AND event_id % 10 <> 0 THEN 60 - value % 50 END AS avg_speed_kmh
 FROM events
 WHERE event_type IN ('error', 'view')""",
     "prediction_pairs": """

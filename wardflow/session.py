@@ -85,3 +85,9 @@ def shared_dir(spark, name):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return path
+
+
+def remove(spark, path):
+    """Deletes a folder of the shared file system; nothing happens where there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

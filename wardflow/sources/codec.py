@@ -29,9 +29,12 @@ def with_zone(df):
 
 
 def publish(df, rules, topic, key="hospital_id"):
-    """Valid rows as (topic, key, value). Kafka partitions by the hash of `key`."""
-    ok, _ = E.dead_letter_split(df, rules, topic)
-    return encode(ok, key).select(F.lit(topic).alias("topic"), "key", "value")
+    """Rows as (topic, key, value): valid ones for `topic`, rejects with their error for the dead-letter
+    topic. Kafka partitions by the hash of `key`."""
+    ok, dead = E.dead_letter_split(df, rules, topic)
+    letter = S.json_text("original_topic", "event_id", "event_type", "error", "payload")
+    return encode(ok, key).select(F.lit(topic).alias("topic"), "key", "value").unionByName(
+        dead.withColumnRenamed("value", "payload").select(F.lit(C.TOPICS["dead"]).alias("topic"), "key", letter.alias("value")))
 
 
 def topic_of(kind):

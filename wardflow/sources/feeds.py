@@ -54,11 +54,13 @@ def context_events(events):
         "cast(event_id AS string) AS event_id",
         f"CASE WHEN {weather} THEN 'weather' WHEN {flu} THEN 'flu_index' ELSE 'traffic' END AS event_type",
         f"{_HOSPITAL} AS hospital_id", "ts AS event_ts",
+        f"CASE WHEN {weather} THEN value / 10 END AS temperature_c",
         f"CASE WHEN {weather} THEN {rain} END AS precipitation",
         f"CASE WHEN {weather} THEN {rain} > 10 END AS is_severe",
         f"CASE WHEN {weather} THEN least(1.0D, value / 300 + {boost}) END AS weather_score",
         f"CASE WHEN {flu} THEN value % 10 END AS flu_index",
-        f"CASE WHEN {road} THEN value % 100 / 100 END AS congestion_score")
+        f"CASE WHEN {road} THEN value % 100 / 100 END AS congestion_score",
+        f"CASE WHEN {road} THEN 60 - value % 50 END AS avg_speed_kmh")
 
 
 def prediction_pairs(events):

@@ -1,8 +1,9 @@
-"""Replay-safe sinks.
+"""Sinks of micro-batches.
 
-Every micro-batch writes only into folders named by its batch id, and replaces them as a whole
-when the batch is run again. Nothing already stored is rewritten in the hot path: the keyed
-upsert is resolved on reading (newest batch wins per key), and `compact` folds closed days.
+File sinks are safe to replay: every micro-batch writes only into folders named by its batch id, and
+replaces them as a whole when the batch is run again. Nothing already stored is rewritten in the hot
+path: the keyed upsert is resolved on reading (newest batch wins per key), and `compact` folds the
+days it is given. The Kafka sink delivers at least once: a replay sends the batch again.
 """
 
 from pyspark.sql import functions as F
@@ -30,7 +31,8 @@ def upsert_batch(df, path, batch_id, ts=None):
     """Store rows by batch, and by day where the key holds a time (`ts`)."""
     parts = ["batch_id"]
     if ts is not None:
-        df, parts = df.withColumn("dt", F.to_date(ts)), ["dt", "batch_id"]
+        # a file per day and about as much data as Spark wants in one, not one per shuffle partition
+        df, parts = df.withColumn("dt", F.to_date(ts)).hint("rebalance", "dt"), ["dt", "batch_id"]
     (df.withColumn("batch_id", F.lit(int(batch_id)).cast("long"))
        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy(*parts).parquet(path))
@@ -45,14 +47,15 @@ def read_latest(spark, path, keys, dates=None):
     return latest_per_key(df, [*day, *keys], ["batch_id"]).drop("dt", "batch_id")
 
 
-def compact(spark, path, target, keys, ts):
-    """Fold all batches into one per day, in a new folder; readers switch when it is complete."""
-    upsert_batch(read_latest(spark, path, keys), target, 0, ts)
+def compact(spark, path, target, keys, ts, dates=None):
+    """Fold the batches of the given days (default: all) into one per day, in a new folder; readers
+    switch when it is complete."""
+    upsert_batch(read_latest(spark, path, keys, dates), target, 0, ts)
 
 
 def archive(df, path, ts):
     """Long-term history, one folder per day."""
-    (df.withColumn("dt", F.to_date(ts)).repartition("dt", F.pmod(F.hash(*df.columns), F.lit(16)))
+    (df.withColumn("dt", F.to_date(ts)).hint("rebalance", "dt")
        .write.mode("overwrite").partitionBy("dt").parquet(path))
 
 

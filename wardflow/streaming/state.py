@@ -2,8 +2,8 @@
 
 Overdue patients come in two forms. `overdue_stream` reacts through event-time timers, one state
 row per patient; it reads all new rows of a patient together, so it wants a bounded intake.
-`overdue_body` runs per micro-batch on DataFrame operators only and splits heavy patient ids, so
-it also takes a backfill in which one placeholder id holds a third of the rows.
+`overdue_body` runs per micro-batch on DataFrame operators only and splits every patient id by time,
+so it also takes a backfill in which one placeholder id holds a third of the rows.
 """
 
 import pandas as pd
@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from wardflow.functions import scalar as S
 from wardflow.operators import census, scans
+from wardflow.session import remove
 from wardflow.sources import sinks
 from wardflow.streaming.windows import watermarked
 
@@ -99,7 +100,7 @@ _STAY = ["hospital_id", "patient_id", "dept_id", "event_id", "event_type", "even
          "expected_end"]
 
 
-def overdue_body(spark, held, out, delay_minutes=10, hot_rows=scans.HOT_ROWS):
+def overdue_body(spark, held, out, delay_minutes=10):
     """A foreachBatch body with the same result: open stays are carried from batch to batch.
 
     A stay is reported when the patient's next arrival or discharge comes after its expected end,
@@ -112,11 +113,15 @@ def overdue_body(spark, held, out, delay_minutes=10, hot_rows=scans.HOT_ROWS):
         if batch_id > 0:
             rows = rows.unionByName(spark.read.parquet(f"{held}/open/batch={batch_id - 1}"))
         near = scans.neighbour(rows, ["hospital_id", "patient_id"], ["event_ts", "event_id"],
-                               "event_ts", "event_ts", "next_ts", hot_rows=hot_rows)
+                               "event_ts", "event_ts", "next_ts", span="month")
         path = f"{held}/stays/batch={batch_id}"
         near.write.mode("overwrite").parquet(path)
         near = spark.read.parquet(path)
-        now = near.agg((F.max("event_ts") - F.make_dt_interval(mins=F.lit(delay_minutes))).alias("now")).scalar()
+        clock = near.agg((F.max("event_ts") - F.make_dt_interval(mins=F.lit(delay_minutes))).alias("now"))
+        if batch_id > 0:  # event time does not go back when a batch holds older rows only
+            clock = clock.unionByName(spark.read.parquet(f"{held}/clock/batch={batch_id - 1}")).agg(F.max("now").alias("now"))
+        clock.coalesce(1).write.mode("overwrite").parquet(f"{held}/clock/batch={batch_id}")
+        now = spark.read.parquet(f"{held}/clock/batch={batch_id}").scalar()
         stays = near.filter(F.col("event_type") == "arrival").withColumn("_now", now)
         nothing = F.col("next_ts").isNull()
         passed = F.coalesce("next_ts", "_now") >= F.col("expected_end")
@@ -124,4 +129,6 @@ def overdue_body(spark, held, out, delay_minutes=10, hot_rows=scans.HOT_ROWS):
             "hospital_id", "patient_id", "dept_id", "event_id", "arrival_ts", "expected_end"), out, batch_id)
         stays.filter(nothing & ~passed).select(*_STAY).write.mode("overwrite").parquet(
             f"{held}/open/batch={batch_id}")
+        for folder in ("stays", "open", "clock"):
+            remove(spark, f"{held}/{folder}/batch={batch_id - 2}")
     return body

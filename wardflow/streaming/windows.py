@@ -44,29 +44,25 @@ def hourly_rollup(events, cfg=C.FlowConfig(), ts="event_ts", length="1 hour"):
                     "arrival_count", "discharge_count"))
 
 
-def join_context_interval(events, signals, minutes=30, cfg=C.FlowConfig(), ts="event_ts"):
-    """Each event with its hospital's context readings of the last `minutes`; none gives NULLs.
+def join_context_interval(events, signals, minutes=30, cfg=C.FlowConfig(), ts="event_ts", spread=8):
+    """Each event with its hospital's context of the last full `minutes`; none gives NULLs.
 
-    The equi key is (hospital, time slot): a reading is offered to its own slot and to the next
-    one, an event looks only into its own. Each pair therefore meets exactly once, and a busy
-    hospital is spread over slots in place of sitting in one state partition.
+    Readings are first put together per hospital and pane, so an event meets one row at most, however
+    many readings there are. A pane is offered under `spread` numbers and an event looks under one of
+    them, so a busy hospital is spread over state partitions.
     """
     width = minutes * 60
-
-    def slot(col):
-        return F.floor(F.unix_seconds(F.col(col)) / width).cast("long")
-
-    left = watermarked(events, ts, cfg.watermark).withColumn("_slot", slot(ts)).alias("e")
-    right = (with_zone(signals).withColumnRenamed(ts, "context_ts")
-             .withWatermark("context_ts", cfg.context_watermark))
-    right = right.select(
-        F.col("event_id").alias("context_id"), F.col("hospital_id").alias("_hospital"), "context_ts",
-        "weather_score", "flu_index", F.col("congestion_score").alias("traffic_score"),
-        F.explode(F.array(slot("context_ts"), slot("context_ts") + 1)).alias("_offer"))
-    cond = ((F.col("hospital_id") == F.col("_hospital")) & (F.col("_slot") == F.col("_offer"))
-            & (F.col("context_ts") <= F.col(ts))
-            & (F.col("context_ts") > F.col(ts) - F.expr(f"interval {minutes} minutes")))
-    return left.join(right, cond, "left").drop("_slot", "_offer", "_hospital")
+    left = watermarked(events, ts, cfg.watermark).withColumns({
+        "_slot": F.floor(F.unix_seconds(F.col(ts)) / width).cast("long"),
+        "_salt": F.pmod(F.xxhash64("event_id"), F.lit(spread)).cast("int")})
+    panes = context.signal_panes(watermarked(signals, ts, cfg.context_watermark), f"{minutes} minutes", ts)
+    right = panes.select(
+        F.col("hospital_id").alias("_hospital"), F.window_time("window").alias("_pane"), F.col("window")["end"].alias("context_ts"),
+        *context.SIGNALS, F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("_offer"))
+    right = right.withColumn("_next", F.floor(F.unix_seconds("context_ts") / width).cast("long"))
+    cond = ((F.col("hospital_id") == F.col("_hospital")) & (F.col("_slot") == F.col("_next")) & (F.col("_salt") == F.col("_offer"))
+            & (F.col("_pane") < F.col(ts)) & (F.col("_pane") >= F.col(ts) - F.expr(f"interval {minutes} minutes 1 second")))
+    return left.join(right, cond, "left").drop("_slot", "_salt", "_offer", "_hospital", "_pane", "_next")
 
 
 def enrich(events, registry):
