@@ -80,12 +80,15 @@ def test_split_is_complete_and_disjoint(spark, tables):
 
 def test_context_rules(spark):
     cols = "event_id string, event_type string, hospital_id string, event_ts timestamp_ntz, precipitation double, " \
-           "weather_score double, flu_index double, congestion_score double"
+           "weather_score double, flu_index double, congestion_score double, temperature_c double, avg_speed_kmh double"
     df = spark.createDataFrame([
-        ("1", "weather", "H1", T0, 0.0, 1.0, None, None), ("2", "weather", "H1", T0, -0.1, 1.1, None, None),
-        ("3", "flu_index", "H1", T0, None, None, 10.5, None), ("4", "traffic", "H1", None, None, None, None, 0.5),
-        ("5", "snow", None, T0, None, None, None, None), ("6", "traffic", "H1", T0, None, None, None, None)], cols)
+        ("1", "weather", "H1", T0, 0.0, 1.0, None, None, 9.0, None), ("2", "weather", "H1", T0, -0.1, 1.1, None, None, 9.0, None),
+        ("3", "flu_index", "H1", T0, None, None, 10.5, None, None, None), ("4", "traffic", "H1", None, None, None, None, 0.5, None, 50.0),
+        ("5", "snow", None, T0, None, None, None, None, None, None), ("6", "traffic", "H1", T0, None, None, None, None, None, 0.0),
+        ("7", "weather", "H1", T0, None, 0.5, None, None, None, None), ("8", "traffic", "H1", T0, None, None, None, 0.5, None, -1.0),
+        ("9", "traffic", "H1", T0, None, None, None, 0.5, None, None)], cols)
     got = {r.event_id: r.errors for r in E.validate(df, E.context_rules()).collect()}
     assert got == {"1": [], "2": ["precipitation negative", "weather_score not in 0..1"], "3": ["flu_index not in 0..10"],
                    "4": ["time missing"], "5": ["event_type unknown", "hospital_id missing"],
-                   "6": ["congestion_score not in 0..1"]}
+                   "6": ["congestion_score not in 0..1"], "7": ["temperature_c missing", "precipitation missing"],
+                   "8": ["avg_speed_kmh negative"], "9": ["avg_speed_kmh missing"]}
