@@ -118,21 +118,20 @@ def signatures(s, bands, cost):
         lacking = need - int(v.sum())
         # Part with the costliest probes in exchange for neighbourhoods of cheap, indexed segments.
         usable = [i for i in rank.tolist() if i < deep and count[i] >= 2]
-        hot = [i for i in rank[::-1].tolist() if v[i] == 1 and price[i] >= 0.05]
         for i in usable:
-            if lacking > 0:
+            if lacking > 0 and v[i] < 2:
                 v[i] += 1
                 lacking -= 1
-            elif hot and v[i] == 1 and price[i] < 0.05:
-                v[hot.pop(0)] = 0
-                v[i] = 2
-            else:
-                break
         for i in range(deep):  # parts of one element or none, only where nothing else is left
             if lacking > 0 and v[i] < 2:
                 v[i] += 1
                 lacking -= 1
-        if lacking > 0:
+        hot = [i for i in rank[::-1].tolist() if v[i] == 1 and price[i] >= 0.05]
+        for i in usable:
+            if hot and v[i] == 1 and price[i] < 0.05:
+                v[hot.pop(0)] = 0
+                v[i] = 2
+        if v.sum() < need:
             raise AssertionError("segments too few for the bound")
         probe = v > 0
         if band == own:
@@ -343,7 +342,9 @@ def similar_groups(docs, size=4, num=85, den=100):
     involved = units.hint("merge").join(texts, F.col("rep") == F.col("doc_id")).select(F.col("rep").alias("doc"), "units", "text")
     sets = involved.mapInArrow(_send_sets(size), UNIT)
     links = sets.repartition("lead", "a", "b").sortWithinPartitions("lead", "a", "b").mapInArrow(_verify(num, den), "a long, b long")
-    links = links.unionByName(firsts.filter("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b")))
+    # Copies: the task's first document to the smallest first one, and to the smallest copy in its task.
+    links = links.unionByName(firsts.filter("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))).unionByName(
+        copies.groupBy("of").agg(F.min("doc").alias("b")).filter("of <> b").select(F.col("of").alias("a"), "b"))
     found = staged(components(links), "components")
 
     known = firsts.select("doc", "n", F.col("doc").alias("of")).unionByName(copies)
