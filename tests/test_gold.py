@@ -207,3 +207,26 @@ def test_zscore_statistics(spark, tables):
     z = tables.features_1h.select(S.zscore("hour_sin", mean, std).alias("z")).agg(
         F.avg("z").alias("m"), F.stddev_pop("z").alias("s")).first()
     assert (z.m, z.s) == (pytest.approx(0, abs=1e-9), pytest.approx(1))
+
+
+def test_saved_models_score_the_newest_hour(spark, tables, tmp_path):
+    """Loaded coefficients give what the fitted models give, also for hours without targets."""
+    from wardflow.operators import scans, sequences
+    from wardflow.session import staged
+    rows = staged(forecast.forecast_features(tables.grid.drop("ordinal"), tables.weighted_edges), "features")
+    known = forecast.time_split(sequences.horizon_targets(rows))
+    edge = known.groupBy("is_validation").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).collect()
+    parts = {r.is_validation: r for r in edge}
+    assert parts[False].hi < parts[True].lo
+    models, metrics = forecast.train_forecaster(known, (0.0,))
+    path = str(tmp_path / "models")
+    newest_ts = rows.agg(F.max("ts")).first()[0]
+    forecast.save_models(spark, models, metrics, path, "v1", newest_ts.replace(year=2020))
+    forecast.save_models(spark, models, metrics, path, "v2", newest_ts)
+    loaded = forecast.load_models(spark, path)
+    assert {r.model_version for r in loaded.collect()} == {"v2"}
+    newest = scans.latest_per_key(rows.select("hospital_id", "dept_id", "ts", "features"), ["hospital_id", "dept_id"], ["ts"])
+    assert newest.count() == 42 and {r.ts for r in newest.select("ts").distinct().collect()} == {newest_ts}
+    a = forecast.score_saved(newest, loaded).select("dept_id", *[F.round(f"h{h}", 6).alias(f"h{h}") for h in (1, 2, 4, 8)])
+    b = forecast.score_forecasts(newest, models).select("dept_id", *[F.round(f"h{h}", 6).alias(f"h{h}") for h in (1, 2, 4, 8)])
+    assert a.exceptAll(b).count() == 0 and a.count() == 42

@@ -16,14 +16,15 @@ def wait_minutes(events):
     moves = events.select("hospital_id", "dept_id", "patient_id", "event_type", "event_ts", "event_id")
     nxt = scans.neighbour(moves, ["hospital_id", "patient_id"], ["event_ts", "event_id"],
                           "event_ts", "event_ts", "next_ts", span="month")
-    gap = (S.micros("next_ts") - S.micros("event_ts")) / F.lit(6e7)
-    return nxt.filter(F.col("event_type") == "arrival").withColumn("wait_minutes", gap)
+    gap = S.micros("next_ts") - S.micros("event_ts")
+    return nxt.filter(F.col("event_type") == "arrival").withColumns({"wait_us": gap, "wait_minutes": gap / F.lit(6e7)})
 
 
 def avg_wait(events, length="1 hour"):
     return (wait_minutes(events)
             .groupBy("hospital_id", "dept_id", F.window("event_ts", length)["end"].alias("window_end"))
-            .agg(F.avg("wait_minutes").alias("avg_wait_time")))
+            # whole microseconds are summed, so the order of rows does not matter
+            .agg((F.sum("wait_us") / F.count("wait_us") / F.lit(6e7)).alias("avg_wait_time")))
 
 
 def los_deviation(features, days=7):

@@ -1,14 +1,16 @@
 """Training sets, forecasts and their evaluation."""
 
+import json
+
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from wardflow import config as C
 from wardflow.functions import scalar as S
 from wardflow.operators import graph, monitor, sequences
+from wardflow.session import staged
 
 SERIES = ["hospital_id", "dept_id"]
 
@@ -79,6 +81,26 @@ def split_by_time(df, cut, ts="ts"):
     return df.withColumn("is_validation", F.col(ts) >= cut)
 
 
+def forecast_features(dense, edges, steps=24):
+    """What a forecast is made from, for every department and hour with a full history: own z-scored
+    vector, in-neighbours' mean, exponentially weighted state and attention over the last `steps` hours.
+
+    No target is needed, so the newest hours are there too.
+    """
+    rows = dense.withColumns({"occupancy_ratio": F.col("feature_vector")[0], "feature_vector": S.zscore_vector("feature_vector")})
+    rows = sequences.sequence(graph.neighbour_mean(rows, edges), steps)
+    rows = sequences.history_attention(sequences.temporal_state(rows))
+    return rows.select(*SERIES, "ts", "occupancy_ratio",
+                       F.concat("feature_vector", "neighbour_vector", "state", "attended").alias("features"))
+
+
+def time_split(samples, share=0.8, ts="ts"):
+    """The last part of the time range validates: no validation hour lies before a training hour."""
+    span = samples.agg(F.min(S.micros(ts)).alias("lo"), F.max(S.micros(ts)).alias("hi"))
+    lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
+    return samples.withColumn("is_validation", S.micros(ts) >= lo + (hi - lo) * share)
+
+
 def _fit_frame(samples):
     return samples.select(*SERIES, "ts", array_to_vector("features").alias("features"),
                           "is_validation", *[f"target_{h}h" for h in C.HORIZONS])
@@ -87,31 +109,58 @@ def _fit_frame(samples):
 def train_forecaster(samples, regularization=(0.0, 0.01, 0.1)):
     """One linear model per horizon; among the regularizations the lowest validation loss is kept.
 
-    Returns ({horizon: model}, metrics rows). Fits are distributed; the driver holds coefficients.
+    Returns ({horizon: model}, metrics rows). Fits are distributed; the driver holds coefficients. The
+    samples are written to the shared folder once, which all fits read.
     """
-    data = _fit_frame(samples).persist(StorageLevel.MEMORY_AND_DISK)
+    data = staged(_fit_frame(samples), "samples")
     train, valid = data.filter(~F.col("is_validation")), data.filter("is_validation")
     models, metrics = {}, []
-    try:
-        for h in C.HORIZONS:
-            best = None
-            for reg in regularization:
-                fit = LinearRegression(featuresCol="features", labelCol=f"target_{h}h",
-                                       predictionCol="predicted", regParam=reg).fit(train)
-                scored = (fit.transform(valid).withColumn("predicted", S.clip_unit("predicted"))
-                          .withColumn("actual", F.col(f"target_{h}h")))
-                row = scored.agg(monitor.loss_column().alias("loss"),
-                                 monitor.mae_column().alias("mae"), F.count("*").alias("n")).first()
-                loss = row["loss"] if row["loss"] is not None else float("inf")
-                if best is None or loss < best[0]:
-                    best = (loss, reg, row["mae"], row["n"], fit)
-            models[h] = best[4]
-            metrics.append((h, float(best[1]), float(best[0]), float(best[2]), int(best[3])))
-    finally:
-        data.unpersist()
+    for h in C.HORIZONS:
+        best = None
+        for reg in regularization:
+            fit = LinearRegression(featuresCol="features", labelCol=f"target_{h}h",
+                                   predictionCol="predicted", regParam=reg).fit(train)
+            scored = (fit.transform(valid).withColumn("predicted", S.clip_unit("predicted"))
+                      .withColumn("actual", F.col(f"target_{h}h")))
+            row = scored.agg(monitor.loss_column().alias("loss"),
+                             monitor.mae_column().alias("mae"), F.count("*").alias("n")).first()
+            loss = row["loss"] if row["loss"] is not None else float("inf")
+            if best is None or loss < best[0]:
+                best = (loss, reg, row["mae"], row["n"], fit)
+        models[h] = best[4]
+        metrics.append((h, float(best[1]), float(best[0]), float(best[2] or 0.0), int(best[3])))
     return models, metrics
 
 
+MODEL_SCHEMA = ("model_version string, trained_at timestamp_ntz, is_active boolean, horizon int, intercept double, "
+                "coefficients array<double>, metrics_json string")
+
+
+def save_models(spark, models, metrics, path, version, trained_at):
+    """A folder per version: a row per horizon with its coefficients and its metrics as JSON text."""
+    by = {m[0]: dict(zip(("horizon", "reg_param", "val_loss", "val_mae", "n_validation"), m)) for m in metrics}
+    rows = [(version, trained_at, True, h, float(m.intercept), [float(c) for c in m.coefficients], json.dumps(by[h]))
+            for h, m in models.items()]
+    spark.createDataFrame(rows, MODEL_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}")
+
+
+def load_models(spark, path):
+    """The rows of the newest active version."""
+    rows = spark.read.schema(MODEL_SCHEMA).option("recursiveFileLookup", "true").parquet(path).filter("is_active")
+    newest = rows.groupBy().agg(F.max_by("model_version", F.struct("trained_at", "model_version")).alias("model_version"))
+    return rows.join(newest, "model_version")
+
+
+def score_saved(rows, models):
+    """Forecasts of loaded models: the coefficients are a few numbers per horizon, applied as columns."""
+    out = rows
+    for m in models.orderBy("horizon").collect():
+        weights = F.array(*[F.lit(c) for c in m["coefficients"]])
+        dot = F.aggregate(F.zip_with("features", weights, lambda x, w: x * w), F.lit(m["intercept"]), lambda a, x: a + x)
+        out = out.withColumns({f"h{m['horizon']}": S.clip_unit(dot), "model_version": F.lit(m["model_version"])})
+    return with_peak(out.drop("features"))
+
+
 METRICS_SCHEMA = "horizon int, reg_param double, val_loss double, val_mae double, n_validation long"
 
 

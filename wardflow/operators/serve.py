@@ -37,26 +37,37 @@ def topology_document(hospitals, registry, edges):
             .withColumn("total_departments", F.coalesce(F.size("departments"), F.lit(0))))
 
 
-def forecast_document(hospitals, registry, scores, context, horizon="4h", request="all"):
-    """Per hospital: departments with their forecasts, factors, peak and label.
+def forecast_document(hospitals, registry, scores, context, occupancy, horizon="4h", request="all",
+                      version=C.DEFAULT_VERSION, trained_at=None):
+    """Per hospital: departments with their forecasts, factors, peak and label, and the model's version.
 
-    `scores` holds the newest forecast per department, `context` the newest signals per hospital.
+    `scores` holds the newest forecast per department, `context` the newest signals per hospital,
+    `occupancy` the newest occupancy per department. `horizon` chooses each department's `forecast`.
     """
+    if horizon not in C.HORIZON_LABELS:
+        raise ValueError(f"horizon must be one of {', '.join(C.HORIZON_LABELS)}")
     names = registry.select("hospital_id", "dept_id", "dept_name", "dept_type", "ordinal")
+    now = occupancy.select("hospital_id", "dept_id", F.col("occupancy_ratio").alias("current_occupancy"))
     rows = (scores.filter(S.wanted_dept("dept_id", F.lit(request)))
-            .join(names, ["hospital_id", "dept_id"]).join(context, "hospital_id", "left"))
+            .join(names, ["hospital_id", "dept_id"]).join(now, ["hospital_id", "dept_id"], "left")
+            .join(context, "hospital_id", "left"))
     dept = F.struct(
         "ordinal", "dept_id", "dept_name", "dept_type",
         *[S.display_round(f"h{h}", 3).alias(f"h{h}") for h in C.HORIZONS],
+        S.display_round(f"h{horizon.removesuffix('h')}", 3).alias("forecast"),
+        S.display_round("current_occupancy", 3).alias("current_occupancy"),
         S.display_round("max_congestion", 3).alias("max_congestion"), "severity_label",
         F.struct("weather_score", "flu_index", "traffic_score").alias("contributing_factors"))
-    docs = rows.groupBy("hospital_id").agg(F.array_sort(F.collect_list(dept)).alias("departments"))
+    docs = rows.groupBy("hospital_id").agg(F.array_sort(F.collect_list(dept)).alias("departments"),
+                                           F.max("ts").alias("prediction_timestamp"))
     docs = docs.withColumn("departments", F.transform("departments", lambda d: d.withField(
         "forecasts", S.forecast_map(*[d[f"h{h}"] for h in C.HORIZONS]))
         .dropFields("ordinal", *[f"h{h}" for h in C.HORIZONS])))
     peak = F.coalesce(F.array_max(F.transform("departments", lambda d: d["max_congestion"])), F.lit(0.0))
     return (hospitals.join(docs, "hospital_id", "left")
             .withColumn("forecast_horizon", F.lit(horizon))
+            .withColumn("model_info", F.struct(F.lit(version).alias("version"),
+                                               F.lit(trained_at).cast("timestamp_ntz").alias("last_trained")))
             .withColumn("hospital_max_congestion", peak)
             .withColumn("hospital_severity", S.severity_label("hospital_max_congestion")))
 

@@ -5,9 +5,10 @@ import math
 from pyspark.sql import functions as F
 
 from wardflow import config as C
-from wardflow.operators import forecast, graph, monitor, sequences, serve
+from wardflow.operators import forecast, graph, monitor, scans, sequences, serve
 from wardflow.plans.batch_flow import unpack
 from wardflow.plans.registry import query
+from wardflow.session import shared_dir, staged
 
 R10 = range(10)
 
@@ -196,17 +197,30 @@ def split_80_20(t):
     return out.groupBy("hospital_id", "is_validation").agg(F.count("*").alias("n"))
 
 
+def _trained(t, regularization):
+    """Features of every hour, and the folder of the models learned from those whose targets are known."""
+    rows = staged(forecast.forecast_features(t.grid.drop("ordinal"), t.weighted_edges), "forecast-features")
+    known = forecast.time_split(sequences.horizon_targets(rows))
+    models, metrics = forecast.train_forecaster(known, regularization)
+    path = shared_dir(t.spark, "models")
+    newest = rows.agg(F.max("ts").alias("ts")).first()["ts"]
+    forecast.save_models(t.spark, models, metrics, path, "v1", newest)
+    return rows, path
+
+
 @query("train_forecaster")
 def train_forecaster(t):
-    _, metrics = forecast.train_forecaster(forecast.split(samples(t)), (0.0, 0.1))
-    return t.spark.createDataFrame(metrics, forecast.METRICS_SCHEMA)
+    _, path = _trained(t, (0.0, 0.1))
+    saved = forecast.load_models(t.spark, path)
+    return saved.select("model_version", F.from_json("metrics_json", forecast.METRICS_SCHEMA).alias("m")).select("model_version", "m.*")
 
 
 @query("score_forecasts")
 def score_forecasts(t):
-    rows = samples(t)
-    models, _ = forecast.train_forecaster(forecast.split(rows), (0.0,))
-    return forecast.score_forecasts(rows.select("hospital_id", "dept_id", "ts", "features"), models)
+    """The newest hour of every department, by the models saved and loaded again."""
+    rows, path = _trained(t, (0.0,))
+    newest = scans.latest_per_key(rows.select("hospital_id", "dept_id", "ts", "features"), ["hospital_id", "dept_id"], ["ts"])
+    return forecast.score_saved(newest, forecast.load_models(t.spark, path))
 
 
 _SLOPE = "coalesce(CASE WHEN count(*) OVER w >= 2 THEN regr_slope(occupancy_ratio, epoch_us(ts) / 3.6e9) OVER w END, 0.0)"

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from wardflow.functions import scalar as S
-from wardflow.operators import forecast, monitor, serve
+from wardflow.operators import forecast, monitor, scans, serve
 from wardflow.plans.batch_graph import pairs
 from wardflow.plans.registry import query
 from wardflow.plans.views import LABEL, LOSS, psi_sql
@@ -93,17 +93,23 @@ def topology_document(t):
 @query("forecast_document", f"""
 SELECT p.hospital_id, d.dept_id, d.dept_name, {_shown(1, 3)} AS f1, {_shown(2, 3)} AS f2, {_shown(4, 3)} AS f4, {_shown(8, 3)} AS f8,
  floor(max_congestion * 1e3 + 0.5) / 1e3 AS max_congestion, severity_label,
- max(floor(max_congestion * 1e3 + 0.5) / 1e3) OVER (PARTITION BY p.hospital_id) AS hospital_max_congestion, c.weather_score
+ max(floor(max_congestion * 1e3 + 0.5) / 1e3) OVER (PARTITION BY p.hospital_id) AS hospital_max_congestion, c.weather_score,
+ {_shown(8, 3)} AS forecast, floor(o.occupancy * 1e3 + 0.5) / 1e3 AS current_occupancy, max(p.ts) OVER (PARTITION BY p.hospital_id) AS prediction_timestamp,
+ '8h' AS forecast_horizon, '1.0.0' AS model_version
 FROM last_preds p JOIN departments d ON d.dept_id = p.dept_id
+LEFT JOIN (SELECT dept_id, arg_max(occupancy_ratio, ts) AS occupancy FROM occ_1h GROUP BY 1) o ON o.dept_id = p.dept_id
 LEFT JOIN (SELECT hospital_id, arg_max(weather_score, window_end) AS weather_score FROM ctx_30m GROUP BY 1) c ON c.hospital_id = p.hospital_id""",
-       "f1 f2 f4 f8 max_congestion hospital_max_congestion weather_score")
+       "f1 f2 f4 f8 forecast current_occupancy max_congestion hospital_max_congestion weather_score")
 def forecast_document(t):
     newest = t.context_30m.groupBy("hospital_id").agg(*[
         F.max_by(c, F.when(F.col(c).isNotNull(), F.col("window_end"))).alias(c)
         for c in ("weather_score", "flu_index", "traffic_score")])
-    docs = serve.forecast_document(t.hospitals, t.registry, t.last_predictions, newest)
-    d = docs.select("hospital_id", "hospital_max_congestion", F.explode("departments").alias("d"))
-    return d.select("hospital_id", "hospital_max_congestion", "d.dept_id", "d.dept_name", "d.max_congestion", "d.severity_label",
+    present = scans.latest_per_key(t.occupancy.select("hospital_id", "dept_id", "ts", "occupancy_ratio"), ["hospital_id", "dept_id"], ["ts"])
+    docs = serve.forecast_document(t.hospitals, t.registry, t.last_predictions, newest, present, "8h")
+    d = docs.select("hospital_id", "hospital_max_congestion", "prediction_timestamp", "forecast_horizon",
+                    F.col("model_info.version").alias("model_version"), F.explode("departments").alias("d"))
+    return d.select("hospital_id", "hospital_max_congestion", "prediction_timestamp", "forecast_horizon", "model_version",
+                    "d.forecast", "d.current_occupancy", "d.dept_id", "d.dept_name", "d.max_congestion", "d.severity_label",
                     *[S.horizon_score("d.forecasts", f"{h}h", None).alias(f"f{h}") for h in (1, 2, 4, 8)],
                     "d.contributing_factors.weather_score")
 
