@@ -327,8 +327,9 @@ def similar_groups(docs, size=4, num=85, den=100):
     one_each = firsts.groupBy("doc").agg(F.min("rep").alias("rep"), F.max("n").alias("n"))
 
     # Signatures by set (its smallest document), the leader of each, and the leaders' groups.
-    by_set = rows.filter("flag > 0").select("sig", "doc").join(one_each, "doc").groupBy("sig", "rep").agg(F.max("n").alias("n"))
-    star = by_set.withColumn("lead", F.min("rep").over(Window.partitionBy("sig"))).filter("rep <> lead")
+    by_set = staged(rows.filter("flag > 0").select("sig", "doc").join(one_each, "doc").groupBy("sig", "rep").agg(F.max("n").alias("n")), "parts")
+    leads = by_set.groupBy("sig").agg(F.min("rep").alias("lead"), F.max("rep").alias("top")).filter("lead < top").drop("top")
+    star = by_set.hint("merge").join(leads, "sig").filter("rep <> lead")  # a part that many sets share may be split
     star = staged(star.select("lead", "rep", "n").distinct(), "leaders")
     blocks = star.groupBy("lead").agg(F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     members = star.select("lead", "rep").unionByName(star.select("lead", F.col("lead").alias("rep")).distinct())
