@@ -7,6 +7,7 @@ BENCH_SF_DIR (default /root/testdata/sf0.1) and BENCH_CPUS choose the data and t
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -20,7 +21,7 @@ HEADLINE = [
     "edge_weights", "neighbor_mean", "graph_attention", "sequence_24", "history_attention",
     "training_set", "persistence_forecast", "evaluate_forecasts", "drift_status", "alert_resolution",
     "sink_predictions", "validate_events", "stream_patient_windows", "stream_context_windows",
-    "sink_feature_store",
+    "sink_feature_store", "join_context_interval",
 ]
 
 
@@ -29,7 +30,8 @@ def main():
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session("bench", f"local[{cpus}]", **{
         "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false",
-        "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"})
+        "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g",
+        "spark.checkpoint.dir": os.environ.get("BENCH_SHARED_DIR") or tempfile.mkdtemp(prefix="bench-")})
     queries, _ = registry.load()
     names = list(queries) if "--all" in sys.argv else HEADLINE
     queries["flow_features"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # start the workers
