@@ -191,7 +191,7 @@ def _emit_rows(size, num, den):
                     prints = fingerprint(s)
                     first = seen.setdefault(prints, i) if len(s) and i is not None else i
                     if not len(s) or i is None or prints in seen and first != i:
-                        rows.append((None if i is None else hash(("copy", i)), first, i, -(4 * len(s) + COPY)))
+                        rows.append((None if i is None else i * 0x9E3779B97F4A7C15 % (1 << 63), first, i, -(4 * len(s) + COPY)))
                         continue
                     rows.append((*prints, i, -(4 * len(s) + FIRST)))
                     cost = np.maximum(sketch[(s & np.uint64(SKETCH - 1)).astype(np.int64)] - noise, 0) / max(docs, 200)
