@@ -66,6 +66,12 @@ def total_transfers(events):
             .agg(F.count("*").alias("transfer_count")))
 
 
+def with_observed(edges, counts):
+    """Directed edges with the transfers seen along them; 0 where there were none."""
+    return (edges.join(counts.select(*PAIR, "transfer_count"), PAIR, "left")
+            .withColumn("transfer_count", F.coalesce("transfer_count", F.lit(0))))
+
+
 def edge_base_weights(edges):
     """One static weight per directed pair; where edges overlap, the last definition wins."""
     factor = F.lit(OTHER_FACTOR)

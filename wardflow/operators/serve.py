@@ -26,13 +26,14 @@ def overview_cards(hospitals, forecasts, registry):
 
 
 def topology_document(hospitals, registry, edges):
-    """Per hospital: its departments and edges as sorted arrays (bounded by the registry)."""
+    """Per hospital: its departments and edges, with the transfers seen along each, as sorted arrays
+    (bounded by the registry)."""
     d = registry.groupBy("hospital_id").agg(
         F.array_sort(F.collect_list(F.struct("ordinal", "dept_id", "dept_name", "dept_type",
                                              "capacity", "lat", "lon"))).alias("departments"))
     e = edges.groupBy("hospital_id").agg(
         F.array_sort(F.collect_list(F.struct("ordinal", "source_dept", "target_dept", "edge_type",
-                                             "base_weight"))).alias("edges"))
+                                             "base_weight", "transfer_count"))).alias("edges"))
     return (hospitals.join(d, "hospital_id", "left").join(e, "hospital_id", "left")
             .withColumn("total_departments", F.coalesce(F.size("departments"), F.lit(0))))
 

@@ -40,14 +40,19 @@ def resolve_edges(t):
     return graph.resolve_edges(graph.total_transfers(moved), nodes)
 
 
-@query("symmetrize_edges", "SELECT * FROM sym_edges", "base_weight")
+_SEEN = "coalesce(c.transfer_count, 0) AS transfer_count"
+
+
+@query("symmetrize_edges", f"SELECT s.*, {_SEEN} FROM sym_edges s LEFT JOIN transfers c USING (hospital_id, source_dept, target_dept)",
+       "base_weight")
 def symmetrize_edges(t):
-    return graph.symmetrize(t.edges)
+    return graph.with_observed(graph.symmetrize(t.edges), graph.total_transfers(t.patients))
 
 
-@query("edge_base_weights", "SELECT * FROM base_edges", "base")
+@query("edge_base_weights", f"SELECT b.*, {_SEEN} FROM base_edges b LEFT JOIN transfers c USING (hospital_id, source_dept, target_dept)",
+       "base")
 def edge_base_weights(t):
-    return graph.edge_base_weights(t.edges)
+    return graph.with_observed(graph.edge_base_weights(t.edges), graph.total_transfers(t.patients))
 
 
 @query("edge_weights", "SELECT * FROM wedges", "raw weight")

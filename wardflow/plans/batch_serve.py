@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from wardflow.functions import scalar as S
-from wardflow.operators import forecast, monitor, scans, serve
+from wardflow.operators import forecast, graph, monitor, scans, serve
 from wardflow.plans.batch_graph import pairs
 from wardflow.plans.registry import query
 from wardflow.plans.views import LABEL, LOSS, psi_sql
@@ -80,14 +80,16 @@ def hospital_rollup(t):
 
 
 @query("topology_document", """
-SELECT hospital_id, total_departments, CAST(count(*) AS INT) AS n_edges, string_agg(source_dept || '>' || target_dept, ',' ORDER BY ordinal) AS links
-FROM edges JOIN (SELECT hospital_id, CAST(count(*) AS INT) AS total_departments FROM departments GROUP BY 1) USING (hospital_id) GROUP BY 1, 2""")
+SELECT hospital_id, total_departments, CAST(count(*) AS INT) AS n_edges, string_agg(source_dept || '>' || target_dept, ',' ORDER BY ordinal) AS links,
+ CAST(sum(coalesce(transfer_count, 0)) AS BIGINT) AS n_transfers
+FROM edges LEFT JOIN transfers USING (hospital_id, source_dept, target_dept) JOIN (SELECT hospital_id, CAST(count(*) AS INT) AS total_departments FROM departments GROUP BY 1) USING (hospital_id) GROUP BY 1, 2""")
 def topology_document(t):
     seen = serve.restrict_hospitals(t.hospitals, t.patients)
-    docs = serve.topology_document(seen, t.registry, t.edges)
+    docs = serve.topology_document(seen, t.registry, graph.with_observed(t.edges, graph.total_transfers(t.patients)))
     links = F.transform("edges", lambda e: F.concat(e["source_dept"], F.lit(">"), e["target_dept"]))
     return docs.select("hospital_id", "total_departments", F.size("edges").alias("n_edges"),
-                       F.concat_ws(",", links).alias("links"))
+                       F.concat_ws(",", links).alias("links"),
+                       F.aggregate("edges", F.lit(0).cast("long"), lambda n, e: n + e["transfer_count"]).alias("n_transfers"))
 
 
 @query("forecast_document", f"""
