@@ -168,11 +168,14 @@ def fit(unknown, seed=3, penalty=2e-4, steps=300):
 def train(docs, sample=400):
     """A model whose `unknown` class knows paragraphs of at most `sample` documents of the corpus."""
     ship(docs.sparkSession)
-    chosen = docs.select("doc_id", "text").filter("text IS NOT NULL").orderBy(F.xxhash64("doc_id", F.lit(47)), "doc_id").limit(sample)
-    keep = F.expr("slice(filter(split(text, '\\n'), x -> pmod(xxhash64(x), 4) = 0), 1, 6)")
+    rows = docs.select(F.xxhash64("doc_id", "text", F.lit(47)).alias("key"), "text").filter("text IS NOT NULL")
+    # Numbers alone are ordered; texts are fetched for the chosen ones, of equal rows one.
+    chosen = F.broadcast(rows.select("key").distinct().orderBy("key").limit(sample))
+    lines = F.expr("slice(filter(split(text, '\\n'), x -> pmod(xxhash64(x), 4) = 0), 1, 6)")
+    chosen = rows.join(chosen, "key").groupBy("key").agg(F.min(lines).alias("lines"))
     known = {p for t in TEMPLATES.values() for x in t for p in (pairs(tokens(x)),) for p in p}
     out = []
-    for r in chosen.select(keep.alias("lines")).collect():
+    for r in chosen.collect():
         for line in r["lines"]:
             words = tokens(line)[:WORDS]
             if words and len(pairs(words) & known) < 2:  # not itself a notice
