@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardflow.llm import pieces
-from wardflow.llm.common import ship, slices
+from wardflow.llm.common import ship, slices, tidy
 
 
 def _put(batch, name, column):
@@ -39,8 +39,9 @@ def encode(df, vocab, text="text", ids="ids"):
                 found, offsets = encoder.encode(*pieces.texts(part.column(text)))
                 column = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(found.view(np.int32)))
                 yield _put(part, ids, column)
+        encoder.known.clear()  # the next task may belong to another operator
 
-    return df.mapInArrow(run, _schema(df, ids, T.ArrayType(T.IntegerType())))
+    return df.mapInArrow(tidy(run), _schema(df, ids, T.ArrayType(T.IntegerType())))
 
 
 def decode(df, vocab, ids="ids", text="decoded"):
@@ -59,7 +60,7 @@ def decode(df, vocab, ids="ids", text="decoded"):
                     if column[i].is_valid else "" for i in range(len(column))]
             yield _put(batch, text, pa.array(rows, pa.string()))
 
-    return df.mapInArrow(run, _schema(df, text, T.StringType()))
+    return df.mapInArrow(tidy(run), _schema(df, text, T.StringType()))
 
 
 def digests(df, vocab, text="text"):

@@ -1,5 +1,6 @@
 """What several operators of this folder share: shipping, shared folders, bytes, components."""
 
+import ctypes
 import os
 import re
 import zipfile
@@ -13,9 +14,16 @@ from pyspark.sql import functions as F
 from wardflow.session import shared_dir, staged  # noqa: F401  (re-used by the operators)
 
 
+ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark):
-    """Sends this package to the executors once per Spark context, through the shared folder."""
+    """Makes a session ready for these operators: the package is sent to the executors once per Spark
+    context, through the shared folder, and Arrow batches get 1,000 rows where the session has Spark's
+    default of 10,000, which is made for short rows and not for whole texts."""
     context = spark.sparkContext
+    if spark.conf.get(ROWS) == "10000":
+        spark.conf.set(ROWS, "1000")
     if getattr(context, "_wardflow_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -32,6 +40,20 @@ def ship(spark):
     context._wardflow_shipped = True
 
 
+def tidy(run):
+    """A task's function that hands memory back when the task ends: workers live on between tasks."""
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not this C library
+                pass
+    return inner
+
+
 def filesystem(uri):
     """(file system, path) of a folder URI as pyarrow knows it: file, hdfs, s3, gs, abfs."""
     if re.match(r"[a-z][a-z0-9+.-]*:", uri):

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from wardflow.llm import pieces
-from wardflow.llm.common import ship, slices
+from wardflow.llm.common import ship, slices, tidy
 from wardflow.llm.shingles import mix
 
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
@@ -219,7 +219,7 @@ def find_passages(docs, benchmark, rate=0.2, target=0.95, portion=32 << 20):
     ship(docs.sparkSession)
     out = None
     for known in _portions(benchmark, rate, target, portion):
-        found = docs.select("doc_id", "text").mapInArrow(_finder(known), "doc_id long, item_id long, start long, end long, edits int")
+        found = docs.select("doc_id", "text").mapInArrow(tidy(_finder(known)), "doc_id long, item_id long, start long, end long, edits int")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -228,7 +228,7 @@ def without_passages(docs, benchmark, rate=0.2, target=0.95, portion=32 << 20):
     """The rows in whose text no benchmark passage is found; nothing is shuffled."""
     ship(docs.sparkSession)
     for known in _portions(benchmark, rate, target, portion):
-        docs = docs.mapInArrow(_cleaner(known), docs.schema)
+        docs = docs.mapInArrow(tidy(_cleaner(known)), docs.schema)
     return docs
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardflow.llm import pieces
-from wardflow.llm.common import held_out, ship, slices
+from wardflow.llm.common import held_out, ship, slices, tidy
 
 WINDOW, VECTOR, FILTERS, WIDTHS = 256, 8, 16, (2, 3, 4)
 
@@ -218,7 +218,7 @@ def identify(df, network, text="text", keep=None, new=NEW):
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score)],
                                                  names=[*keep, *new])
 
-    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(tidy(run), schema)
 
 
 def in_known_languages(docs, network, least=0.3):

@@ -34,7 +34,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wardflow.llm import pieces
-from wardflow.llm.common import components, ship, slices, staged
+from wardflow.llm.common import components, ship, slices, staged, tidy
 from wardflow.llm.shingles import mix, shingle_set
 
 SKETCH = 1 << 18
@@ -316,7 +316,7 @@ def similar_groups(docs, size=4, num=85, den=100):
     ship(spark)
     texts = docs.select("doc_id", "text")
     mine = Window.partitionBy("sig", "other")
-    rows = texts.mapInArrow(_emit_rows(size, num, den), ROWS)
+    rows = texts.mapInArrow(tidy(_emit_rows(size, num, den)), ROWS)
     rows = rows.withColumns({"lead": F.min("doc").over(mine), "top": F.max("doc").over(mine),
                              "all": F.expr("bit_or(flag)").over(mine)})
     rows = staged(rows.filter("flag < 0 OR (lead < top AND all = 3)").drop("top", "all"), "signatures")
@@ -341,8 +341,8 @@ def similar_groups(docs, size=4, num=85, den=100):
 
     # The documents in play grow with the corpus and have no proven bound: never a broadcast.
     involved = units.hint("merge").join(texts, F.col("rep") == F.col("doc_id")).select(F.col("rep").alias("doc"), "units", "text")
-    sets = involved.mapInArrow(_send_sets(size), UNIT)
-    links = sets.repartition("lead", "a", "b").sortWithinPartitions("lead", "a", "b").mapInArrow(_verify(num, den), "a long, b long")
+    sets = involved.mapInArrow(tidy(_send_sets(size)), UNIT)
+    links = sets.repartition("lead", "a", "b").sortWithinPartitions("lead", "a", "b").mapInArrow(tidy(_verify(num, den)), "a long, b long")
     # Copies: the task's first document to the smallest first one, and to the smallest copy in its task.
     links = links.unionByName(firsts.filter("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))).unionByName(
         copies.groupBy("of").agg(F.min("doc").alias("b")).filter("of <> b").select(F.col("of").alias("a"), "b"))

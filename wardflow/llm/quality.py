@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardflow.llm import pieces
-from wardflow.llm.common import held_out, ship, slices
+from wardflow.llm.common import held_out, ship, slices, tidy
 
 STATISTICS = ("bytes", "words", "lines", "word_length", "line_length", "upper", "lower", "digit", "space", "beyond_ascii", "stop",
               "mark", "entropy", "distinct_words", "top_word", "distinct_lines", "repeated_line_bytes", "marked_words",
@@ -188,7 +188,7 @@ def score(df, trees, text="text", keep=None, at_least=0.7, new=NEW):
                 p = trees.score(matrix(part.column(text)))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(p), pa.array((p >= at_least).astype(np.int32))], names=[*keep, *new])
 
-    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(tidy(run), schema)
 
 
 def of_good_quality(docs, trees, at_least=0.7):

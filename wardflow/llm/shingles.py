@@ -10,7 +10,7 @@ MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779
 class _Words(dict):
     """Word -> 64-bit hash in bytes; remembers at most `room` words."""
 
-    room = 300_000
+    room = 150_000
 
     def __missing__(self, word):
         found = xxhash.xxh3_64_digest(word)
