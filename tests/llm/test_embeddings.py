@@ -1,6 +1,7 @@
 """Embedding near-duplicates against all pairs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from wardflow.llm import embedding_dedup
@@ -75,3 +76,36 @@ def test_graph_recall():
     assert recall > 0.9
     for links, width in zip(graph.links, [32, 16, 16]):
         assert links.shape[1] == width and links.max() < len(x)
+
+
+def test_rare_pairs_are_audited(spark):
+    """Three pairs that a sample of 256 vectors does not meet, and a beam that is too narrow for any."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 48))
+    x[1:4] = x[4:7] + rng.normal(size=(3, 48)) * 0.1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id for r in embedding_dedup.near_duplicates(df, shards=1, beam=1).filter("n_links > 0").collect()}
+    assert got == {1, 2, 3, 4, 5, 6}
+
+
+def test_large_group_does_not_outvote_pairs(monkeypatch):
+    """Searches that lose all pairs until the beam is 64 wide, beside a group with nearly all links."""
+    class Weak(Graph):
+        def search(self, q, ef, lowest=0):
+            ids, sims = super().search(q, ef, lowest)
+            return ids, np.where((ids < 120) & (ef < 64), -2, sims) if lowest == 0 and built else sims
+
+    built = []
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1000, 48))
+    x[:60] = x[60:120] + rng.normal(size=(60, 48)) * 0.1
+    x = np.concatenate((x, rng.normal(size=48) + rng.normal(size=(600, 48)) * 0.05))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    monkeypatch.setattr(embedding_dedup, "Graph", lambda v: (Weak(v), built.append(1))[0])
+    n = len(x)
+    batch = pa.RecordBatch.from_pydict({"dim": pa.array([48] * n, pa.int32()), "shard": pa.array([0] * n, pa.int32()), "own": [True] * n,
+                                        "id": pa.array(range(n), pa.int64()), "weight": pa.array([1] * n, pa.int64()),
+                                        "unit": pa.array([v.tobytes() for v in x], pa.binary())})
+    rows = pa.Table.from_batches(list(embedding_dedup._build(0.95, 0.99, 16, 256)([batch])))
+    assert rows.column("beam")[0].as_py() >= 64
+    assert rows.column("label").to_pylist()[60:120] == list(range(60))

@@ -5,8 +5,12 @@
   written to the shared folder, a row per node. The number of shards follows the number of vectors
   (`shard_rows` each at most, on average), so a shard's memory is bounded.
 * After building, a shard searches for all its vectors and joins what is linked into local groups. An
-  audit compares the links found for a sample of its vectors with all pairs; while recall is short of
-  `recall`, the beam is widened and the audit repeated. The beam that passed is kept with the shard.
+  audit compares the links found for queries with all pairs; while recall is short of `recall`, the
+  beam is widened and the audit repeated. Queries are vectors of the shard and, as many, vectors of
+  others (each vector is a query in one other shard too), `audits` at a time by a hash until `linked`
+  of each kind have links to few vectors, or all were taken. A query counts once, however many links
+  it has, and own and foreign queries with few and with many links must each reach `recall`. The beam
+  that passed is kept with the shard; one as wide as the shard is a comparison with all its vectors.
 * Every vector queries every shard. Where its beam meets a linked vector it is widened to that
   vector's whole local group, whose cosines are verified in double precision. So a group of
   thousands costs matrix products, and no pairs are handed out: a query returns, per local group, how
@@ -25,7 +29,9 @@ from pyspark.sql import functions as F
 
 from wardflow.llm.common import components, ship, staged
 from wardflow.llm.hnsw import M, WIDE, Graph
+from wardflow.llm.shingles import mix
 
+FEW = 8  # linked vectors of a query that belongs to a small group
 NODE = "dim int, shard int, part int, kind int, pos int, id long, weight long, unit binary, links binary, level int, label long, beam int"
 KINDS = [("dim", pa.int32()), ("shard", pa.int32()), ("part", pa.int32()), ("kind", pa.int32()), ("pos", pa.int32()),
          ("id", pa.int64()), ("weight", pa.int64()), ("unit", pa.binary()), ("links", pa.binary()), ("level", pa.int32()),
@@ -53,11 +59,27 @@ def _matrix(column):
     return np.frombuffer(b"".join(data), np.float64).reshape(len(data), -1)
 
 
+def _linked(q, x, a, b, least):
+    """Which pairs (row a of q, row b of x) are linked, in double precision and bounded memory."""
+    out, step = np.zeros(len(a), bool), max(1, (4 << 20) // q.shape[1])
+    for i in range(0, len(a), step):
+        out[i:i + step] = np.einsum("nd,nd->n", q[a[i:i + step]], x[b[i:i + step]]) >= least
+    return out
+
+
+def _close(graph, q, beam, least):
+    """(query, node) of what a beam meets that may be linked; all there are if it is as wide as the shard."""
+    if beam >= len(graph.x):
+        return np.nonzero(q.astype(np.float32) @ graph.x.T >= least - 1e-4)
+    found, sims = graph.search(q, beam)
+    rows, cols = np.nonzero(sims >= least - 1e-4)
+    return rows, found[rows, cols]
+
+
 def link_counts(graph, x, ids, weights, label, members, q, q_ids, beam, least):
     """Arrays (query, local group, linked weight) of a batch of queries; a query never counts itself."""
-    found, sims = graph.search(q, min(beam, len(x)))
-    rows, cols = np.nonzero(sims >= least - 1e-4)
-    pairs = np.unique(np.stack((label[found[rows, cols]], rows)), axis=1)
+    rows, nodes = _close(graph, q, beam, least)
+    pairs = np.unique(np.stack((label[nodes], rows)), axis=1)
     out = []
     for g, a, z in zip(*np.unique(pairs[0], return_index=True), np.append(np.unique(pairs[0], return_index=True)[1][1:], pairs.shape[1])):
         query = pairs[1, a:z]
@@ -82,12 +104,12 @@ def _local_labels(graph, x, beam, least, batch=256):
     label = np.arange(len(x))
     edges = []
     for a in range(0, len(x), batch):
-        found, sims = graph.search(x[a:a + batch], min(beam, len(x)))
-        rows, cols = np.nonzero((sims >= least) & (found != np.arange(a, a + len(found))[:, None]))
-        edges.append(np.stack((rows + a, found[rows, cols])))
+        rows, nodes = _close(graph, x[a:a + batch], beam, least)
+        rows = rows + a
+        keep = rows != nodes
+        keep[keep] = _linked(x, x, rows[keep], nodes[keep], least)
+        edges.append(np.stack((rows[keep], nodes[keep])))
     a, b = np.concatenate(edges, 1)
-    keep = np.einsum("nd,nd->n", x[a], x[b]) >= least if len(a) else np.zeros(0, bool)
-    a, b = a[keep], b[keep]
     while True:
         low = np.minimum(label[a], label[b])
         after = label.copy()
@@ -99,18 +121,50 @@ def _local_labels(graph, x, beam, least, batch=256):
         label = after
 
 
-def _build(least, recall, first_beam, audits):
-    def node_rows(dim, shard, ids, weights, x):
+def _audit_queries(graph, x, ids, weights, q, q_ids, least, audits, linked):
+    """(positions of queries with links, linked weight, whether the links are few), by all pairs.
+
+    `audits` queries at a time until `linked` of them have few links, or all were taken.
+    """
+    at, wanted, few = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+    order = np.argsort(mix(q_ids.astype(np.uint64) ^ np.uint64(0x5DEECE66D)), kind="stable")
+    for a in range(0, len(q), audits):
+        part = order[a:a + audits]
+        rows, nodes = _close(graph, q[part], len(x), least)
+        ok = ids[nodes] != q_ids[part][rows]
+        ok[ok] = _linked(q, x, part[rows[ok]], nodes[ok], least)
+        rows, nodes = rows[ok], nodes[ok]
+        count = np.bincount(rows, minlength=len(part))
+        some = count > 0
+        at.append(part[some])
+        wanted.append(np.bincount(rows, weights[nodes], len(part))[some])
+        few.append(count[some] <= FEW)
+        if sum(int(f.sum()) for f in few) >= linked:
+            break
+    return np.concatenate(at), np.concatenate(wanted), np.concatenate(few)
+
+
+def _passes(graph, x, ids, weights, label, audit, beam, least, recall):
+    """Whether queries with few links and with many each have `recall` of them on average."""
+    q, q_ids, wanted, few = audit
+    members, got = _groups(label), np.zeros(len(q))
+    for a in range(0, len(q), 256):
+        query, _, total = link_counts(graph, x, ids, weights, label, members, q[a:a + 256], q_ids[a:a + 256], beam, least)
+        got[a:a + 256] = np.bincount(query, total, len(q[a:a + 256]))
+    share = np.minimum(got, wanted) / wanted
+    return all(share[kind].mean() >= recall for kind in (few, ~few) if kind.any())
+
+
+def _build(least, recall, first_beam, audits, linked=64):
+    def node_rows(dim, shard, ids, weights, x, other_ids, others):
         graph, beam = Graph(x), first_beam
-        sample = np.unique(np.linspace(0, len(x) - 1, min(audits, len(x))).astype(int))
-        near = x[sample] @ x.T >= least
-        near[np.arange(len(sample)), sample] = False
-        wanted = near @ weights
+        kinds = []
+        for q, q_ids in ((x, ids), (others, other_ids)):
+            at, wanted, few = _audit_queries(graph, x, ids, weights, q, q_ids, least, audits, linked)
+            kinds.append((q[at], q_ids[at], wanted, few))
         while True:
             label = _local_labels(graph, x, beam, least)
-            query, _, total = link_counts(graph, x, ids, weights, label, _groups(label), x[sample], ids[sample], beam, least)
-            got = np.bincount(query, total, len(sample))
-            if np.minimum(got, wanted).sum() >= recall * wanted.sum() or beam >= len(x):
+            if beam >= len(x) or all(_passes(graph, x, ids, weights, label, k, beam, least, recall) for k in kinds):
                 break
             beam *= 2
         smallest = np.full(len(x), np.iinfo(np.int64).max)
@@ -126,7 +180,11 @@ def _build(least, recall, first_beam, audits):
 
     def run(batches):
         for (dim, shard), rows in _runs(batches, ("dim", "shard")):
-            yield from node_rows(dim, shard, rows.column("id").to_numpy(), rows.column("weight").to_numpy(), _matrix(rows.column("unit").combine_chunks()))
+            own = rows.column("own").to_numpy(zero_copy_only=False)
+            ids, weights = rows.column("id").to_numpy(), rows.column("weight").to_numpy()
+            x = _matrix(rows.column("unit").combine_chunks())
+            if own.any():
+                yield from node_rows(dim, shard, ids[own], weights[own], x[own], ids[~own], x[~own])
     return run
 
 
@@ -195,7 +253,7 @@ def _search(least, size=256):
     return run
 
 
-def near_duplicates(embeddings, least=0.95, shard_rows=50_000, shards=6, recall=0.99, beam=16, audits=256):
+def near_duplicates(embeddings, least=0.95, shard_rows=50_000, shards=6, recall=0.99, beam=16, audits=256, linked=64):
     """vec_id, n_links, component_id and kept of every vector of (vec_id, embedding)."""
     spark = embeddings.sparkSession
     ship(spark)
@@ -209,8 +267,12 @@ def near_duplicates(embeddings, least=0.95, shard_rows=50_000, shards=6, recall=
     parts = max(1, -(-n // shard_rows))
     dim = (F.octet_length("unit") / 8).cast("int")
     home = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
-    index = staged(reps.select(dim.alias("dim"), home.alias("shard"), "id", "weight", "unit").repartition("dim", "shard")
-                   .sortWithinPartitions("dim", "shard", "id").mapInArrow(_build(least, recall, beam, audits), NODE), "graphs")
+    dealt = reps.select(dim.alias("dim"), home.alias("shard"), F.lit(True).alias("own"), "id", "weight", "unit")
+    if shards > 1:
+        away = F.pmod(home + 1 + F.pmod(F.xxhash64("id", F.lit(2)), F.lit(shards - 1)), F.lit(shards)).cast("int")
+        dealt = dealt.unionByName(reps.select(dim.alias("dim"), away.alias("shard"), F.lit(False).alias("own"), "id", "weight", "unit"))
+    index = staged(dealt.repartition("dim", "shard").sortWithinPartitions("dim", "shard", "id")
+                   .mapInArrow(_build(least, recall, beam, audits, linked), NODE), "graphs")
 
     each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     nodes = index.drop("part").withColumn("part", each(parts)).select(*[k for k, _ in KINDS])
