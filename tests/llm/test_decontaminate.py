@@ -83,3 +83,22 @@ def test_recall_is_reached():
     rnd = random.Random(2)
     bench = D.Benchmark([(i, " ".join("w%d" % rnd.randrange(900) for _ in range(20 + i % 30))) for i in range(60)])
     assert bench._recall() >= 0.95
+
+
+def test_long_items_with_all_edits_are_found(spark):
+    """Every length class reaches the target: items of 500 words with 100 edits, beside many short ones."""
+    rnd = random.Random(4)
+    text = lambda n: ["w%d" % rnd.randrange(3000) for _ in range(n)]
+    items = {i: text(12) for i in range(450)} | {1000 + i: text(500) for i in range(6)}
+    docs = []
+    for i in range(1000, 1006):
+        passage = list(items[i])
+        for _ in range(100):
+            at = rnd.randrange(len(passage))
+            kind = rnd.randrange(3)
+            passage[at:at + (kind < 2)] = ["edited"] * (kind != 1)
+        docs.append((i, " ".join(text(40) + passage + text(40) + passage + text(30))))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string")
+    got = [(r.doc_id, r.item_id) for r in D.find_passages(df, bench).collect() if r.item_id >= 1000]
+    assert sorted(got) == [(i, i) for i in range(1000, 1006) for _ in range(2)]

@@ -4,14 +4,18 @@ Texts are sequences of words (A-Z in lower case, ASCII punctuation as space). Th
 over a sequence with a pointer: in step t it writes the word under the pointer and moves on if a random
 bit of (t, word) is set. Walks over two sequences run apart at an edit and soon fall in step again, so
 few edits leave few places where the outputs differ: edit distance becomes Hamming distance. A key is
-the words written in a few sampled steps; the number of random walks (`repeats`) is raised until items
-with as many random edits as allowed are found as often as `target` asks.
+the words written in a few sampled steps; the number of random walks is raised for every class of
+lengths by itself, until items of the class (chosen by a hash) with as many random edits as allowed are
+found as often as `target` asks. There is no fixed end: a class goes on while eight more walks take away
+a third of what was missed. One that stops gaining is searched exactly, by a count that loses none.
 
 * Items are cut to windows of the largest class length that fits (lengths grow by a quarter); all
   such windows of an item are keyed.
 * In the documents every window of every class length is considered. One within the allowed edits of
   an item has at most that many words that occur in no item, counted for all windows at once by a
   running sum; only windows that pass walk. The bound loses none.
+* A class searched exactly: a stretch within the allowed edits of an item holds all its words but that
+  many, so stretches with fewer words that occur in the item are passed over, the rest are verified.
 * Windows that share a key with an item are verified: the item's exact edit distance, in words, to
   the best stretch around the window must be at most floor(rate * words of the item).
 
@@ -104,7 +108,7 @@ def edit_distance(item, segment):
 class Benchmark:
     """Keys of all items' windows. `rate`: edits allowed per word of an item."""
 
-    def __init__(self, items, rate=0.2, target=0.95, most_repeats=24):
+    def __init__(self, items, rate=0.2, target=0.95):
         self.rate, self.names, self.items, self.vocabulary = rate, [], [], {}
         for name, text in items:
             found = words((text or "").encode())
@@ -119,37 +123,47 @@ class Benchmark:
             self.by_class.setdefault(int(lengths[np.searchsorted(lengths, len(item), "right") - 1]), []).append(k)
         # Fewest words of the vocabulary in a window worth a walk.
         self.enough = {n: n - max(self.allowed(len(self.items[k])) for k in ks) for n, ks in self.by_class.items()}
-        self.gap, self.repeats, self.walks = longest + 1, 2, {}
-        if self.items:
-            while True:
-                self._key()
-                if self.repeats >= most_repeats or self._recall() >= target:
+        self.gap, self.walks, self.exact = longest + 1, {}, []
+        for n in self.by_class:
+            missed = [1.0]  # before each step of two walks
+            while missed[-1] > 1 - target:
+                if len(missed) > 4 and missed[-1] > missed[-5] * 2 / 3:
+                    self.exact.append(n)
+                    del self.walks[n]
                     break
-                self.repeats = min(most_repeats, self.repeats + 2)
+                self._key(n, 2 * len(missed))
+                missed.append(1 - self._recall(n))
 
     def allowed(self, size):
         return int(self.rate * size + 1e-9)
 
-    def _key(self):
-        for n, ks in self.by_class.items():
-            for r in range(len(self.walks.setdefault(n, [])), self.repeats):
-                walk = Walk(n, r)
-                gap = np.zeros(n, np.int64)
-                text = np.concatenate([x for k in ks for x in (self.items[k], gap)])
-                first = np.cumsum([0] + [len(self.items[k]) + n for k in ks])
-                starts = np.concatenate([f + np.arange(len(self.items[k]) - n + 1) for f, k in zip(first, ks)])
-                owner = np.concatenate([np.full(len(self.items[k]) - n + 1, k) for k in ks])
-                _, key, seen = walk.keys(text, starts)
-                order = np.argsort(key, kind="stable")
-                self.walks[n].append((walk, seen, key[order], owner[order]))
-
-    def _recall(self, trials=400):
-        """Share of items found after as many random edits as allowed, inside other words."""
+    def _key(self, n, repeats):
+        ks = self.by_class[n]
+        for r in range(len(self.walks.setdefault(n, [])), repeats):
+            walk = Walk(n, r)
+            gap = np.zeros(n, np.int64)
+            text = np.concatenate([x for k in ks for x in (self.items[k], gap)])
+            first = np.cumsum([0] + [len(self.items[k]) + n for k in ks])
+            starts = np.concatenate([f + np.arange(len(self.items[k]) - n + 1) for f, k in zip(first, ks)])
+            owner = np.concatenate([np.full(len(self.items[k]) - n + 1, k) for k in ks])
+            _, key, seen = walk.keys(text, starts)
+            order = np.argsort(key, kind="stable")
+            self.walks[n].append((walk, seen, key[order], owner[order]))
+
+    def _recall(self, only=None, trials=400):
+        """Share of items found after as many random edits as allowed, inside other words.
+
+        `only`: of one class; otherwise the least of all classes.
+        """
+        if only is None:
+            return min((self._recall(n, trials) for n in self.by_class), default=1.0)
         rng = np.random.default_rng(5)
+        ks = np.array(self.by_class[only])
+        ks = ks[np.argsort(mix(ks.astype(np.uint64) + np.uint64(99)), kind="stable")].tolist()
         texts, size = [], 0
         place = []
         for t in range(trials):
-            text = self.items[t % len(self.items)].tolist()
+            text = self.items[ks[t % len(ks)]].tolist()
             for _ in range(self.allowed(len(text))):
                 at, kind = int(rng.integers(len(text))), int(rng.integers(3))
                 if kind == 0:
@@ -162,18 +176,35 @@ class Benchmark:
             place.append(size)
             size += len(text)
             texts += text
-        pairs = self.candidates(np.array(texts + [0] * self.gap))
+        pairs = self.candidates(np.array(texts + [0] * self.gap), only)
         found = {(int(np.searchsorted(place, s, "right")) - 1, k) for k, s in pairs}
-        return sum((t, t % len(self.items)) in found for t in range(trials)) / trials
-
-    def candidates(self, symbols):
-        """(item, first word of a window) of all windows that share a key with an item.
-
-        `symbols`: words of texts, each followed by `gap` zeros.
+        return sum((t, ks[t % len(ks)]) in found for t in range(trials)) / trials
+
+    def _stretches(self, symbols, k):
+        """Places near which every stretch that may be within the allowed edits of an item begins."""
+        item, allowed = self.items[k], self.allowed(len(self.items[k]))
+        inside = np.zeros(len(self.vocabulary) + 1, bool)
+        inside[item] = True
+        count = np.concatenate(([0], np.cumsum(inside[symbols])))
+        end = np.minimum(np.arange(len(symbols)) + len(item) + allowed, len(symbols))
+        at = np.flatnonzero(count[end] - count[:-1] >= len(item) - allowed)
+        step = len(item) // 4 + allowed + 1  # as far back as `matches` looks
+        return np.unique(-(-at // step) * step).tolist()
+
+    def candidates(self, symbols, only=None):
+        """(item, first word of a window) of all windows that share a key with an item, or may match it
+        where its class is searched exactly.
+
+        `symbols`: words of texts, each followed by `gap` zeros. `only`: of one class.
         """
         known = np.concatenate(([0], np.cumsum(symbols > 0)))
         out = set()
+        for n in self.exact:
+            if only in (None, n):
+                out.update((k, s) for k in self.by_class[n] for s in self._stretches(symbols, k))
         for n, walks in self.walks.items():
+            if only not in (None, n):
+                continue
             starts = np.flatnonzero(known[n:] - known[:-n] >= self.enough[n]) if len(symbols) >= n else []
             if not len(starts):
                 continue
@@ -194,7 +225,7 @@ class Benchmark:
             n, edits_allowed = len(words_), self.allowed(len(words_))
             if s < last:
                 continue  # within the passage found before
-            a, z = max(0, s - n // 4 - 1 - edits_allowed), min(len(symbols), s + n + edits_allowed + 1)
+            a, z = max(0, last, s - n // 4 - 1 - edits_allowed), min(len(symbols), s + n + edits_allowed + 1)
             if len(self.distinct[k].difference(symbols[a:z].tolist())) > edits_allowed:
                 continue  # an edit takes away one word at most
             edits, end = edit_distance(words_, symbols[a:z])
