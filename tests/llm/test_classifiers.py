@@ -127,3 +127,18 @@ def test_licences(spark, docs, odd, empty):
     assert sorted((r.doc_id, r.family, r.notices) for r in licence.find_notices(long, model).groupBy("doc_id", "family").agg(F.count("*").alias("notices")).collect()) == [
         (1, "MIT", 1), (2, "Proprietary", 2)]
     assert licence.find_notices(odd, model).count() == 0 and licence.licence_report(empty).count() == 0
+
+
+def _families(spark, docs, texts):
+    found = licence.find_notices(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), licence.train(docs)).collect()
+    return [sorted(r.family for r in found if r.doc_id == i) for i in range(len(texts))], found
+
+
+def test_several_notices_close_together(spark, docs):
+    texts = ["All rights reserved. Licensed under the Apache License, Version 2.0",
+             "Released under the MIT License or, at your choice, released under the Apache 2.0 license.",
+             "word " * 70 + "Released under the MIT License. " + "word " * 20 + "Released under the MIT License. " + "word " * 100,
+             "licensed under the GNU Lesser General Public License", "Licensed under the MIT License. Permission is hereby granted, free of charge, "
+             "to any person obtaining a copy of this software and associated documentation files"]
+    got, _ = _families(spark, docs, texts)
+    assert got == [["Apache", "Proprietary"], ["Apache", "MIT"], ["MIT", "MIT"], ["LGPL"], ["MIT"]]

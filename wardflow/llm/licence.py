@@ -1,14 +1,16 @@
 """Licence notices in documents, by a trained paragraph classifier.
 
-A paragraph is a line of a text; a long one is read in overlapping stretches of WORDS words. Word
+A paragraph is a line of a text. Word
 n-grams (one to three words) that occur in the templates are its features. A multinomial logistic
 regression with an L1 penalty, trained here by proximal gradient steps, leaves few n-grams with a
 weight, so most paragraphs are settled by seeing that they hold none of the words that every
 weighted n-gram needs. `unknown` is a class of its own, learned from paragraphs of the corpus (a
 sample bounded by `sample` documents, chosen by a hash) and from near misses made of the templates' own
 words; a logistic calibration on examples kept aside turns the margin over `unknown` into a
-probability. A prediction counts only if a template of the family agrees: enough of the template's
-word pairs must be in the paragraph.
+probability. Every place is looked at where enough of a template's word pairs stand within WORDS
+words; it counts if the template's family is the likeliest there and its probability over `unknown`
+passes. So texts with several families give all of them. Places of one family that overlap, or that
+follow each other within STEP words and are of different templates, are one notice.
 
 Defined results: null, empty and wordless texts have no notices; repeated rows are each reported; a
 notice that occurs twice in a text counts twice; an empty table gives an empty frame; other columns
@@ -59,10 +61,30 @@ def pairs(words):
     return {(a, b) for a, b in zip(words, words[1:])} or {(w, "") for w in words}
 
 
-def stretches(words):
-    """(first word, words) of a paragraph."""
-    for a in range(0, max(1, len(words) - WORDS + STEP), STEP) if len(words) > WORDS else (0,):
-        yield a, words[a:a + WORDS]
+def places(hits, need, size):
+    """(first word, word after the last, distinct pairs) of disjoint places with `need` distinct pairs.
+
+    `hits`: (position, pair) in order, of one template of `size` words. A place is the shortest stretch
+    that has enough, and the template's other pairs that follow within its size.
+    """
+    count, left, i = {}, 0, 0
+    while i < len(hits):
+        at, pair = hits[i]
+        count[pair] = count.get(pair, 0) + 1
+        i += 1
+        while count[hits[left][1]] > 1 or at - hits[left][0] > WORDS - 2:
+            old = hits[left][1]
+            count[old] -= 1
+            if not count[old]:
+                del count[old]
+            left += 1
+        if len(count) >= need:
+            while i < len(hits) and hits[i][1] not in count and hits[i][0] <= hits[left][0] + size - 2:
+                at, pair = hits[i]
+                count[pair] = 1
+                i += 1
+            yield hits[left][0], at + 2, len(count)
+            count, left = {}, i
 
 
 class Model:
@@ -70,6 +92,13 @@ class Model:
         self.families, self.index, self.weights, self.bias = families, index, weights, bias
         self.slope, self.shift = slope, shift
         self.templates = {f: [pairs(tokens(t)) for t in TEMPLATES[f]] for f in families if f != UNKNOWN}
+        # Word pair -> templates: (number), and per number (family, distinct pairs, words).
+        self.known, self.forms = {}, []
+        for k, f in enumerate(families):
+            for t in TEMPLATES.get(f, ()):
+                for p in pairs(tokens(t)):
+                    self.known.setdefault(p, []).append(len(self.forms))
+                self.forms.append((k, len(pairs(tokens(t))), len(tokens(t))))
         # The rarest word of every n-gram that speaks for a family.
         unknown = families.index(UNKNOWN)
         self.anchors = frozenset(min(g.split(" "), key=lambda w: (rare.get(w, 0), w)) for g, i in index.items()
@@ -94,6 +123,35 @@ class Model:
         return (family, float(p), share) if share >= overlap else None
 
 
+    def notices(self, words, at_least, overlap):
+        """(first word, word after the last, family, probability, share of a template's pairs) of all notices."""
+        hits, found = {}, []
+        for i, pair in enumerate(zip(words, words[1:])):
+            for t in self.known.get(pair, ()):
+                hits.setdefault(t, []).append((i, pair))
+        for t, at in hits.items():
+            k, distinct, size = self.forms[t]
+            need = int(np.ceil(overlap * distinct - 1e-9))
+            for a, z, n in places(at, need, size) if len(at) >= need else ():
+                own = words[max(0, min(a, z - size)):max(z, a + size)]
+                if self.anchors.isdisjoint(own):
+                    continue
+                best, margin = self.margins(grams(own))
+                p = float(1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30))))
+                if best == k and p >= at_least:
+                    found.append((a, z, t, self.families[k], p, n / distinct))
+        out, last = [], {}
+        for a, z, t, family, p, share in sorted(found):
+            held = last.get(family)
+            if held and (a < held["end"] or a - held["end"] <= STEP and t not in held["of"]):
+                held["end"], held["p"], held["share"] = max(z, held["end"]), max(p, held["p"]), max(share, held["share"])
+                held["of"].add(t)
+            else:
+                last[family] = {"begin": a, "end": z, "p": p, "share": share, "of": {t}, "family": family}
+                out.append(last[family])
+        return [(h["begin"], h["end"], h["family"], h["p"], h["share"]) for h in out]
+
+
 def _rows(examples, index, labels):
     at = [np.array(sorted(index[g] for g in grams(w) if g in index), np.int64) for w in examples]
     return np.repeat(np.arange(len(at)), [len(a) for a in at]), np.concatenate(at), labels
@@ -184,7 +242,7 @@ def train(docs, sample=400):
 
 
 def find_notices(docs, model, at_least=0.5, overlap=0.7):
-    """doc_id, line, word (where the stretch begins), family, probability, overlap, text of each notice."""
+    """doc_id, line, word (of the line, where the notice begins), family, probability, overlap, text of each notice."""
     ship(docs.sparkSession)
     schema = "doc_id long, line int, word int, family string, probability double, overlap double, text string"
 
@@ -202,12 +260,9 @@ def find_notices(docs, model, at_least=0.5, overlap=0.7):
                     for k, line in enumerate(buf[a:z].split(b"\n")):
                         if parts.isdisjoint(line.translate(plain).split()):
                             continue
-                        last = None
-                        for at, words in stretches(tokens(line.decode("utf-8", "replace"))):
-                            got = model.predict(words, at_least, overlap)
-                            if got and not (last and last[0] == got[0] and at - last[1] <= STEP):
-                                rows.append((i, k, at, *got, " ".join(words)))
-                                last = got[0], at
+                        words = tokens(line.decode("utf-8", "replace"))
+                        for begin, end, *got in model.notices(words, at_least, overlap):
+                            rows.append((i, k, begin, *got, " ".join(words[begin:end])))
                 if rows:
                     i, *columns = zip(*rows)
                     kinds = (pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.string())
