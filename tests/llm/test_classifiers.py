@@ -1,5 +1,7 @@
 """Language, quality and licences: accuracy on rows no model saw, and defined edge cases."""
 
+import textwrap
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -142,3 +144,11 @@ def test_several_notices_close_together(spark, docs):
              "to any person obtaining a copy of this software and associated documentation files"]
     got, _ = _families(spark, docs, texts)
     assert got == [["Apache", "Proprietary"], ["Apache", "MIT"], ["MIT", "MIT"], ["LGPL"], ["MIT"]]
+
+
+def test_wrapped_notices(spark, docs):
+    wrap = lambda t, mark: "\n".join(mark + line for line in textwrap.wrap(t, 50))
+    bsd, isc, gpl = licence.TEMPLATES["BSD"][0], licence.TEMPLATES["ISC"][0], licence.TEMPLATES["GPL"][1]
+    got, rows = _families(spark, docs, ["a\nb\n\n" + wrap(bsd, " * "), wrap(isc, "# ") + "\n\nx", "some words\n" + wrap(gpl, "// ")])
+    assert got == [["BSD"], ["ISC"], ["GPL"]]
+    assert {(r.doc_id, r.line, r.word) for r in rows} == {(0, 3, 0), (1, 0, 0), (2, 1, 0)}

@@ -1,6 +1,6 @@
 """Licence notices in documents, by a trained paragraph classifier.
 
-A paragraph is a line of a text. Word
+A text is read as one run of words, across line breaks and comment marks. Word
 n-grams (one to three words) that occur in the templates are its features. A multinomial logistic
 regression with an L1 penalty, trained here by proximal gradient steps, leaves few n-grams with a
 weight, so most paragraphs are settled by seeing that they hold none of the words that every
@@ -18,6 +18,7 @@ are ignored.
 """
 
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -257,12 +258,13 @@ def find_notices(docs, model, at_least=0.5, overlap=0.7):
                 for i, (a, z) in enumerate(zip(offsets, offsets[1:])):
                     if parts.isdisjoint(simple[a:z].split()):
                         continue
-                    for k, line in enumerate(buf[a:z].split(b"\n")):
-                        if parts.isdisjoint(line.translate(plain).split()):
-                            continue
-                        words = tokens(line.decode("utf-8", "replace"))
-                        for begin, end, *got in model.notices(words, at_least, overlap):
-                            rows.append((i, k, begin, *got, " ".join(words[begin:end])))
+                    words, first = [], []
+                    for line in buf[a:z].split(b"\n"):
+                        first.append(len(words))
+                        words += tokens(line.decode("utf-8", "replace"))
+                    for begin, end, *got in model.notices(words, at_least, overlap):
+                        k = bisect_right(first, begin) - 1
+                        rows.append((i, k, begin - first[k], *got, " ".join(words[begin:end])))
                 if rows:
                     i, *columns = zip(*rows)
                     kinds = (pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.string())
