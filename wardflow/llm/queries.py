@@ -2,7 +2,8 @@
 
 import public_tokenizers
 
-from wardflow.llm import bpe, decontaminate, embedding_dedup, language, licence, ngram_join, quality, token_count, token_file, warc
+from wardflow.llm import (
+    bpe, decontaminate, embedding_dedup, language, licence, ngram_join, prefix_trie, quality, token_count, token_file, warc)
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -99,3 +100,26 @@ def op9_bpe(spark, sf_dir):
 @query("op10_token_count")
 def op10_token_count(spark, sf_dir):
     return token_count.token_report(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+
+
+@query("op11_prefix_trie", r"""
+WITH RECURSIVE t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(concat(
+    length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) AS i,
+    {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS turn FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list(turn ORDER BY i) AS turns, list_reduce(list_prepend(4294967295, list_transform(
+    string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda s, b:
+    list_reduce(list_prepend(xor(s, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))) AS s FROM t GROUP BY c),
+h AS (SELECT *, xor(s, 4294967295) % 6 AS h FROM own),
+whole AS (SELECT a.c, coalesce(b.turns, [])[1:a.h] || a.turns[a.h + 1:] AS turns FROM h a LEFT JOIN own b ON b.c = a.c - a.c % 100),
+member AS (SELECT c, d, turns[1:d] AS key, d = len(turns) AS ends FROM (SELECT c, turns, unnest(range(len(turns) + 1)) AS d FROM whole)),
+node AS (SELECT key, d, min(c) AS conv_id, count(*) AS n_convs,
+  sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM member GROUP BY key, d),
+child AS (SELECT key[1:d - 1] AS key, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+part AS (SELECT key[1:a] AS key, n, saved FROM (SELECT node.key, coalesce(child.n, 0) AS n,
+  CASE WHEN d > 0 THEN (n_convs - 1) * length(node.key[d].text) ELSE 0 END AS saved, unnest(range(d + 1)) AS a FROM node LEFT JOIN child USING (key))),
+total AS (SELECT key, count(*) FILTER (n = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM part GROUP BY key)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(child.n, 0) AS n_children, total.n_leaves, total.saved_tokens, n.ends_sha256
+FROM node n JOIN total ON total.key = n.key LEFT JOIN child ON child.key = n.key LEFT JOIN node p ON n.d > 0 AND p.d = n.d - 1 AND p.key = n.key[1:n.d - 1]""")
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
