@@ -3,7 +3,8 @@
 import public_tokenizers
 
 from wardflow.llm import (
-    bpe, decontaminate, embedding_dedup, language, licence, ngram_join, prefix_trie, quality, token_count, token_file, warc)
+    bpe, decontaminate, embedding_dedup, language, licence, ngram_join, prefix_trie, quality, ranked_search,
+    token_count, token_file, warc)
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -123,3 +124,20 @@ SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce
 FROM node n JOIN total ON total.key = n.key LEFT JOIN child ON child.key = n.key LEFT JOIN node p ON n.d > 0 AND p.d = n.d - 1 AND p.key = n.key[1:n.d - 1]""")
 def op11_prefix_trie(spark, sf_dir):
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_ranked_search", r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS i, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+docs AS (SELECT *, len(t) AS n FROM d WHERE len(t) > 0),
+size AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM docs),
+cell AS (SELECT i, doc_id, n, term, count(*) AS tf FROM (SELECT i, doc_id, n, unnest(t) AS term FROM docs) GROUP BY ALL),
+item AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(big_n) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM cell, size GROUP BY term),
+part AS (SELECT i, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * big_n) // big_l))) AS impact FROM cell JOIN w USING (term), size),
+s AS (SELECT item_id, i, doc_id, CAST(sum(impact) AS BIGINT) AS score FROM item JOIN part USING (term) GROUP BY ALL HAVING sum(impact) > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""")
+def op12_ranked_search(spark, sf_dir):
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
