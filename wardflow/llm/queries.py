@@ -3,8 +3,8 @@
 import public_tokenizers
 
 from wardflow.llm import (
-    bpe, decontaminate, embedding_dedup, language, licence, ngram_join, prefix_trie, quality, ranked_search,
-    token_count, token_file, warc)
+    bpe, decontaminate, embedding_dedup, html_text, language, licence, ngram_join, prefix_trie, quality, ranked_search, token_count,
+    token_file, warc)
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -141,3 +141,8 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""")
 def op12_ranked_search(spark, sf_dir):
     return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_html_text")
+def op13_html_text(spark, sf_dir):
+    return html_text.main_text(table(spark, sf_dir, "pages"))
