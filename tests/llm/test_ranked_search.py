@@ -54,12 +54,12 @@ def odd():
     return docs, items
 
 
-@pytest.mark.parametrize("data,shipped", [(made(1, 2000), 1 << 20), (made(2, 40), 0), (odd(), 1 << 20), (odd(), 0)])
-def test_against_all_scores(spark, data, shipped):
+@pytest.mark.parametrize("data,shipped,block", [(made(1, 2000), 1 << 20, 1 << 20), (made(2, 40), 400, 100), (odd(), 1 << 20, 3000), (odd(), 1000, 500)])
+def test_against_all_scores(spark, data, shipped, block):
     docs, items = data
     df = spark.createDataFrame([(*r, 9, "mine", 7) for r in docs], DOCS).repartition(5)
     bench = spark.createDataFrame([(*r, 0, 0) for r in items], ITEMS)
-    got = ranked_search.search(df, bench, shipped=shipped)
+    got = ranked_search.search(df, bench, shipped=shipped, block=block)
     assert got.columns == ["item_id", "rank", "doc_id", "score"]
     assert sorted(map(tuple, got.collect()), key=repr) == brute(docs, items)
 
