@@ -133,6 +133,44 @@ def test_census_and_overdue_over_batches(job, tables):
     same(got.filter("hospital_id <> 'H0'").select(*want.columns), want)
 
 
+def _arrivals(spark, rows):
+    """Patient events of one hospital and department from (minute, patient, event_id, kind, expected minutes)."""
+    import datetime as dt
+    start = dt.datetime(2024, 5, 1)
+    return spark.createDataFrame([("H1", "H1_OBS", p, i, k, start + dt.timedelta(minutes=m), los) for m, p, i, k, los in rows],
+                                 "hospital_id string, dept_id string, patient_id string, event_id string, event_type string, "
+                                 "event_ts timestamp_ntz, expected_los_minutes double")
+
+
+def test_overdue_restarts_and_forgets(job, spark, tmp_path):
+    """Stopped between two files, started again from the checkpoint: the same reports. State holds what is due
+    and nothing that no stay can reach."""
+    parts = [[(0, "a", "01", "arrival", 100.0), (50, "a", "02", "discharge", None), (5, "b", "03", "arrival", 30.0),
+              (10, "c", "04", "arrival", 500.0), (0, "d", "05", "arrival", 60.0), (60, "d", "06", "arrival", 20.0)],
+             [(300, "c", "07", "discharge", None), (295, "f", "08", "arrival", 2000.0), (290, "e", "09", "arrival", 5.0),
+              (293, "e", "10", "arrival", 5.0), (293, "e", "11", "discharge", None)],
+             [(900, "z", "90", "discharge", None)], [(1500, "z", "91", "discharge", None)]]
+    folder = tmp_path / "in"
+    schema = _arrivals(spark, []).schema
+
+    def run(upto):
+        for i, rows in enumerate(parts[:upto]):
+            if not (folder / f"{i:03d}.parquet").exists():
+                put(_arrivals(spark, rows), folder, i)
+        stream = job.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+        _, got = job.files(state.overdue_stream(stream), "restart")
+        return sorted(got.select("event_id").toPandas()["event_id"])
+
+    assert run(1) == ["03"]  # the watermark, ten minutes behind, is at minute 50
+    assert run(2) == ["03", "05", "06"]  # at 290; 06 itself comes when 05 is due, not before
+    assert run(4) == ["03", "05", "06"]  # at 1490; 04, 09 and 10 ended in time, 08 is not due
+    held = job.spark.read.format("statestore").option("path", job.path("restart-ckpt"))
+    due = held.option("stateVarName", "due").load().selectExpr("key.patient_id p", "explode(user_map_value.stays) s").selectExpr("p", "s.id")
+    assert [tuple(r) for r in due.collect()] == [("f", "08")]
+    moves = held.option("stateVarName", "moves").load().selectExpr("key.patient_id p", "explode(user_map_value.found) m").selectExpr("p", "m.id")
+    assert {tuple(r) for r in moves.collect()} == {("f", "08"), ("z", "91")}
+
+
 def test_drift_over_batches_equals_one_check(job, tables):
     held, requests, seen = job.path("held"), job.path("requests"), []
     body = jobs.drift_body(job.spark, held, requests, ["hospital_id"], newest(),

@@ -1,12 +1,11 @@
 """Stateful streams: live census and overdue patients.
 
-Overdue patients come in two forms. `overdue_stream` reacts through event-time timers, one state
-row per patient; it reads all new rows of a patient together, so it wants a bounded intake.
-`overdue_body` runs per micro-batch on DataFrame operators only and splits every patient id by time,
-so it also takes a backfill in which one placeholder id holds a third of the rows.
+Overdue patients come in two forms. `overdue_stream` keeps each patient's moves and due stays in map state and
+reacts through event-time timers. `overdue_body` runs per micro-batch on DataFrame operators only and
+splits every patient id by time, so it also takes a backfill in which one placeholder id holds a third of the rows.
 """
 
-import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -32,63 +31,109 @@ OVERDUE_SCHEMA = ("hospital_id string, patient_id string, dept_id string, event_
                   "arrival_us long, expected_us long")
 
 
+BUCKET = 3_600_000_000  # microseconds of event time whose moves share one state entry
+BUFFER = 1000  # rows of a patient that are put into the state together
+
+
 class OverdueProcessor(StatefulProcessor):
-    """Keeps one open stay per patient and reports it once its expected end has passed.
+    """Reports a stay when event time passes its expected end and no other move lies before that.
+
+    State of a patient, all of it keyed by event time and expired by it:
 
-    The new rows of one patient are sorted in memory: their number is bounded by the intake cap.
+    * `moves`: per hour, the time and id of the arrivals and discharges in it;
+    * `due`: per millisecond, the stays whose expected end it is; a timer is set on it;
+    * `spent`: per millisecond, the hours of `moves` that no stay can reach any more then; also a timer. This is
+      the state's time to live: the end of the hour and the longest expected stay of the patient (`longest`);
+      a longer one that comes later puts it off.
 
-    Small Python helper per patient: the grouping, the shuffle, the state store and the timers are
-    Spark's. State is one row per patient with an open stay.
+    Rows are taken in any order and never sorted or held together: whether a stay is overdue is decided when the
+    watermark is past its end, from the few hours that it spans. Grouping, shuffle, state store and timers are
+    Spark's.
     """
 
     def init(self, handle):
         self._handle = handle
-        self._open = handle.getValueState(
-            "open_stay", "dept_id string, event_id string, arrival_us long, expected_us long")
-
-    def _report(self, key, stay):
-        hospital, patient = key
-        return pd.DataFrame([(hospital, patient, *stay)], columns=[
-            "hospital_id", "patient_id", "dept_id", "event_id", "arrival_us", "expected_us"])
-
-    def _close(self, stay):
-        self._handle.deleteTimer(stay[3] // 1000)
-        self._open.clear()
+        self._moves = handle.getMapState("moves", "hour long", "found array<struct<us: long, id: string>>")
+        self._due = handle.getMapState("due", "at long", "stays array<struct<us: long, id: string, dept: string, until: long>>")
+        self._spent = handle.getMapState("spent", "at long", "hours array<long>")
+        self._longest = handle.getValueState("longest", "us long")
+
+    def _append(self, state, key, new):
+        found = state.getValue((key,))
+        state.updateValue((key,), ((list(found[0]) if found else []) + new,))
+        return not found
+
+    def _expire_hour(self, hour, longest):
+        at = ((hour + 1) * BUCKET + longest) // 1000 + 1
+        self._append(self._spent, at, [hour])
+        self._handle.registerTimer(at)
+        return at
+
+    def _put(self, moves, stays, longest):
+        for hour, new in moves.items():
+            if self._append(self._moves, hour, new):
+                self._expire_hour(hour, longest)
+        for at, new in stays.items():
+            self._append(self._due, at, new)
+            self._handle.registerTimer(at)
 
     def handleInputRows(self, key, rows, timerValues):
-        moves = pd.concat(list(rows)).sort_values(["event_us", "event_id"])
-        stay = tuple(self._open.get()) if self._open.exists() else None
-        for m in moves.itertuples(index=False):
-            if stay is not None:
-                if stay[3] <= m.event_us:
-                    yield self._report(key, stay)
-                self._close(stay)
-                stay = None
+        held = self._longest.get()[0] if self._longest.exists() else 0
+        longest, count, moves, stays = held, 0, {}, {}
+        for m in rows:
+            moves.setdefault(m.event_us // BUCKET, []).append((m.event_us, m.event_id))
             if m.event_type == "arrival":
-                stay = (m.dept_id, m.event_id, int(m.event_us), int(m.expected_us))
-                self._open.update(stay)
-                self._handle.registerTimer(stay[3] // 1000)
+                longest = max(longest, m.expected_us - m.event_us)
+                stays.setdefault(-(-m.expected_us // 1000), []).append((m.event_us, m.event_id, m.dept_id, m.expected_us))
+            count += 1
+            if count % BUFFER == 0:
+                self._put(moves, stays, longest)
+                moves, stays = {}, {}
+        self._put(moves, stays, longest)
+        if longest > held:
+            self._longest.update((longest,))
+        return iter(())
+
+    def _ended(self, stay):
+        for hour in range(stay[0] // BUCKET, (stay[3] - 1) // BUCKET + 1):
+            found = self._moves.getValue((hour,))
+            if found and any((m[0], m[1]) > (stay[0], stay[1]) and m[0] < stay[3] for m in found[0]):
+                return True
+        return False
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self._open.exists():
-            stay = tuple(self._open.get())
-            if stay[3] // 1000 <= expiredTimerInfo.getExpiryTimeInMs():
-                self._open.clear()
-                yield self._report(key, stay)
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        found = self._due.getValue((at,))
+        for us, event, dept, until in found[0] if found else ():
+            if not self._ended((us, event, dept, until)):
+                yield Row(hospital_id=key[0], patient_id=key[1], dept_id=dept, event_id=event, arrival_us=us, expected_us=until)
+        if found:
+            self._due.removeKey((at,))
+        found = self._spent.getValue((at,))
+        if found:
+            self._spent.removeKey((at,))
+            longest = self._longest.get()[0] if self._longest.exists() else 0
+            for hour in found[0]:
+                if ((hour + 1) * BUCKET + longest) // 1000 + 1 > at:
+                    self._expire_hour(hour, longest)
+                else:
+                    self._moves.removeKey((hour,))
 
     def close(self):
         pass
 
 
 def overdue_stream(events, ts="event_ts"):
-    """Patients still present after their expected end (append mode, event-time timers)."""
+    """Patients still present after their expected end (append mode, event-time timers).
+
+    A stay without an expected length is due at once."""
     us = S.micros(ts)
     rows = (watermarked(events, ts).filter(F.col("event_type").isin("arrival", "discharge"))
             .select("hospital_id", "patient_id", "dept_id", "event_id", "event_type", ts,
                     us.alias("event_us"),
                     (us + F.floor(F.coalesce("expected_los_minutes", F.lit(0.0)) * 6e7).cast("long"))
                     .alias("expected_us")))
-    late = rows.groupBy("hospital_id", "patient_id").transformWithStateInPandas(
+    late = rows.groupBy("hospital_id", "patient_id").transformWithState(
         statefulProcessor=OverdueProcessor(), outputStructType=OVERDUE_SCHEMA,
         outputMode="append", timeMode="EventTime")
     return late.select("hospital_id", "patient_id", "dept_id", "event_id",
