@@ -154,7 +154,7 @@ def train(docs, labels, sample=20_000):
     ship(spark)
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(43)), "doc_id").limit(sample)  # at most `sample` rows of 12 bytes
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "quality", "text")
 
     def run(batches):
         for batch in batches:
