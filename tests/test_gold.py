@@ -135,6 +135,43 @@ def test_attention_of_equal_steps_is_their_value(spark):
     assert got == pytest.approx([0.5] * 10)
 
 
+@pytest.fixture(scope="module")
+def year(spark):
+    """One department over 400 days, its rows in an order of their own."""
+    return spark.sql("""SELECT 'H1' AS hospital_id, 'H1_OBS' AS dept_id, timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, id) AS ts,
+        (pmod(xxhash64(id), 97) / 97) AS occupancy_ratio, transform(sequence(0, 9), i -> pmod(xxhash64(id, i), 1000) / 100) AS feature_vector
+        FROM range(0, 9600, 1, 4) ORDER BY xxhash64(id)""")
+
+
+HALO = {"sequence": lambda df, **kw: sequences.temporal_state(sequences.sequence(df, **kw)),
+        "targets": lambda df, **kw: sequences.horizon_targets(df, **kw),
+        "both": lambda df, **kw: sequences.sequence_and_targets(df, **kw),
+        "slope": lambda df, **kw: forecast.persistence_forecast(df, **kw)}
+
+
+@pytest.mark.parametrize("name", HALO)
+def test_blocks_choose_the_tasks_and_not_the_result(spark, year, name):
+    """One department over its blocks: the same rows for any width, narrower than the halo included."""
+    def rows(block):
+        return {r.ts: r for r in HALO[name](year, block=block).collect()}
+
+    whole = rows(10 ** 6)
+    assert len(whole) == 9600 - {"sequence": 23, "targets": 8, "both": 31, "slope": 0}[name]
+    for block in (7, 100, sequences.BLOCK):
+        assert rows(block) == whole
+
+
+def test_a_department_is_spread_over_tasks(spark, year):
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for name, make in HALO.items():
+            assert make(year).select(F.spark_partition_id()).distinct().count() >= 10, name
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_graph_attention_matches_by_hand(spark):
     nodes = spark.createDataFrame([("H", "a", 1, [1.0, -1.0]), ("H", "b", 1, [0.5, 2.0]), ("H", "c", 1, [0.0, 1.0])],
                                   "hospital_id string, dept_id string, ts int, feature_vector array<double>")

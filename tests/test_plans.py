@@ -33,10 +33,12 @@ def test_flow_is_one_scan_and_one_exchange(spark, tables):
 
 
 def test_running_census_scans_once(spark):
+    """One scan, and no exchange computed twice: the moves are shuffled once for the rows and the slots'
+    sums, the sums by slot once for the slots and the spans. The two second readers reuse them."""
     df = QUERIES["census_running"](spark, SMALL)
     df.collect()
     text = plan(df).split("== Initial Plan ==")[0]
-    assert (text.count("FileScan"), text.count("ReusedExchange")) == (1, 1)
+    assert (text.count("FileScan"), text.count("ReusedExchange")) == (1, 2)
 
 
 def test_rank_limit_runs_before_the_shuffle(spark):

@@ -15,12 +15,15 @@ from wardflow.session import staged
 SERIES = ["hospital_id", "dept_id"]
 
 
-def persistence_forecast(dense, rows=6, value="occupancy_ratio", ts="ts"):
+def persistence_forecast(dense, rows=6, value="occupancy_ratio", ts="ts", block=sequences.BLOCK):
     """Baseline: now + recent slope x hours ahead, clamped. `dense` is an hourly grid."""
-    frame = W.partitionBy(*SERIES).orderBy(ts).rowsBetween(-(rows - 1), 0)
-    hour = S.micros(ts) / F.lit(3.6e9)
-    slope = F.when(F.count("*").over(frame) >= 2, F.regr_slope(F.col(value), F.col("_hour")).over(frame))
-    out = dense.withColumn("_hour", hour).withColumn("slope", F.coalesce(slope, F.lit(0.0)))
+    def slope(window):
+        frame = window.rowsBetween(-(rows - 1), 0)
+        fitted = F.when(F.count("*").over(frame) >= 2, F.regr_slope(F.col(value), F.col("_hour")).over(frame))
+        return {"slope": F.coalesce(fitted, F.lit(0.0))}
+
+    out = dense.withColumn("_hour", sequences.hours(dense, ts))
+    out = sequences.over_blocks(out, slope, rows - 1, 0, SERIES, ts, block)
     return out.withColumns({f"h{h}": S.clip_unit(F.col(value) + F.col("slope") * h)
                             for h in C.HORIZONS}).drop("_hour")
 
@@ -60,7 +63,7 @@ def training_set(dense, edges, hospital_ids=None, start=None, end=None, steps=24
     rows = rows.withColumns({"occupancy_ratio": F.col("feature_vector")[0],
                              "feature_vector": S.zscore_vector("feature_vector")})
     rows = graph.neighbour_mean(rows, edges)
-    rows = sequences.sequence(sequences.horizon_targets(rows), steps)
+    rows = sequences.sequence_and_targets(rows, steps)
     if start is not None:
         rows = rows.filter(F.col("ts") >= F.lit(start).cast("timestamp_ntz"))
     if end is not None:

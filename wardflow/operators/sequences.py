@@ -4,24 +4,57 @@ import math
 
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
+
+from wardflow.functions import scalar as S
 
 SERIES = ("hospital_id", "dept_id")
+BLOCK = 24 * 14  # hours of a series in one task's window
+
+
+def hours(df, ts):
+    """The time as a number of hours (or the column itself, where it is a number already)."""
+    return F.col(ts) if isinstance(df.schema[ts].dataType, NumericType) else S.micros(ts) / F.lit(3.6e9)
 
 
-def sequence(df, steps=24, vector="feature_vector", keys=SERIES, ts="ts"):
-    """The last `steps` vectors, oldest first, on a dense grid; incomplete starts are dropped."""
-    frame = W.partitionBy(*keys).orderBy(ts).rowsBetween(-(steps - 1), 0)
-    return (df.withColumn("sequence", F.collect_list(vector).over(frame))
-            .filter(F.size("sequence") == steps))
+def over_blocks(df, columns, back=0, ahead=0, keys=SERIES, ts="ts", block=BLOCK):
+    """Adds `columns(window)`, a map of window columns that look at most `back` hours back and `ahead` ahead.
+
+    A window by series would put all its years into one task. Here a series is cut into blocks of time and each
+    block gets copies of the rows of its neighbours that its own rows look at; the copies are dropped afterwards.
+    A row is dealt 1 + (back + ahead) / block times on average. The block width chooses how the work is dealt,
+    never the result.
+    """
+    at = hours(df, ts)
+    first, last = (F.floor((at + d) / block).cast("long") for d in (-ahead, back))
+    dealt = df.withColumn("_own", F.floor(at / block).cast("long")).withColumn("_block", F.explode(F.sequence(first, last)))
+    window = W.partitionBy(*keys, "_block").orderBy(ts)
+    return dealt.withColumns(columns(window)).filter("_block = _own").drop("_block", "_own")
 
 
-def horizon_targets(df, value="occupancy_ratio", horizons=(1, 2, 4, 8), keys=SERIES, ts="ts"):
-    """`value` some steps later as label columns, on a dense grid; the tail is dropped."""
-    order = W.partitionBy(*keys).orderBy(ts)
-    out = df.withColumns({f"target_{h}h": F.lead(value, h).over(order) for h in horizons})
+def sequence(df, steps=24, vector="feature_vector", keys=SERIES, ts="ts", block=BLOCK):
+    """The last `steps` vectors, oldest first, on a dense hourly grid; incomplete starts are dropped."""
+    out = over_blocks(df, lambda w: {"sequence": F.collect_list(vector).over(w.rowsBetween(-(steps - 1), 0))},
+                      steps - 1, 0, keys, ts, block)
+    return out.filter(F.size("sequence") == steps)
+
+
+def horizon_targets(df, value="occupancy_ratio", horizons=(1, 2, 4, 8), keys=SERIES, ts="ts", block=BLOCK):
+    """`value` some steps later as label columns, on a dense hourly grid; the tail is dropped."""
+    out = over_blocks(df, lambda w: {f"target_{h}h": F.lead(value, h).over(w) for h in horizons},
+                      0, max(horizons), keys, ts, block)
     return out.filter(F.col(f"target_{max(horizons)}h").isNotNull())
 
 
+def sequence_and_targets(df, steps=24, vector="feature_vector", value="occupancy_ratio", horizons=(1, 2, 4, 8),
+                         keys=SERIES, ts="ts", block=BLOCK):
+    """`sequence` and `horizon_targets` over one window, so with one exchange."""
+    out = over_blocks(df, lambda w: {"sequence": F.collect_list(vector).over(w.rowsBetween(-(steps - 1), 0)),
+                                     **{f"target_{h}h": F.lead(value, h).over(w) for h in horizons}},
+                      steps - 1, max(horizons), keys, ts, block)
+    return out.filter((F.size("sequence") == steps) & F.col(f"target_{max(horizons)}h").isNotNull())
+
+
 def _dot(a, b, width):
     total = a[0] * b[0]
     for i in range(1, width):
