@@ -192,6 +192,41 @@ def test_graph_attention_matches_by_hand(spark):
     assert [r.dept_id for r in rows] == ["c"] and rows[0].attended == pytest.approx(want)
 
 
+def test_heads_are_joined_or_averaged(spark):
+    """Several heads equal each head alone, side by side or as a mean; a department without in-edges has no row."""
+    nodes = spark.createDataFrame([("H", d, t, [0.1 * t, x, -x]) for t in (1, 2) for d, x in (("a", 1.0), ("b", -2.0), ("c", 0.5))],
+                                  "hospital_id string, dept_id string, ts int, feature_vector array<double>")
+    edges = spark.createDataFrame([("H", "a", "c", 0.4), ("H", "b", "c", 0.6), ("H", "c", "b", 1.0), ("H", "gone", "b", 0.5), ("X", "a", "b", 1.0)],
+                                  "hospital_id string, source_dept string, target_dept string, weight double")
+    table = spark.createDataFrame([(1, [[1.0, 0.0, 2.0], [0.5, 1.0, 0.0]], [[0.0, 1.0, 0.0], [1.0, 0.0, 0.0]], [1.0, -1.0], [0.3, 0.6]),
+                                   (0, [[0.0, 1.0, 1.0], [2.0, 0.0, 1.0]], [[1.0, 1.0, 0.0], [0.0, 0.0, 1.0]], [0.0, 2.0], [-0.5, 0.2])], graph.HEADS)
+    heads = graph.heads_of(table)
+
+    def run(**kw):
+        return {(r.dept_id, r.ts): r.attended for r in graph.graph_attention(nodes, edges, width=3, **kw).collect()}
+
+    one, two = run(**heads[0]), run(**heads[1])
+    assert sorted(one) == [("b", 1), ("b", 2), ("c", 1), ("c", 2)]
+    assert heads[0]["w_edge"] == [0.0, 2.0] and run(heads=heads) == {k: one[k] + two[k] for k in one}
+    mean = run(heads=heads, concat=False)
+    assert all(mean[k] == pytest.approx([(p + q) / 2 for p, q in zip(one[k], two[k])]) for k in one)
+
+
+def test_two_hops_by_hand_in_one_exchange(spark):
+    nodes = spark.createDataFrame([("H", "a", 1, [1.0, 2.0], "x"), ("H", "b", 1, [3.0, 4.0], "y"), ("H", "b", 1, [5.0, 6.0], "again"),
+                                   ("H", "c", 1, [0.0, 8.0], "z"), ("H", "a", 2, [7.0, 7.0], "late"), ("N", "a", 1, [1.0, 1.0], "no edges")],
+                                  "hospital_id string, dept_id string, ts int, feature_vector array<double>, note string")
+    edges = spark.createDataFrame([("H", "a", "b", 1.0), ("H", "b", "c", 0.5), ("H", "b", "c", 0.5), ("H", "c", "a", 2.0), ("H", "gone", "a", 9.0)],
+                                  "hospital_id string, source_dept string, target_dept string, weight double")
+    out = graph.neighbour_hops(nodes, edges, ["one", "two"], width=2)
+    got = {(r.hospital_id, r.dept_id, r.ts, r.note): (r.one, r.two) for r in out.collect()}
+    assert got == {("H", "a", 1, "x"): ([0.0, 8.0], [4.0, 5.0]), ("H", "b", 1, "y"): ([1.0, 2.0], [0.0, 8.0]),
+                   ("H", "b", 1, "again"): ([1.0, 2.0], [0.0, 8.0]), ("H", "c", 1, "z"): ([4.0, 5.0], [1.0, 2.0]),
+                   ("H", "a", 2, "late"): ([0.0, 0.0], [0.0, 0.0]), ("N", "a", 1, "no edges"): ([0.0, 0.0], [0.0, 0.0])}
+    text = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len([line for line in text.split("\n") if "Exchange hashpartitioning" in line and "ts#" in line]) == 1  # of the grid
+
+
 def test_forecast_scores_are_unit_and_labelled(spark, tables):
     out = forecast.with_peak(forecast.persistence_forecast(tables.occupancy))
     row = out.agg(F.min(F.least("h1", "h2", "h4", "h8")).alias("lo"), F.max(F.greatest("h1", "h2", "h4", "h8")).alias("hi"),

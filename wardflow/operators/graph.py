@@ -107,57 +107,111 @@ def join_neighbours(nodes, edges, vector="feature_vector"):
     return src.join(edges.select(*PAIR, "weight"), ["hospital_id", "source_dept"])
 
 
-def neighbour_mean(nodes, edges, vector="feature_vector", out="neighbour_vector", width=10):
-    """Weighted mean of the in-neighbours' vectors; zeros without in-edges.
+def _grid_blocks(nodes, edges):
+    """One row per hospital and step with its departments' rows and its weighted edges.
 
-    One sum per vector position, so the exchange carries partial sums and not vectors.
+    Both arrays are bounded by the hospital's departments and edges; this is the only exchange of the grid,
+    whatever is then computed along the edges.
     """
-    w = F.col("weight")
-    pulled = join_neighbours(nodes, edges, vector)
-    mean = (pulled.groupBy("hospital_id", F.col("target_dept").alias("dept_id"), "ts")
-            .agg(F.sum("weight").alias("_w"),
-                 *[F.sum(w * F.col("source_vector")[i]).alias(f"_s{i}") for i in range(width)])
-            .select("hospital_id", "dept_id", "ts",
-                    F.array(*[F.col(f"_s{i}") / F.col("_w") for i in range(width)]).alias(out)))
-    return (nodes.join(mean, ["hospital_id", "dept_id", "ts"], "left")
-            .withColumn(out, S.vector_or_zeros(out, width)))
-
-
-def _project(matrix, vec, width):
+    rest = [c for c in nodes.columns if c not in ("hospital_id", "ts")]
+    grid = nodes.groupBy("hospital_id", "ts").agg(F.collect_list(F.struct(*rest)).alias("nodes"))
+    links = edges.groupBy("hospital_id").agg(
+        F.sort_array(F.collect_list(F.struct("source_dept", "target_dept", "weight"))).alias("links"))
+    return grid.join(links, "hospital_id", "left").withColumn("links", F.coalesce("links", F.array()))
+
+
+def _pulled(dept, values):
+    """Per edge into `dept`: its weight `w` and, as `x`, the `values` of the row at its source."""
+    into = F.filter("links", lambda e: e["target_dept"] == dept)
+    return F.flatten(F.transform(into, lambda e: F.transform(
+        F.filter("nodes", lambda m: m["dept_id"] == e["source_dept"]),
+        lambda m: F.struct(e["weight"].alias("w"), m[values].alias("x")))))
+
+
+def _weighted_sum(pairs, width):
+    """Per position the sum of w * x, after the sum of w itself."""
+    return F.aggregate(pairs, F.array_repeat(F.lit(0.0), width + 1), lambda acc, p: F.zip_with(
+        acc, F.concat(F.array(F.lit(1.0)), p["x"]), lambda s, x: s + p["w"] * x))
+
+
+def neighbour_hops(nodes, edges, outs, vector="feature_vector", width=10):
+    """Weighted mean of the in-neighbours' vectors, then the mean of these means and so on, one column of
+    `outs` per hop; zeros without in-edges. All hops share one exchange of the grid."""
+    out = _grid_blocks(nodes, edges)
+    for name, source in zip(outs, [vector, *outs]):
+        def mean(n, source=source):
+            total = _weighted_sum(_pulled(n["dept_id"], source), width)
+            return F.transform(F.array(total), lambda t: F.when(
+                t[0] > 0, F.transform(F.slice(t, 2, width), lambda x: x / t[0])).otherwise(F.array_repeat(F.lit(0.0), width)))[0]
+        out = out.withColumn("nodes", F.transform("nodes", lambda n: n.withField(name, mean(n))))
+    # The outer form: for `inline` the optimizer adds a filter on the array's size, which computes the array again.
+    return out.select("hospital_id", "ts", F.inline_outer("nodes")).select(*nodes.columns, *outs)
+
+
+def neighbour_mean(nodes, edges, vector="feature_vector", out="neighbour_vector", width=10):
+    """Weighted mean of the in-neighbours' vectors; zeros without in-edges."""
+    return neighbour_hops(nodes, edges, [out], vector, width)
+
+
+HEADS = "head int, w_left array<array<double>>, w_right array<array<double>>, w_edge array<double>, a array<double>"
+
+
+def heads_of(table):
+    """The heads of a parameter table with the columns of HEADS, in order of `head`: a few rows."""
+    return [{c: r[c] for c in ("w_left", "w_right", "w_edge", "a")} for r in table.orderBy("head").collect()]
+
+
+def _times(matrix, vec):
+    """Matrix times vector; None is the identity."""
     if matrix is None:
         return vec
-    return F.array(*[S.add_all([vec[c] * float(m) for c, m in enumerate(row) if m] or [F.lit(0.0)])
-                     for row in matrix])
+    rows = F.array(*[F.array(*[F.lit(float(m)) for m in row]) for row in matrix])
+    return F.transform(rows, lambda row: F.aggregate(F.zip_with(row, vec, lambda m, x: m * x), F.lit(0.0), lambda s, x: s + x))
 
 
 def graph_attention(nodes, edges, w_left=None, w_right=None, w_edge=None, a=None, slope=0.2,
-                    vector="feature_vector", width=10):
-    """Attention over in-edges: score = a . leaky_relu(Wl x_j + Wr x_i + We w_ij), softmax per
-    department and step, weighted sum of Wl x_j. Matrices are plain parameters (None: identity).
+                    vector="feature_vector", width=10, heads=None, concat=True):
+    """Attention over in-edges: score = a . leaky_relu(Wl x_j + Wr x_i + We w_ij), softmax per department
+    and step, weighted sum of Wl x_j. Matrices are plain parameters (None: identity).
 
-    The softmax is grouped by (hospital, step, department); a group holds that department's
-    in-edges, a number fixed by the graph.
+    `heads` takes several sets of parameters (see `heads_of`); their results are concatenated, or
+    averaged (`concat=False`). All heads share one exchange of the grid.
     """
-    out_width = len(w_left) if w_left else width
-    w_edge = w_edge or [1.0] * out_width
-    a = a or [1.0] * out_width
-    key = ["hospital_id", "ts", "target_dept"]
-    left = nodes.select("hospital_id", F.col("dept_id").alias("source_dept"), "ts",
-                        _project(w_left, F.col(vector), width).alias("xl"))
-    right = nodes.select("hospital_id", F.col("dept_id").alias("target_dept"), "ts",
-                         _project(w_right, F.col(vector), width).alias("xr"))
-    pairs = (left.join(edges.select(*PAIR, "weight"), ["hospital_id", "source_dept"])
-             .join(right, key))
-    pre = [F.col("xl")[k] + F.col("xr")[k] + F.col("weight") * float(w_edge[k]) for k in range(out_width)]
-    score = S.add_all([F.when(p > 0, p).otherwise(p * slope) * float(a[k]) for k, p in enumerate(pre)])
-    scored = pairs.withColumn("score", score)
-    peak = F.max("score").over(W.partitionBy(*key))
-    e = scored.withColumn("e", F.exp(F.col("score") - peak))
-    return (e.groupBy(*key).agg(
-                F.sum("e").alias("_z"), F.count("*").alias("n_edges"),
-                *[F.sum(F.col("e") * F.col("xl")[k]).alias(f"_s{k}") for k in range(out_width)])
-            .select("hospital_id", "ts", F.col("target_dept").alias("dept_id"), "n_edges",
-                    F.array(*[F.col(f"_s{k}") / F.col("_z") for k in range(out_width)]).alias("attended")))
+    heads = heads or [{"w_left": w_left, "w_right": w_right, "w_edge": w_edge, "a": a}]
+    widths = [len(h["w_left"]) if h["w_left"] else width for h in heads]
+    out = _grid_blocks(nodes.select("hospital_id", "ts", "dept_id", F.col(vector).alias("_x")), edges)
+    out = out.withColumn("nodes", F.transform("nodes", lambda n: F.struct(
+        n["dept_id"].alias("dept_id"),
+        *[_times(h["w_left"], n["_x"]).alias(f"l{k}") for k, h in enumerate(heads)],
+        *[_times(h["w_right"], n["_x"]).alias(f"r{k}") for k, h in enumerate(heads)])))
+
+    def attended(n, k, h):
+        on = [F.array(*[F.lit(float(v)) for v in (h[name] or [1.0] * widths[k])]) for name in ("w_edge", "a")]
+
+        def score(p):
+            pre = F.zip_with(F.zip_with(p["x"], n[f"r{k}"], lambda left, right: left + right), on[0], lambda s, e: s + e * p["w"])
+            return F.aggregate(F.zip_with(pre, on[1], lambda s, w: F.when(s > 0, s).otherwise(s * slope) * w),
+                               F.lit(0.0), lambda s, x: s + x)
+
+        def softmax(pairs):
+            scores = F.transform(pairs, score)
+            weights = F.transform(F.array(scores), lambda s: F.transform(s, lambda x: F.exp(x - F.array_max(s))))[0]
+            total = _weighted_sum(F.zip_with(pairs, weights, lambda p, w: F.struct(w.alias("w"), p["x"].alias("x"))), widths[k])
+            return F.transform(F.array(total), lambda t: F.when(
+                t[0] > 0, F.transform(F.slice(t, 2, widths[k]), lambda x: x / t[0])))[0]
+
+        return F.transform(F.array(_pulled(n["dept_id"], f"l{k}")), softmax)[0]
+
+    def joined(n):
+        parts = [attended(n, k, h) for k, h in enumerate(heads)]
+        if concat or len(parts) == 1:
+            return F.concat(*parts)
+        return F.transform(F.arrays_zip(*[p.alias(f"p{k}") for k, p in enumerate(parts)]),
+                           lambda z: S.add_all([z[f"p{k}"] for k in range(len(parts))]) / len(parts))
+
+    into = out.select("hospital_id", "ts", F.inline_outer(F.transform("nodes", lambda n: F.struct(
+        n["dept_id"].alias("dept_id"), F.size(_pulled(n["dept_id"], "l0")).cast("long").alias("n_edges"), joined(n).alias("attended")))))
+    return into.filter("n_edges > 0").select("hospital_id", "ts", "dept_id", "n_edges", "attended")
 
 
 def graph_sequence(sequences, edges):

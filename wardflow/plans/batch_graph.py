@@ -86,8 +86,7 @@ def _hop(view, src, out):
 @query("neighbor_mean", "SELECT hospital_id, dept_id, ts, " + ", ".join(f"a{i}, b{i}" for i in R10)
        + f" FROM ({_hop('(' + _hop('grid_1h', 'v', 'a') + ')', 'a', 'b')})", cols("a") + " " + cols("b"))
 def neighbor_mean(t):
-    one = graph.neighbour_mean(nodes(t), t.weighted_edges, out="hop1")
-    two = graph.neighbour_mean(one, t.weighted_edges, vector="hop1", out="hop2")
+    two = graph.neighbour_hops(nodes(t), t.weighted_edges, ["hop1", "hop2"])
     flat = [F.col(h)[i].alias(f"{p}{i}") for h, p in (("hop1", "a"), ("hop2", "b")) for i in R10]
     return two.select("hospital_id", "dept_id", "ts", *flat)
 
@@ -109,6 +108,39 @@ def graph_attention(t):
     return unpack(out, "attended", "g")
 
 
+# Two heads of different widths as rows of a parameter table: matrices, edge weights, attention vectors.
+HEAD_ROWS = [(0, [[((i + 2 * j) % 5 - 2) / 4 for j in R10] for i in range(3)], [[((3 * i + j) % 7 - 3) / 6 for j in R10] for i in range(3)],
+              [0.5, -1.0, 2.0], [0.7, -0.3, 0.4]),
+             (1, [[((i + j) % 3 - 1) / 2 for j in R10] for i in range(2)], [[((2 * i + j) % 4 - 1) / 5 for j in R10] for i in range(2)],
+              [1.0, 0.25], [-0.6, 0.9])]
+
+
+def _heads_sql():
+    def dot(view, row):
+        return "(" + " + ".join(f"{view}.z{i} * {m!r}::DOUBLE" for i, m in enumerate(row)) + ")"
+
+    out, at = [], 0
+    for k, left, right, edge, a in HEAD_ROWS:
+        pre = [f"({dot('j', left[i])} + {dot('i', right[i])} + e.weight * {edge[i]!r}::DOUBLE)" for i in range(len(left))]
+        score = " + ".join(f"CASE WHEN {p} > 0 THEN {p} ELSE 0.2::DOUBLE * {p} END * {w!r}::DOUBLE" for p, w in zip(pre, a))
+        xs = ", ".join(f"{dot('j', left[i])} AS x{i}" for i in range(len(left)))
+        sums = ", ".join(f"sum(exp(score - peak) * x{i}) / sum(exp(score - peak)) AS g{at + i}" for i in range(len(left)))
+        out.append(f"""(SELECT hospital_id, ts, dept_id, count(*) AS n_edges, {sums} FROM (
+ SELECT *, max(score) OVER (PARTITION BY hospital_id, ts, dept_id) AS peak FROM (
+  SELECT i.hospital_id, i.ts, i.dept_id, {xs}, {score} AS score
+  FROM zgrid_1h i JOIN wedges e ON e.hospital_id = i.hospital_id AND e.target_dept = i.dept_id
+  JOIN zgrid_1h j ON j.hospital_id = e.hospital_id AND j.dept_id = e.source_dept AND j.ts = i.ts)) GROUP BY 1, 2, 3)""")
+        at += len(left)
+    return f"SELECT * FROM {out[0]} JOIN {out[1]} USING (hospital_id, ts, dept_id, n_edges)"
+
+
+@query("graph_attention_heads", _heads_sql(), cols("g", 5))
+def graph_attention_heads(t):
+    heads = graph.heads_of(t.spark.createDataFrame(HEAD_ROWS, graph.HEADS))
+    out = graph.graph_attention(t.zgrid.drop("ordinal"), t.weighted_edges, heads=heads)
+    return unpack(out, "attended", "g", 5)
+
+
 @query("graph_sequence", """
 SELECT hospital_id, ts, n_nodes, n_steps, n_edges, load FROM (
  SELECT hospital_id, ts, count(*) AS n_nodes, CAST(max(k) AS BIGINT) AS n_steps, sum(s) AS load FROM (
