@@ -2,11 +2,12 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from wardflow.functions import scalar as S
-from wardflow.operators import features, forecast, graph, monitor, sequences, serve
+from wardflow.operators import features, forecast, graph, monitor, regression, sequences, serve
 from wardflow.sources import topology
 
 EDGES = {  # (ordinal, reversed): (base, share of the source)
@@ -253,6 +254,52 @@ def test_trained_model_scores(spark, tables):
     assert loss(pairs) <= loss(base) + 1e-9
 
 
+def _loss(p, y):
+    p = np.clip(p, 0, 1)
+    hinge = np.where((y > 0.8) & (p < 0.75), 0.8 - p, 0) + np.where((y < 0.8) & (p > 0.85), 0.2 * (p - 0.8), 0)
+    return np.mean(np.where((y > 0.8) & (p < y), 3.0, 1.0) * (p - y) ** 2) + 0.5 * np.mean(hinge)
+
+
+def test_asymmetric_fit(spark):
+    """Against numpy on the gathered rows: least squares after one round, the loss's own normal equations at the
+    end, a validation loss not above least squares, and as many jobs for four targets as for one."""
+    rnd = np.random.default_rng(5)
+    x = rnd.normal(size=(4000, 6))
+    x[:, 5] = x[:, 4]  # one feature twice: no unique solution
+    y = np.clip(0.6 + 0.3 * x[:, :1] - 0.1 * x[:, 1:2] ** 2 + rnd.normal(scale=0.2, size=(4000, 2)), 0, 1)
+    valid = np.arange(4000) % 5 == 0
+    rows = spark.createDataFrame([(a.tolist(), float(b[0]), float(b[1]), bool(v)) for a, b, v in zip(x, y, valid)],
+                                 "features array<double>, t1 double, t2 double, is_validation boolean").repartition(6)
+    design = np.column_stack([np.ones(4000), x])
+    plain, scores = regression.fit_asymmetric(rows, ["t1", "t2"], (0.0,), rounds=1)
+    for k, t in enumerate(("t1", "t2")):
+        want = np.linalg.lstsq(design[~valid], y[~valid, k], rcond=None)[0]
+        assert [plain[t].intercept, *plain[t].coefficients] == pytest.approx(want, abs=1e-8)
+        p = design[valid] @ want
+        assert scores[t][1:] == (pytest.approx(_loss(p, y[valid, k])), pytest.approx(np.abs(np.clip(p, 0, 1) - y[valid, k]).mean()), 800)
+    fitted, better = regression.fit_asymmetric(rows, ["t1", "t2"], (0.0, 0.05), rounds=6)
+    for k, t in enumerate(("t1", "t2")):
+        assert better[t][1] < scores[t][1]
+        p = design @ np.array([fitted[t].intercept, *fitted[t].coefficients])
+        assert better[t][1] == pytest.approx(_loss(p[valid], y[valid, k]))
+    alone, _ = regression.fit_asymmetric(rows, ["t1"], (0.0,), rounds=30)  # to the fixed point
+    beta = np.array([alone["t1"].intercept, *alone["t1"].coefficients])
+    z, t = design[~valid], y[~valid, 0]
+    p = z @ beta
+    w = np.where((t > 0.8) & (p < t), 3.0, 1.0)
+    gradient = z.T @ (2 * w * (p - t) + 0.5 * (0.2 * ((t < 0.8) & (p > 0.85)) - ((t > 0.8) & (p < 0.75)))) / len(t)
+    plain_p = z @ np.array([plain["t1"].intercept, *plain["t1"].coefficients])
+    before = z.T @ (2 * np.where((t > 0.8) & (plain_p < t), 3.0, 1.0) * (plain_p - t)
+                    + 0.5 * (0.2 * ((t < 0.8) & (plain_p > 0.85)) - ((t > 0.8) & (plain_p < 0.75)))) / len(t)
+    assert np.abs(gradient).max() < 0.2 * np.abs(before).max()
+
+
+def test_fit_without_rows(spark):
+    empty = spark.createDataFrame([], "features array<double>, t1 double, is_validation boolean")
+    models, scores = regression.fit_asymmetric(empty, ["t1"])
+    assert models["t1"] == regression.Linear(0.0, []) and scores["t1"][3] == 0
+
+
 def test_split_is_repeatable_and_about_a_fifth(spark, tables):
     a = forecast.split(tables.occupancy.select("hospital_id", "dept_id", "ts"))
     b = forecast.split(tables.occupancy.select("hospital_id", "dept_id", "ts").repartition(3))

@@ -2,14 +2,12 @@
 
 import json
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardflow import config as C
 from wardflow.functions import scalar as S
-from wardflow.operators import graph, monitor, sequences
+from wardflow.operators import graph, monitor, regression, sequences
 from wardflow.session import staged
 
 SERIES = ["hospital_id", "dept_id"]
@@ -104,35 +102,17 @@ def time_split(samples, share=0.8, ts="ts"):
     return samples.withColumn("is_validation", S.micros(ts) >= lo + (hi - lo) * share)
 
 
-def _fit_frame(samples):
-    return samples.select(*SERIES, "ts", array_to_vector("features").alias("features"),
-                          "is_validation", *[f"target_{h}h" for h in C.HORIZONS])
+def train_forecaster(samples, regularization=(0.0, 0.01, 0.1), rounds=4):
+    """One linear model per horizon, fitted to the congestion loss; see `regression.fit_asymmetric`.
 
-
-def train_forecaster(samples, regularization=(0.0, 0.01, 0.1)):
-    """One linear model per horizon; among the regularizations the lowest validation loss is kept.
-
-    Returns ({horizon: model}, metrics rows). Fits are distributed; the driver holds coefficients. The
-    samples are written to the shared folder once, which all fits read.
+    Returns ({horizon: model}, metrics rows). `1 + rounds` passes over the samples, which are written to the
+    shared folder once, for any number of horizons and regularizations; the driver holds sums and coefficients.
     """
-    data = staged(_fit_frame(samples), "samples")
-    train, valid = data.filter(~F.col("is_validation")), data.filter("is_validation")
-    models, metrics = {}, []
-    for h in C.HORIZONS:
-        best = None
-        for reg in regularization:
-            fit = LinearRegression(featuresCol="features", labelCol=f"target_{h}h",
-                                   predictionCol="predicted", regParam=reg).fit(train)
-            scored = (fit.transform(valid).withColumn("predicted", S.clip_unit("predicted"))
-                      .withColumn("actual", F.col(f"target_{h}h")))
-            row = scored.agg(monitor.loss_column().alias("loss"),
-                             monitor.mae_column().alias("mae"), F.count("*").alias("n")).first()
-            loss = row["loss"] if row["loss"] is not None else float("inf")
-            if best is None or loss < best[0]:
-                best = (loss, reg, row["mae"], row["n"], fit)
-        models[h] = best[4]
-        metrics.append((h, float(best[1]), float(best[0]), float(best[2] or 0.0), int(best[3])))
-    return models, metrics
+    targets = {f"target_{h}h": h for h in C.HORIZONS}
+    data = staged(samples.select("features", "is_validation", *targets), "samples")
+    models, found = regression.fit_asymmetric(data, list(targets), regularization, rounds)
+    metrics = [(h, float(found[t][0]), float(found[t][1]), float(found[t][2]), int(found[t][3])) for t, h in targets.items()]
+    return {h: models[t] for t, h in targets.items()}, metrics
 
 
 MODEL_SCHEMA = ("model_version string, trained_at timestamp_ntz, is_active boolean, horizon int, intercept double, "
@@ -154,26 +134,29 @@ def load_models(spark, path):
     return rows.join(newest, "model_version")
 
 
+def _scored(rows, coefficients):
+    """Clamped scores h<horizon> of {horizon: (intercept, coefficients)}: a few numbers, applied as columns."""
+    for h, (intercept, weights) in coefficients.items():
+        weights = F.array(*[F.lit(float(c)) for c in weights])
+        dot = F.aggregate(F.zip_with("features", weights, lambda x, w: x * w), F.lit(float(intercept)), lambda a, x: a + x)
+        rows = rows.withColumn(f"h{h}", S.clip_unit(dot))
+    return rows
+
+
 def score_saved(rows, models):
-    """Forecasts of loaded models: the coefficients are a few numbers per horizon, applied as columns."""
-    out = rows
-    for m in models.orderBy("horizon").collect():
-        weights = F.array(*[F.lit(c) for c in m["coefficients"]])
-        dot = F.aggregate(F.zip_with("features", weights, lambda x, w: x * w), F.lit(m["intercept"]), lambda a, x: a + x)
-        out = out.withColumns({f"h{m['horizon']}": S.clip_unit(dot), "model_version": F.lit(m["model_version"])})
-    return with_peak(out.drop("features"))
+    """Forecasts of loaded models, with the version that made them."""
+    loaded = models.orderBy("horizon").collect()
+    out = _scored(rows, {m["horizon"]: (m["intercept"], m["coefficients"]) for m in loaded})
+    return with_peak(out.withColumn("model_version", F.lit(loaded[-1]["model_version"])).drop("features"))
 
 
 METRICS_SCHEMA = "horizon int, reg_param double, val_loss double, val_mae double, n_validation long"
 
 
 def score_forecasts(rows, models):
-    """All departments of all hospitals in one transform: four clamped scores, peak, label."""
-    out = rows.withColumn("features", array_to_vector("features"))
-    for h, model in models.items():
-        out = model.copy({model.predictionCol: f"_p{h}"}).transform(out)
-    out = out.select(*SERIES, "ts", *[S.clip_unit(f"_p{h}").alias(f"h{h}") for h in models])
-    return with_peak(out)
+    """All departments of all hospitals in one pass: four clamped scores, peak, label."""
+    out = _scored(rows, {h: (m.intercept, m.coefficients) for h, m in models.items()})
+    return with_peak(out.select(*SERIES, "ts", *[f"h{h}" for h in models]))
 
 
 def evaluate_forecasts(pairs, keys=("horizon", "hospital_id", "dept_id")):

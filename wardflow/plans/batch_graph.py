@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from wardflow import config as C
-from wardflow.operators import forecast, graph, monitor, scans, sequences, serve
+from wardflow.operators import forecast, graph, monitor, regression, scans, sequences, serve
 from wardflow.plans.batch_flow import unpack
 from wardflow.plans.registry import query
 from wardflow.session import shared_dir, staged
@@ -226,6 +226,20 @@ def training_set(t):
     return unpack(out.drop("sequence"), "features", "f", 20)
 
 
+_ENTRY = "list_concat([1.0::DOUBLE], [" + ", ".join([f"f{i}" for i in range(20)] + _TARGETS.split()) + "])"
+
+
+@query("normal_equations", f"""
+SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, count(*) AS n, avg(z[i + 1] * z[j + 1]) AS mean FROM (
+ SELECT {_ENTRY} AS z FROM (SELECT {_OWN}, b1.v0 AS target_1h, b2.v0 AS target_2h, b4.v0 AS target_4h, b8.v0 AS target_8h
+  FROM ({_hop('zgrid_1h', 'z', 'nb')}) g """ + " ".join(
+    f"JOIN grid_1h b{h} ON b{h}.dept_id = g.dept_id AND b{h}.ts = g.ts + INTERVAL {h} HOURS" for h in C.HORIZONS)
+    + " WHERE g.ts >= (SELECT lo + INTERVAL 23 HOURS FROM span))) CROSS JOIN range(25) a(i) JOIN range(25) b(j) ON i <= j GROUP BY 1, 2", "mean")
+def normal_equations(t):
+    """What the forecaster is solved from: mean products of (1, features, targets)."""
+    return regression.second_moments(samples(t), _TARGETS.split())
+
+
 @query("split_80_20", """
 SELECT hospital_id, is_validation, count(*) AS n FROM (SELECT hospital_id, CAST('0x' || substr(md5(concat_ws('|', hospital_id, dept_id,
  CAST(epoch_us(ts) AS string))), 1, 8) AS BIGINT) % 10 < 2 AS is_validation FROM spine_1h) GROUP BY 1, 2""")
