@@ -4,6 +4,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardflow.functions import scalar as S
+from wardflow.operators import sequences
 
 # Factor per edge type; two-way types; blend of static and observed weight.
 TYPE_FACTOR = {"TRANSFER": 1.0, "SHARED_RESOURCE": 0.8, "PROXIMITY": 0.4}
@@ -41,8 +42,10 @@ def resolve_edges(edges, nodes):
 def transfer_counts(events, length_minutes=24 * 60, slide_minutes=10):
     """Transfers per pair in a sliding window.
 
-    `window(ts, 24 h, 10 min)` would copy every event 144 times before the aggregate. Here events
-    are first counted per slide ("pane"), then only the panes are copied into their windows. The
+    `window(ts, 24 h, 10 min)` would copy every event 144 times before the aggregate. Here events are first
+    counted per slide ("pane"). A pane's count enters the windows at one end and leaves them at another, so a
+    pair's sum changes at two ends per pane only; between them it is constant and is unfolded at the last, after
+    the exchange. A sum looks one length back, so a pair is dealt in blocks of time, with copied edges. The
     length must be a multiple of the slide.
     """
     if length_minutes % slide_minutes:
@@ -53,9 +56,16 @@ def transfer_counts(events, length_minutes=24 * 60, slide_minutes=10):
               .groupBy("hospital_id", F.col("source_dept_id").alias("source_dept"),
                        F.col("target_dept_id").alias("target_dept"), pane.alias("pane"))
               .agg(F.count("*").alias("n")))
-    ends = F.sequence(F.col("pane") + 1, F.col("pane") + panes)
-    return (counts.withColumn("end", F.explode(ends))
-            .groupBy(*PAIR, "end").agg(F.sum("n").alias("transfer_count"))
+    changes = counts.select(*PAIR, F.inline(F.array(
+        F.struct((F.col("pane") + 1).alias("end"), F.col("n")),
+        F.struct((F.col("pane") + 1 + panes).alias("end"), F.lit(0).cast("long").alias("n")))))
+    runs = sequences.over_blocks(changes, lambda w: {
+        "transfer_count": F.sum("n").over(w.rangeBetween(-(panes - 1), 0)),
+        "_enters": F.max("n").over(w.rangeBetween(0, 0)),
+        "_next": F.min("end").over(w.rangeBetween(1, panes))}, panes, panes, PAIR, "end", 14 * panes)
+    # Where one pane enters and another leaves at the same end, one row stands for both.
+    runs = runs.filter((F.col("transfer_count") > 0) & ((F.col("n") > 0) | (F.col("_enters") == 0)))
+    return (runs.withColumn("end", F.explode(F.sequence(F.col("end"), F.col("_next") - 1)))
             .select(*PAIR, S.from_micros(F.col("end") * step).alias("window_end"), "transfer_count"))
 
 
