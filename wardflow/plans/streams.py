@@ -14,7 +14,7 @@ from wardflow.plans.views import FLOW_DOUBLES
 from wardflow.plans.views import flow as flow_sql
 from wardflow.plans.views import flow_full
 from wardflow.session import shared_dir, tuned
-from wardflow.sources import codec, feeds, sinks, streams
+from wardflow.sources import codec, feeds, sinks, store, streams
 from wardflow.streaming import jobs, state, windows
 
 NOW = {"availableNow": True}
@@ -134,9 +134,13 @@ def sink_context_topic(t):
 
 @query("sink_feature_store", "SELECT * RENAME (window_end AS window_ts) FROM flow_10m_full", FLOW_DOUBLES)
 def sink_feature_store(t):
+    """Micro-batches are appended, then merged into the days they touch; the snapshot is read."""
     live = Live(t)
     rows = windows.patient_windows(live.patients).withColumnRenamed("window_end", "window_ts")
-    return live.to_store(rows, ["hospital_id", "dept_id", "window_ts"], "window_ts")
+    path, keys = live.dir("store"), ["hospital_id", "dept_id", "window_ts"]
+    live.run(rows, jobs.fanout(lambda df, i: store.write_batch(df, path, i)))
+    store.merge(live.main, path, keys, "window_ts")
+    return codec.without_zone(store.Snapshot(live.main, path).read(keys, "window_ts"))
 
 
 @query("fanout_batch", "SELECT 'store' AS sink, hospital_id, dept_id, window_end, arrival_count FROM flow_10m "
