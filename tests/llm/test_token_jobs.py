@@ -74,3 +74,10 @@ def test_token_file(docs, empty, vocab):
     for k in (0, one.docs - 1):
         assert file.document(k).tolist() == lib.encode(dict(TEXTS)[file.doc_ids(k, k + 1)[0]] or "", add_special_tokens=False).ids + [2]
     assert token_file.read(token_file.write(empty, vocab)).count() == 0
+
+
+def test_blocks_are_read_by_many_tasks(spark):
+    rows = spark.range(600).selectExpr("id AS doc_id", "repeat('word ', 50) AS text").coalesce(1)
+    manifest = token_file.write(rows, BYTE)
+    got = token_file.read(manifest, docs=20).selectExpr("spark_partition_id() AS task", "doc_id")
+    assert got.select("task").distinct().count() >= 8 and got.select("doc_id").distinct().count() == 600

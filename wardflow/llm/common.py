@@ -69,6 +69,12 @@ def save(uri, data):
         f.write(data)
 
 
+def spread(df, pieces):
+    """Rows that are small but each a piece of work, dealt evenly: a task each, four a core at most. The number
+    is given to Spark, which would otherwise put so few bytes into one task."""
+    return df.repartition(max(1, min(int(pieces or 0), 4 * df.sparkSession.sparkContext.defaultParallelism)))
+
+
 def held_out(doc_id):
     """Rows no model may learn from: crc32 of the id as text leaves 2 when divided by 4."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))

@@ -27,7 +27,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wardflow.llm import elias_fano, pieces
-from wardflow.llm.common import filesystem, shared_dir, ship, slices, staged
+from wardflow.llm.common import filesystem, shared_dir, ship, slices, spread, staged
 
 MAGIC = b"WFTOKEN1"
 MANIFEST = "part int, path string, docs long, ids long"
@@ -135,7 +135,7 @@ def read(manifest, docs=4096, with_ids=True):
     blocks = manifest.withColumn("before", before).select(
         "path", "before", "docs", F.explode(F.sequence(F.lit(0).cast("long"), F.col("docs") - 1, F.lit(docs).cast("long"))).alias("first"))
     blocks = blocks.select("path", "before", "first", F.least(F.col("first") + docs, "docs").alias("last"))
-    blocks = blocks.repartition("path", "first")
+    blocks = spread(blocks, manifest.agg(F.sum(F.ceil(F.col("docs") / docs))).first()[0])
 
     def run(batches):
         for batch in batches:

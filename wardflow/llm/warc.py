@@ -17,8 +17,18 @@ Defined results: null html is an empty payload; null url leaves the target out;
 as null and comes after all others when the smallest is chosen, so equal payloads of null pages alone
 are all responses; repeated rows (equal page_id and payload) are one response and revisits to it; an
 empty table gives no archives and an empty result; other columns are not stored.
+
+Archives of other writers: a record is a member that decodes to its end with its checksum, whatever follows
+it; other bytes between members are passed over. A member that begins with a WARC header and does not decode (damaged
+or cut off), is shorter than its Content-Length or does not have its payload digest is a row whose `error`
+says so; the other columns hold what is known. Records of any type are returned; what a record does not have is null.
+Digests in sha256, sha1 and md5, in hexadecimal or base32, are checked (not over transfer-encoded bodies);
+sha256 is returned as bare hexadecimal, others with their name. A WARC archive that is itself stored without
+compression in a record may be taken for records by a range that begins inside it. `archived_pages` raises where
+records are damaged or their number is not that of the manifest.
 """
 
+import base64
 import hashlib
 import uuid
 import zlib
@@ -26,12 +36,12 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from wardflow.llm.common import filesystem, shared_dir, ship, staged
+from wardflow.llm.common import filesystem, shared_dir, ship, spread, staged
 
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 RECORD = ("page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, "
-          "path string, at long")
+          "path string, at long, error string")
 
 
 def _record_id(page_id):
@@ -119,25 +129,30 @@ class _Window:
 
 
 def parse(raw):
-    """Header fields in lower case and the block of one decoded record, or None."""
+    """(header fields in lower case, block, error) of one decoded record, or None where it is none."""
     head, mark, rest = raw.partition(b"\r\n\r\n")
     lines = head.decode("utf-8", "replace").split("\r\n")
     if not mark or not lines[0].startswith("WARC/"):
         return None
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-    return fields, rest[:int(fields.get("content-length", len(rest)))]
+    size = _number(fields.get("content-length"))
+    return fields, rest if size is None else rest[:size], "shorter than its Content-Length" if size is not None and size > len(rest) else None
+
+
+def _number(text):
+    return int(text) if text is not None and text.isascii() and text.lstrip("-").isdigit() and len(text) < 19 else None
 
 
 def _header_ok(data):
     """A candidate's first bytes decode to the start of a WARC record."""
     try:
-        return zlib.decompressobj(31).decompress(data, 64).startswith(b"WARC/1.")
+        return zlib.decompressobj(31).decompress(data, 64).startswith(b"WARC/")
     except zlib.error:
         return False
 
 
 def records(path, begin, end):
-    """(offset, fields, block) of the records that start in [begin, end)."""
+    """(offset, fields, block, error) of the records that start in [begin, end)."""
     window, at = _Window(path), begin
     while at < min(end, window.size):
         data, i = window.upto(at, at + window.block)
@@ -154,63 +169,103 @@ def records(path, begin, end):
         if not _header_ok(data[i:i + 4096]):
             at += 1
             continue
-        unpack, raw, place = zlib.decompressobj(31), [], at
+        unpack, raw, place, error = zlib.decompressobj(31), [], at, None
         try:
             while not unpack.eof:
                 data, i = window.upto(place, place + 1)
                 if i >= len(data):
-                    raise EOFError
+                    error = "cut off"
+                    break
                 raw.append(unpack.decompress(data[i:]))
                 place += len(data) - i
             place -= len(unpack.unused_data)
-            found = parse(b"".join(raw))
-        except (zlib.error, EOFError):
-            found = None
-        following = window.upto(place, place + 3)
-        if found is None or following[0][following[1]:following[1] + 3] not in (MAGIC, b""):
-            at += 1  # bytes that looked like a member
+        except zlib.error as e:
+            error = f"damaged: {e}"
+        if error and not raw:
+            data, i = window.upto(at, at + 4096)
+            raw = [zlib.decompressobj(31).decompress(data[i:i + 4096], 512)]
+        found = parse(b"".join(raw))
+        if error:  # where it ends is not known: whatever follows is looked for from here
+            yield (at, *(found or ({}, b""))[:2], error)
+            at += 1
+            continue
+        if found is None:
+            at += 1  # bytes that looked like a record
             continue
         yield at, *found
         at = place
 
 
+def _digest_error(named, body):
+    """Whether a digest (algorithm:value) is that of the body; None where it is or cannot be told."""
+    kind, _, value = named.partition(":")
+    kind = kind.lower().replace("-", "")
+    if kind not in ("sha256", "sha1", "md5"):
+        return None
+    made = hashlib.new(kind, body, usedforsecurity=False).digest()
+    known = (made.hex(), base64.b32encode(made).decode().rstrip("=").lower())
+    return None if value.rstrip("=").lower() in known else "payload does not have its digest"
+
+
+def _row(path, at, fields, block, error):
+    """The columns of RECORD and the payload of a record that has one."""
+    kind, http = fields.get("warc-type"), fields.get("content-type", "").lower().startswith("application/http")
+    head, mark, body = block.partition(b"\r\n\r\n") if http else (b"", b"", block)
+    lines = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in head.split(b"\r\n"))}
+    if http and not mark:
+        head, body = block, b""
+    named = fields.get("warc-payload-digest")
+    if kind == "revisit":
+        size, body = _number(lines.get(b"content-length", b"").decode("latin-1")), None
+    else:
+        size = len(body)
+        if not error and named and b"transfer-encoding" not in lines:
+            error = _digest_error(named, body)
+    if named and named.lower().startswith("sha256:") and len(named) == 71:
+        named = named[7:].lower()
+    return (_number(fields.get("x-page-id")), fields.get("warc-target-uri"), kind, None if error else size, named,
+            _number(fields.get("x-refers-to-page")), path, at, error, None if error else body)
+
+
 def read(manifest, split=8 << 20, payload=False):
     """The records of the archives in `manifest` (path, size), one row each; payloads if asked for."""
     ship(manifest.sparkSession)
-    ranges = manifest.filter("size > 0").select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long"))).alias("begin"))
-    ranges = ranges.select("path", "begin", F.least(F.col("begin") + split, "size").alias("end")).repartition("path", "begin")
-    names = [x.split()[0] for x in RECORD.split(", ")]
+    files = manifest.filter("size > 0")
+    ranges = files.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long"))).alias("begin"))
+    ranges = spread(ranges.select("path", "begin", F.least(F.col("begin") + split, "size").alias("end")),
+                    files.agg(F.sum(F.ceil(F.col("size") / split))).first()[0])
     schema = RECORD + (", payload binary" if payload else "")
 
-    def row(path, at, fields, block):
-        head, _, body = block.partition(b"\r\n\r\n")
-        kind = fields["warc-type"]
-        size = next(int(x.split(b":")[1]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-        digest = fields["warc-payload-digest"].removeprefix("sha256:")
-        if kind == "response" and (len(body) != size or hashlib.sha256(body).hexdigest() != digest):
-            raise ValueError(f"payload damaged: {path} at {at}")
-        number = lambda k: int(fields[k]) if k in fields else None
-        values = (number("x-page-id"), fields.get("warc-target-uri"), kind, size, digest, number("x-refers-to-page"), path, at)
-        return dict(zip(names, values)) | ({"payload": body if kind == "response" else None} if payload else {})
-
     def run(batches):
         kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
         shape = pa.schema([(n, kinds[k]) for n, k in map(str.split, schema.split(", "))])
+
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), shape)], schema=shape)
+
         for batch in batches:
             for path, begin, end in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 held, size = [], 0
-                for at, fields, block in records(path, begin, end):
-                    held.append(row(path, at, fields, block))
+                for at, fields, block, error in records(path, begin, end):
+                    held.append(_row(path, at, fields, block, error)[:len(shape)])
                     size += len(block) * payload + 500
                     if size > 4 << 20:
-                        yield pa.RecordBatch.from_pylist(held, shape)
+                        yield batch_of(held)
                         held, size = [], 0
                 if held:
-                    yield pa.RecordBatch.from_pylist(held, shape)
+                    yield batch_of(held)
 
     return ranges.mapInArrow(run, schema)
 
 
 def archived_pages(pages):
-    """Writes all pages and reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    return read(write(pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """Writes all pages and reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    Raises where a record is damaged or the number of records is not the one written."""
+    manifest = write(pages)
+    found = staged(read(manifest), "records")
+    damaged, read_back = found.agg(F.min(F.when(F.col("error").isNotNull(), F.concat_ws(" ", "path", "at", "error"))), F.count("*")).first()
+    written = manifest.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+    if damaged or read_back != written:
+        raise ValueError(f"{read_back} of {written} records read; {damaged or 'none damaged'}")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
