@@ -75,6 +75,18 @@ def spread(df, pieces):
     return df.repartition(max(1, min(int(pieces or 0), 4 * df.sparkSession.sparkContext.defaultParallelism)))
 
 
+def free_names(df, *names):
+    """The names, each with as many underscores after it as it takes to be none of the columns of `df`."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def held_out(doc_id):
     """Rows no model may learn from: crc32 of the id as text leaves 2 when divided by 4."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))

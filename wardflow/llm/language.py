@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardflow.llm import pieces
-from wardflow.llm.common import held_out, ship, slices, tidy
+from wardflow.llm.common import free_names, held_out, ship, slices, tidy
 
 WINDOW, VECTOR, FILTERS, WIDTHS = 256, 8, 16, (2, 3, 4)
 
@@ -225,8 +225,9 @@ def in_known_languages(docs, network, least=0.3):
     """The rows whose text has letters and a language with a score of at least `least`."""
     if network is None:
         return docs
-    found = identify(docs, network, new=("_language", "_language_score"))
-    return found.filter((F.col("_language") != "und") & (F.col("_language_score") >= least)).select(docs.columns)
+    lang, sure = free_names(docs, "_language", "_language_score")
+    found = identify(docs, network, new=(lang, sure))
+    return found.filter((F.col(lang) != "und") & (F.col(sure) >= least)).select(docs.columns)
 
 
 def language_report(docs):

@@ -34,7 +34,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wardflow.llm import pieces
-from wardflow.llm.common import components, ship, slices, staged, tidy
+from wardflow.llm.common import components, free_names, ship, slices, staged, tidy
 from wardflow.llm.shingles import mix, shingle_set
 
 SKETCH = 1 << 18
@@ -357,5 +357,6 @@ def similar_groups(docs, size=4, num=85, den=100):
 def one_of_each_group(docs, **how):
     """The documents with the smallest doc_id of their group; rows with a null doc_id stay."""
     groups = similar_groups(docs, **how)
-    gone = groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    name, = free_names(docs, "_gone")
+    gone = groups.filter("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col(name), "left_anti")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardflow.llm import pieces
-from wardflow.llm.common import held_out, ship, slices, tidy
+from wardflow.llm.common import free_names, held_out, ship, slices, tidy
 
 STATISTICS = ("bytes", "words", "lines", "word_length", "line_length", "upper", "lower", "digit", "space", "beyond_ascii", "stop",
               "mark", "entropy", "distinct_words", "top_word", "distinct_lines", "repeated_line_bytes", "marked_words",
@@ -195,7 +195,8 @@ def of_good_quality(docs, trees, at_least=0.7):
     """The rows whose text is predicted to be of good quality."""
     if trees is None:
         return docs
-    return score(docs, trees, at_least=at_least, new=("_quality", "_good")).filter("_good = 1").select(docs.columns)
+    new = free_names(docs, "_quality", "_good")
+    return score(docs, trees, at_least=at_least, new=new).filter(F.col(new[1]) == 1).select(docs.columns)
 
 
 def quality_report(docs, labels):
