@@ -2,6 +2,13 @@
 
 Each stage works on all that its predecessor kept; `run` writes what a stage returns as Parquet to the
 shared folder and reads it back for the next one.
+
+Defined results, whatever the other columns are called (all but the last stage return the columns of their
+input): a text that is null, empty or without a letter has no language and goes with the first stage; a text of any
+length is read whole; a null doc_id is a document like any other, except that it links with nothing, so it stays among
+near duplicates; of a group of near duplicates the smallest doc_id stays, with all rows that have this id; rows that
+are equal throughout are kept or dropped alike. An empty table passes through as an empty table. Where no language or
+no quality can be learned (no labelled row outside the held-out ones), that stage keeps every document.
 """
 
 import public_tokenizers
