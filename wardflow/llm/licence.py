@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from wardflow.llm import pieces
-from wardflow.llm.common import ship, slices
+from wardflow.llm.common import ship, slices, staged
 
 WORDS, STEP = 120, 60
 
@@ -229,7 +229,7 @@ def train(docs, sample=400):
     ship(docs.sparkSession)
     rows = docs.select(F.xxhash64("doc_id", "text", F.lit(47)).alias("key"), "text").filter("text IS NOT NULL")
     # Numbers alone are ordered; texts are fetched for the chosen ones, of equal rows one.
-    chosen = rows.select("key").distinct().orderBy("key").limit(sample)
+    chosen = staged(rows.select("key").distinct().orderBy("key").limit(sample), "sample")
     lines = F.expr("slice(filter(split(text, '\\n'), x -> pmod(xxhash64(x), 4) = 0), 1, 6)")
     chosen = rows.join(chosen, "key").groupBy("key").agg(F.min(lines).alias("lines"))
     known = {p for t in TEMPLATES.values() for x in t for p in (pairs(tokens(x)),) for p in p}

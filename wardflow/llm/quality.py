@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardflow.llm import pieces
-from wardflow.llm.common import free_names, held_out, ship, slices, tidy
+from wardflow.llm.common import free_names, held_out, ship, slices, staged, tidy
 
 STATISTICS = ("bytes", "words", "lines", "word_length", "line_length", "upper", "lower", "digit", "space", "beyond_ascii", "stop",
               "mark", "entropy", "distinct_words", "top_word", "distinct_lines", "repeated_line_bytes", "marked_words",
@@ -153,7 +153,8 @@ def train(docs, labels, sample=20_000):
     spark = docs.sparkSession
     ship(spark)
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    chosen = known.orderBy(F.xxhash64("doc_id", F.lit(43)), "doc_id").limit(sample)  # at most `sample` rows of 12 bytes
+    # At most `sample` rows of 12 bytes, written: Spark knows their size and need not shuffle the texts to meet them.
+    chosen = staged(known.orderBy(F.xxhash64("doc_id", F.lit(43)), "doc_id").limit(sample), "sample")
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "quality", "text")
 
     def run(batches):
