@@ -152,3 +152,64 @@ def test_wrapped_notices(spark, docs):
     got, rows = _families(spark, docs, ["a\nb\n\n" + wrap(bsd, " * "), wrap(isc, "# ") + "\n\nx", "some words\n" + wrap(gpl, "// ")])
     assert got == [["BSD"], ["ISC"], ["GPL"]]
     assert {(r.doc_id, r.line, r.word) for r in rows} == {(0, 3, 0), (1, 0, 0), (2, 1, 0)}
+
+
+def test_names_and_choices(spark, docs):
+    texts = {"The MIT License (MIT) Copyright (c) 2020 Someone": ["MIT"], "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007": ["GPL"],
+             "under the Apache License 2.0": ["Apache"], "Dual licensed under MIT or Apache 2.0": ["Apache", "MIT"],
+             "This program is free software: you can redistribute it under the GNU GPL, either version 3 or any later version": ["GPL"],
+             "SPDX-License-Identifier: MIT": ["MIT"], "// SPDX-License-Identifier: GPL-2.0-or-later": ["GPL"], "licensed under the MPL 2.0 or GPL-2.0": ["GPL", "MPL"],
+             "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": ["CC-BY-NC"],
+             "She studied at MIT and later at Harvard": [], "the new BSD operating system": [], "an apache helicopter": [], "released under the old bridge": []}
+    got, _ = _families(spark, docs, list(texts))
+    assert got == list(texts.values())
+
+
+def test_paragraphs_are_classified_first(spark, docs):
+    model = licence.train(docs)
+    words = licence.tokens("Released under the MIT License.")
+    assert model.notices(words, 0.5, 0.7) and not model.notices(words, 1.1, 0.7)
+    model.weights = model.weights * 0  # a classifier that knows nothing finds nothing, whatever the templates say
+    model.bias = np.where(np.arange(len(model.bias)) == model.unknown, 5.0, -5.0)
+    assert not model.notices(words, 0.5, 0.7)
+
+
+def test_scan_against_a_slow_one(spark, docs):
+    """Every paragraph with all its n-grams, every template at every place, in plain loops."""
+    model, rng = licence.train(docs), np.random.default_rng(5)
+    plain = licence.tokens(" ".join(r.text for r in docs.filter("text IS NOT NULL").orderBy("doc_id").limit(20).collect()))
+    distinct = [(f, t) for f in ("MIT", "BSD", "ISC", "MPL", "Unlicense", "Proprietary") for t in licence.TEMPLATES[f]]
+    for _ in range(25):
+        words = []
+        for _ in range(rng.integers(0, 5)):
+            words += rng.choice(plain, rng.integers(0, 150)).tolist() + licence.tokens(distinct[rng.integers(len(distinct))][1])
+        words += rng.choice(plain, rng.integers(0, 200)).tolist()
+        paragraphs, s = [], 0
+        while True:
+            paragraphs.append((s, words[s:s + licence.WORDS]))
+            if s + licence.WORDS >= len(words):
+                break
+            s += licence.STEP
+        assert [s for s, _ in paragraphs] == list(licence.starts(len(words)))
+        slow, covered = set(), {}
+        for s, part in paragraphs:
+            columns = [model.index[g] for g in licence.grams(part) if g in model.index]
+            p = model.probabilities(columns)
+            for k, f in enumerate(model.families):
+                if columns and f != licence.UNKNOWN and p[k] >= 0.5 and p[k] >= p[model.unknown]:
+                    covered.setdefault(f, set()).update(range(s, s + len(part)))
+        for f, at in covered.items():
+            for template in licence.templates(f):
+                want = licence.pairs(template)
+                for i in at:
+                    own = [w if i + j in at else None for j, w in enumerate(words[i:i + licence.WORDS])]
+                    if len(want & set(zip(own, own[1:]))) >= 0.7 * len(want) - 1e-9:
+                        slow.add(f)
+        assert {f for _, _, f, _, _ in model.notices(words, 0.5, 0.7)} == slow
+
+
+def test_licences_in_repeated_and_long_rows(spark, docs):
+    long = "word " * 300_000 + "Released under the MIT License. " + "word " * 300_000
+    rows = [(1, "x. All rights reserved."), (1, "x. All rights reserved."), (None, "Licensed under CC BY 4.0."), (3, long), (4, None), (5, "")]
+    got = licence.find_notices(spark.createDataFrame(rows, "doc_id long, text string").withColumn("family", F.lit("mine")), licence.train(docs))
+    assert sorted(((r.doc_id or 0), r.family, r.line) for r in got.collect()) == [(0, "CC-BY", 0), (1, "Proprietary", 0), (1, "Proprietary", 0), (3, "MIT", 0)]
