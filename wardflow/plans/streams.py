@@ -14,7 +14,7 @@ from wardflow.plans.views import FLOW_DOUBLES
 from wardflow.plans.views import flow as flow_sql
 from wardflow.plans.views import flow_full
 from wardflow.session import shared_dir, tuned
-from wardflow.sources import codec, feeds, sinks, store, streams
+from wardflow.sources import codec, feeds, sinks, store, streams, topic_writer
 from wardflow.streaming import jobs, state, windows
 
 NOW = {"availableNow": True}
@@ -119,8 +119,8 @@ def sink_feature_topic(t):
     live = Live(t)
     topic = live.dir("topic")
     live.run(windows.patient_windows(live.patients),
-             jobs.fanout(lambda df, i: sinks.write_topic(df, topic, i)))
-    return codec.without_zone(codec.decode(t.spark.read.parquet(topic), schemas.FEATURE_WINDOW))
+             jobs.fanout(lambda df, i: topic_writer.publish_batch(df, topic, i)))
+    return codec.without_zone(codec.decode(topic_writer.read_topic(t.spark, topic), schemas.FEATURE_WINDOW))
 
 
 @query("sink_context_topic", "SELECT * FROM ctx_30m", CONTEXT_DOUBLES)
@@ -128,8 +128,8 @@ def sink_context_topic(t):
     live = Live(t)
     topic = live.dir("topic")
     live.run(windows.context_windows(live.signals),
-             jobs.fanout(lambda df, i: sinks.write_topic(df, topic, i)))
-    return codec.without_zone(codec.decode(t.spark.read.parquet(topic), schemas.CONTEXT_WINDOW))
+             jobs.fanout(lambda df, i: topic_writer.publish_batch(df, topic, i)))
+    return codec.without_zone(codec.decode(topic_writer.read_topic(t.spark, topic), schemas.CONTEXT_WINDOW))
 
 
 @query("sink_feature_store", "SELECT * RENAME (window_end AS window_ts) FROM flow_10m_full", FLOW_DOUBLES)
