@@ -171,6 +171,105 @@ def test_overdue_restarts_and_forgets(job, spark, tmp_path):
     assert {tuple(r) for r in moves.collect()} == {("f", "08"), ("z", "91")}
 
 
+class Held:
+    """One patient's state variables and timers in memory; `calls` counts what would be calls to Spark's state."""
+
+    def __init__(self):
+        self.vars, self.timers, self.calls = {}, set(), 0
+
+    def getMapState(self, name, *_):
+        return Held.Var(self, self.vars.setdefault(name, {}))
+
+    def getValueState(self, name, *_):
+        return Held.Var(self, self.vars.setdefault(name, {}), ())
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+    class Var:
+        def __init__(self, handle, values, key=None):
+            self.handle, self.values, self.key = handle, values, key
+
+        def __getattr__(self, name):
+            self.handle.calls += 1
+            return {"getValue": self.values.get, "get": lambda: self.values.get(self.key), "exists": lambda: self.key in self.values,
+                    "updateValue": self.values.__setitem__, "update": lambda v: self.values.__setitem__(self.key, v),
+                    "removeKey": lambda k: self.values.pop(k, None)}[name]
+
+
+def _reports(batches):
+    """(state, reports per batch) of one patient; a batch is (watermark in ms, rows of (us, id, expected_us or None))."""
+    from types import SimpleNamespace as Thing
+    held, processor, out = Held(), state.OverdueProcessor(), []
+    processor.init(held)
+    for now, rows in batches:
+        times = Thing(getCurrentWatermarkInMs=lambda now=now: now)
+        if rows:
+            list(processor.handleInputRows(("H1", "p"), iter([
+                Thing(event_us=us, event_id=i, dept_id="D", expected_us=until, event_type="discharge" if until is None else "arrival")
+                for us, i, until in rows]), times))
+        found = []
+        for at in sorted(t for t in held.timers if t <= now):
+            found += processor.handleExpiredTimer(("H1", "p"), times, Thing(getExpiryTimeInMs=lambda at=at: at))
+            held.timers.discard(at)
+        out.append(sorted(r.event_id for r in found))
+    return held, out
+
+
+def _overdue(rows):
+    rows = sorted(rows)
+    return sorted(i for n, (us, i, until) in enumerate(rows)
+                  if until is not None and (n + 1 == len(rows) or rows[n + 1][0] >= until))
+
+
+def test_overdue_calls_of_the_state_do_not_follow_the_rows():
+    """Thirty moves in as many days: 534 calls when every move had its own entries and timers, 8 now."""
+    day = 86_400_000_000
+    rows = [(n * day, f"{n:02d}", None if n % 3 else n * day + 3_600_000_000 * (1 + n)) for n in range(30)]
+    held, out = _reports([(0, rows), (100 * day // 1000, [])])
+    assert out == [[], _overdue(rows)] and held.calls < 20
+    assert not held.timers and not any(held.vars.values())
+
+
+def test_overdue_of_a_busy_patient():
+    """More moves than a slot takes, unsorted and in several batches: the same reports, and slots get narrower."""
+    import random
+    rnd, minute = random.Random(7), 60_000_000
+    span, batches, everything = 10 * 1440, [], []
+    for b in range(4):
+        rows = []
+        for n in range(13_000 if b % 2 == 0 else 40):
+            us = (b * span + 1 + rnd.randrange(span)) * minute + rnd.choice([0, 0, 1, 500])
+            rows.append((us, f"{b}{n:05d}", rnd.choice([None, us, us + rnd.choice([1, 5, 600]) * minute, us + 2 * span * minute])))
+        everything += rows
+        batches.append(((b * span) * minute // 1000, rows))
+    held, out = _reports(batches)
+    assert sorted(sum(out, [])) == [i for i in _overdue(everything) if next(r[2] for r in everything if r[1] == i) <= 3 * span * minute]
+    assert all(len(v[0]) <= 4_000 for v in held.vars["moves"].values()) and len(held.vars["moves"]) > 2
+    assert min(m[0] for v in held.vars["moves"].values() for m in v[0]) > 2 * span * minute  # older ones are gone
+    held, out = _reports([*batches, (10 * span * minute // 1000, [])])
+    assert sorted(sum(out, [])) == _overdue(everything)
+    assert not held.timers and not any(held.vars.values())
+
+
+def test_overdue_of_an_hour_that_comes_in_two_files(job, spark, tmp_path):
+    """A stay is reported in the batch whose watermark reaches its end exactly; the other one ends in time."""
+    folder = tmp_path / "hour"
+    put(_arrivals(spark, [(0, "a", "01", "arrival", 20.0), (1, "b", "02", "arrival", 40.0)]), folder, 0)
+    put(_arrivals(spark, [(20, "a", "03", "arrival", 1.0), (30, "b", "04", "discharge", None)]), folder, 1)
+    put(_arrivals(spark, [(100, "c", "05", "discharge", None)]), folder, 2)
+    stream = job.spark.readStream.schema(_arrivals(spark, []).schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    seen = {}
+    jobs.finish(jobs.start(state.overdue_stream(stream), lambda df, i: seen.update({i: sorted(r.event_id for r in df.collect())}),
+                           job.path("c"), "append", trigger=NOW))
+    assert [v for _, v in sorted(seen.items()) if v] == [["01"], ["03"]]
+
+
 def test_drift_over_batches_equals_one_check(job, tables):
     held, requests, seen = job.path("held"), job.path("requests"), []
     body = jobs.drift_body(job.spark, held, requests, ["hospital_id"], newest(),

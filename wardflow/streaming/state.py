@@ -1,10 +1,12 @@
 """Stateful streams: live census and overdue patients.
 
-Overdue patients come in two forms. `overdue_stream` keeps each patient's moves and due stays in map state and
-reacts through event-time timers. `overdue_body` runs per micro-batch on DataFrame operators only and
+Overdue patients come in two forms. `overdue_stream` keeps each patient's moves and due stays in map state, by slots
+of event time, and reacts through event-time timers. `overdue_body` runs per micro-batch on DataFrame operators only and
 splits every patient id by time, so it also takes a backfill in which one placeholder id holds a third of the rows.
 """
 
+from bisect import bisect_right
+
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -31,93 +33,174 @@ OVERDUE_SCHEMA = ("hospital_id string, patient_id string, dept_id string, event_
                   "arrival_us long, expected_us long")
 
 
-BUCKET = 3_600_000_000  # microseconds of event time whose moves share one state entry
-BUFFER = 1000  # rows of a patient that are put into the state together
+BUFFER = 10_000  # rows of a patient that are put into the state together
+CROWDED = 4_000  # moves in one slot from which a patient's slots become narrower
+WIDTHS = (64, 44, 42, 40, 38, 36, 34, 32)  # slots are 2 ** n microseconds wide: all time, 204 days to 72 minutes
+ALL = -2 ** 63  # where the widest slot starts
+
+
+def _in_order(move):
+    """Moves by time and id, no id first."""
+    return move[0], move[1] is not None, move[1] or ""
+
+
+def _slot(us, width):
+    return ALL if width == WIDTHS[0] else us >> width << width
 
 
 class OverdueProcessor(StatefulProcessor):
     """Reports a stay when event time passes its expected end and no other move lies before that.
 
-    State of a patient, all of it keyed by event time and expired by it:
+    Event time is cut into slots. State of a patient, keyed by the time at which a slot starts:
 
-    * `moves`: per hour, the time and id of the arrivals and discharges in it;
-    * `due`: per millisecond, the stays whose expected end it is; a timer is set on it;
-    * `spent`: per millisecond, the hours of `moves` that no stay can reach any more then; also a timer. This is
-      the state's time to live: the end of the hour and the longest expected stay of the patient (`longest`);
-      a longer one that comes later puts it off.
+    * `moves`: the time and id of the arrivals and discharges in the slot; the entry of the widest slot, `ALL`,
+      also has the width in use and, per slot in use, the first time at which something in it can be decided or dropped;
+    * `due`: the stays that begin in the slot and are not decided yet.
 
-    Rows are taken in any order and never sorted or held together: whether a stay is overdue is decided when the
-    watermark is past its end, from the few hours that it spans. Grouping, shuffle, state store and timers are
-    Spark's.
+    A call of the state costs far more than one more row in it, so a patient's rows share slots: most patients
+    have the widest only, those of a busy patient get narrower as they fill. One timer per patient is set, on the
+    first of the slots' times. When it fires, every stay that event time has passed by then is decided, and what ended
+    in time is dropped, as are the moves behind event time that belong to no open stay (the state's time to live):
+    rows to come are newer, and nothing lies between an open stay's arrival and event time.
+
+    Rows are taken in any order; a buffer of them and a slot or two are held at a time. Grouping, shuffle, state
+    store and timers are Spark's.
     """
 
     def init(self, handle):
         self._handle = handle
-        self._moves = handle.getMapState("moves", "hour long", "found array<struct<us: long, id: string>>")
-        self._due = handle.getMapState("due", "at long", "stays array<struct<us: long, id: string, dept: string, until: long>>")
-        self._spent = handle.getMapState("spent", "at long", "hours array<long>")
-        self._longest = handle.getValueState("longest", "us long")
-
-    def _append(self, state, key, new):
-        found = state.getValue((key,))
-        state.updateValue((key,), ((list(found[0]) if found else []) + new,))
-        return not found
-
-    def _expire_hour(self, hour, longest):
-        at = ((hour + 1) * BUCKET + longest) // 1000 + 1
-        self._append(self._spent, at, [hour])
-        self._handle.registerTimer(at)
-        return at
-
-    def _put(self, moves, stays, longest):
-        for hour, new in moves.items():
-            if self._append(self._moves, hour, new):
-                self._expire_hour(hour, longest)
-        for at, new in stays.items():
-            self._append(self._due, at, new)
-            self._handle.registerTimer(at)
+        self._moves = handle.getMapState("moves", "start long", "found array<struct<us: long, id: string>>, width int, "
+                                                                "slots array<struct<start: long, at: long>>")
+        self._due = handle.getMapState("due", "start long", "stays array<struct<us: long, id: string, dept: string, until: long>>")
+
+    def _open(self):
+        """Reads the entry of the widest slot; it is written by `_keep`. Returns width and slots."""
+        found, width, slots = self._moves.getValue((ALL,)) or ((), WIDTHS[0], ())
+        self._widest = [tuple(m) for m in found]
+        return width, {s[0]: s[1] for s in slots}
+
+    def _keep(self, width, slots, timer=None):
+        """Writes what `_open` read, and sets the timer in place of the one given."""
+        if not slots:
+            self._moves.removeKey((ALL,))
+            return
+        self._moves.updateValue((ALL,), (self._widest, width, list(slots.items())))
+        first = min(slots.values())
+        if first != timer:
+            if timer is not None:
+                self._handle.deleteTimer(timer)
+            self._handle.registerTimer(first)
+
+    def _found(self, start):
+        if start == ALL:
+            return self._widest
+        return [tuple(m) for m in self._moves.getValue((start,))[0]]
+
+    def _stays(self, start):
+        held = self._due.getValue((start,))
+        return [tuple(s) for s in held[0]] if held else []
+
+    def _write(self, start, moves):
+        if start == ALL:
+            self._widest = moves
+        else:
+            self._moves.updateValue((start,), (moves, None, None))
+
+    def _drop(self, slots, start, stays):
+        del slots[start]
+        if start == ALL:
+            self._widest = []
+        else:
+            self._moves.removeKey((start,))
+        if stays:
+            self._due.removeKey((start,))
+
+    def _take(self, slots, start):
+        moves, stays = self._found(start), self._stays(start)
+        self._drop(slots, start, stays)
+        return moves, stays
+
+    @staticmethod
+    def _first(moves, stays):
+        """When the first of these stays is due or the first move of no stay is behind event time."""
+        own = {(s[0], s[1]) for s in stays}
+        return min([-(-s[3] // 1000) for s in stays] + [m[0] // 1000 + 1 for m in moves if m not in own])
+
+    def _add(self, width, slots, moves, stays):
+        """Puts moves and stays into their slots; the most moves that one of these now has."""
+        new, most = {}, 0
+        for kind, items in enumerate((moves, stays)):
+            for x in items:
+                new.setdefault(_slot(x[0], width), ([], []))[kind].append(x)
+        for start, (moves, stays) in new.items():
+            at = self._first(moves, stays)
+            if start in slots:
+                at = min(at, slots[start])
+                moves = self._found(start) + moves
+                stays = stays and self._stays(start) + stays
+            slots[start] = at
+            self._write(start, moves)
+            if stays:
+                self._due.updateValue((start,), (stays,))
+            most = max(most, len(moves))
+        return most
+
+    def _put(self, width, slots, moves, stays):
+        most = self._add(width, slots, moves, stays)
+        while most > CROWDED and width > WIDTHS[-1]:
+            width = WIDTHS[WIDTHS.index(width) + 1]  # a new slot lies within the old one that it comes from
+            most = max(self._add(width, slots, *self._take(slots, start)) for start in list(slots))
+        return width
 
     def handleInputRows(self, key, rows, timerValues):
-        held = self._longest.get()[0] if self._longest.exists() else 0
-        longest, count, moves, stays = held, 0, {}, {}
+        width, slots = self._open()
+        timer = min(slots.values(), default=None)
+        moves, stays = [], []
         for m in rows:
-            moves.setdefault(m.event_us // BUCKET, []).append((m.event_us, m.event_id))
-            if m.event_type == "arrival":
-                longest = max(longest, m.expected_us - m.event_us)
-                stays.setdefault(-(-m.expected_us // 1000), []).append((m.event_us, m.event_id, m.dept_id, m.expected_us))
-            count += 1
-            if count % BUFFER == 0:
-                self._put(moves, stays, longest)
-                moves, stays = {}, {}
-        self._put(moves, stays, longest)
-        if longest > held:
-            self._longest.update((longest,))
+            moves.append((m.event_us, m.event_id))
+            if m.expected_us is not None:
+                stays.append((m.event_us, m.event_id, m.dept_id, m.expected_us))
+            if len(moves) == BUFFER:
+                width = self._put(width, slots, moves, stays)
+                moves, stays = [], []
+        if moves:
+            width = self._put(width, slots, moves, stays)
+        self._keep(width, slots, timer)
         return iter(())
 
-    def _ended(self, stay):
-        for hour in range(stay[0] // BUCKET, (stay[3] - 1) // BUCKET + 1):
-            found = self._moves.getValue((hour,))
-            if found and any((m[0], m[1]) > (stay[0], stay[1]) and m[0] < stay[3] for m in found[0]):
-                return True
-        return False
-
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        found = self._due.getValue((at,))
-        for us, event, dept, until in found[0] if found else ():
-            if not self._ended((us, event, dept, until)):
-                yield Row(hospital_id=key[0], patient_id=key[1], dept_id=dept, event_id=event, arrival_us=us, expected_us=until)
-        if found:
-            self._due.removeKey((at,))
-        found = self._spent.getValue((at,))
-        if found:
-            self._spent.removeKey((at,))
-            longest = self._longest.get()[0] if self._longest.exists() else 0
-            for hour in found[0]:
-                if ((hour + 1) * BUCKET + longest) // 1000 + 1 > at:
-                    self._expire_hour(hour, longest)
+        now = timerValues.getCurrentWatermarkInMs()
+        width, slots = self._open()
+        later = None  # the first move of the slots after this one
+        for start in sorted(slots, reverse=True):
+            if start >= now * 1000 and slots[start] > now:
+                continue
+            moves, stays = sorted(self._found(start), key=_in_order), self._stays(start)
+            order, still = [_in_order(m) for m in moves], []
+            for stay in stays:
+                us, event, dept, until = stay
+                follows = bisect_right(order, _in_order(stay))
+                next_us = moves[follows][0] if follows < len(moves) else later
+                if next_us is not None and next_us < until:
+                    continue
+                if until <= now * 1000:
+                    yield Row(hospital_id=key[0], patient_id=key[1], dept_id=dept, event_id=event, arrival_us=us, expected_us=until)
                 else:
-                    self._moves.removeKey((hour,))
+                    still.append(stay)
+            later = moves[0][0]
+            own = {(s[0], s[1]) for s in still}
+            kept = [m for m in moves if m[0] >= now * 1000 or m in own]
+            if not kept:
+                self._drop(slots, start, stays)
+                continue
+            if len(kept) < len(moves):
+                self._write(start, kept)
+            if still and len(still) < len(stays):
+                self._due.updateValue((start,), (still,))
+            elif stays and not still:
+                self._due.removeKey((start,))
+            slots[start] = self._first(kept, still)
+        self._keep(width, slots)
 
     def close(self):
         pass
@@ -129,9 +212,9 @@ def overdue_stream(events, ts="event_ts"):
     A stay without an expected length is due at once."""
     us = S.micros(ts)
     rows = (watermarked(events, ts).filter(F.col("event_type").isin("arrival", "discharge"))
-            .select("hospital_id", "patient_id", "dept_id", "event_id", "event_type", ts,
-                    us.alias("event_us"),
-                    (us + F.floor(F.coalesce("expected_los_minutes", F.lit(0.0)) * 6e7).cast("long"))
+            .select("hospital_id", "patient_id", "dept_id", "event_id", ts, us.alias("event_us"),
+                    F.when(F.col("event_type") == "arrival",  # of discharges it is null
+                           us + F.floor(F.coalesce("expected_los_minutes", F.lit(0.0)) * 6e7).cast("long"))
                     .alias("expected_us")))
     late = rows.groupBy("hospital_id", "patient_id").transformWithState(
         statefulProcessor=OverdueProcessor(), outputStructType=OVERDUE_SCHEMA,
