@@ -12,13 +12,18 @@ has d_i < v_i: equal parts where v_i is 1, parts that differ in one element at m
   chooses: segments are ranked by the frequency of their rarest shingle, as counted so far in the
   task; the costliest (empty ones, shared lines) get 0, and where the sum asks for it cheap
   segments with indexed neighbourhoods get 2.
-* Documents that share a signature are gathered under the smallest of them (its leader); every
-  candidate pair is then found among the documents of some leader. These groups are verified in
-  blocks of bounded size: a task holds two blocks, counts exact intersections and returns a
-  spanning forest of the links, never the pairs.
+* Signatures are dealt out packed, seven bytes each, by buckets of their hash. Documents that share
+  one are gathered under one of them (its leader, mostly the smallest); every candidate pair is then
+  found among the documents of some leader. Two signatures of a bucket count as one if 46 more bits
+  agree: that may add candidates, never lose one.
+* These groups are verified in blocks of bounded size: a task holds two blocks, counts exact
+  intersections and returns a spanning forest of the links, never the pairs. A document goes with its
+  smallest leader first. What is left are the groups that this neither compared in full nor joined in
+  one component; only these are compared in a second round.
 
 Exact copies are one set: they are joined by a fingerprint of the set, and a task emits signatures of
-a set once. Sets are of 64-bit hashes of the shingles.
+a set once. Sets are of 64-bit hashes of the shingles; texts travel, their sets do not, which take
+more than twice the room.
 
 Defined results: a null text or one without words has an empty set (n = 0) and is linked with
 nothing; with fewer words than the shingle size the whole sequence is one shingle; repeated rows with
@@ -30,7 +35,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Window
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from wardflow.llm import pieces
@@ -171,14 +176,55 @@ def _sets(part, size):
 
 FIRST, COPY = 1, 2  # document rows have flag -(4 * n + FIRST or COPY)
 ROWS = "sig long, other long, doc long, flag int"
-
-
-def _emit_rows(size, num, den):
-    """One pass over the texts. Signature rows: sig, doc, flag. Document rows: of sets new to the task
+PACKED = "bucket int, data binary, " + ROWS
+FLUSH, HELD = 1 << 19, 1 << 22  # signatures a task puts together before it deals them out, and takes in before it reduces them
+CODE = np.uint64((1 << 46) - 1)
+
+
+def pack(sig, doc, flag):
+    """Signatures (46 bits and two of flags) in six bytes each, documents in ascending order by steps of one byte."""
+    code = ((sig & CODE) << np.uint64(2) | flag.astype(np.uint64)).astype("<u8")
+    step = np.diff(doc, prepend=0)
+    far = (step < 0) | (step >= 255)
+    return b"".join((np.array([len(sig), far.sum()], "<i8").tobytes(), code.view(np.uint8).reshape(-1, 8)[:, :6].tobytes(),
+                     np.where(far, 255, step).astype(np.uint8).tobytes(), doc[far].astype("<i8").tobytes()))
+
+
+def unpack(data):
+    n, _ = np.frombuffer(data, "<i8", 2).tolist()
+    code = np.zeros((n, 8), np.uint8)
+    code[:, :6] = np.frombuffer(data, np.uint8, 6 * n, 16).reshape(n, 6)
+    code = code.reshape(-1).view("<u8")
+    step = np.frombuffer(data, np.uint8, n, 16 + 6 * n).astype(np.int64)
+    far, given = np.flatnonzero(step == 255), np.frombuffer(data, "<i8", -1, 16 + 7 * n)
+    step[far] = 0
+    doc = np.cumsum(step)
+    if len(far):  # from each of them on, what it says takes the place of the sum so far
+        doc += np.repeat(np.concatenate(([0], given - doc[far])), np.diff(np.concatenate(([0], far, [n]))))
+    return code >> np.uint64(2), doc, (code & np.uint64(3)).astype(np.int8)
+
+
+def _packed(found, buckets):
+    """Rows of PACKED, a bucket each, for (doc, signatures, flags) of some documents."""
+    found.sort(key=lambda x: x[0])
+    doc = np.repeat(np.array([x[0] for x in found], np.int64), [len(x[1]) for x in found])
+    sig, flag = (np.concatenate(x) for x in list(zip(*found))[1:])
+    bucket = (sig >> np.uint64(48)) % np.uint64(buckets)
+    order = np.argsort(bucket.astype(np.uint16), kind="stable")
+    sig, doc, flag, bucket = sig[order], doc[order], flag[order], bucket[order]
+    cut = np.flatnonzero(np.diff(bucket, prepend=buckets)).tolist() + [len(sig)]
+    rows = [pack(sig[a:z], doc[a:z], flag[a:z]) for a, z in zip(cut, cut[1:])]
+    none = pa.nulls(len(rows), pa.int64())
+    return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[cut[:-1]].astype(np.int32)), "data": pa.array(rows, pa.binary()),
+                                       "sig": none, "other": none, "doc": none, "flag": pa.nulls(len(rows), pa.int32())})
+
+
+def _emit_rows(size, num, den, buckets):
+    """One pass over the texts. Signatures, packed by bucket. Document rows: of sets new to the task
     sig and other are the fingerprint, else other is the task's document with the same set."""
     def run(batches):
         bands, seen = Bands(num, den), {}
-        sketch, docs = np.zeros(SKETCH, np.int64), 0
+        sketch, docs, found, waiting = np.zeros(SKETCH, np.int64), 0, [], 0
         for batch in batches:
             for part in slices(batch, "text", limit=1 << 20):
                 sets, ids = _sets(part, size), part.column("doc_id").to_pylist()
@@ -186,53 +232,95 @@ def _emit_rows(size, num, den):
                     sketch[(s & np.uint64(SKETCH - 1)).astype(np.int64)] += 1
                 docs += len(sets)
                 noise = 1.5 * sketch.sum() / SKETCH
-                found, rows = [], []
+                rows = []
                 for s, i in zip(sets, ids):
                     prints = fingerprint(s)
                     first = seen.setdefault(prints, i) if len(s) and i is not None else i
                     if not len(s) or i is None or prints in seen and first != i:
-                        rows.append((None if i is None else i * 0x9E3779B97F4A7C15 % (1 << 63), first, i, -(4 * len(s) + COPY)))
+                        rows.append((None, first, i, -(4 * len(s) + COPY)))
                         continue
                     rows.append((*prints, i, -(4 * len(s) + FIRST)))
                     cost = np.maximum(sketch[(s & np.uint64(SKETCH - 1)).astype(np.int64)] - noise, 0) / max(docs, 200)
                     sig, flag = signatures(s, bands, cost)
-                    found.append((sig, np.full(len(sig), i, np.int64), flag))
-                yield pa.RecordBatch.from_pydict({c: pa.array([r[k] for r in rows], pa.int32() if c == "flag" else pa.int64())
-                                                  for k, c in enumerate(("sig", "other", "doc", "flag"))})
-                if found:
-                    sig, doc, flag = (np.concatenate(x) for x in zip(*found))
-                    for a in range(0, len(sig), 1 << 17):
-                        z = a + (1 << 17)
-                        yield pa.RecordBatch.from_pydict({
-                            "sig": pa.array(sig[a:z].view(np.int64)), "other": pa.array(np.zeros(len(sig[a:z]), np.int64)),
-                            "doc": pa.array(doc[a:z]), "flag": pa.array(flag[a:z].astype(np.int32))})
-    return run
-
-
-def _send_sets(size):
-    """(units, text) of a document -> its set once for each unit it takes part in."""
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, "text", limit=1 << 20):
-                out = []
-                for i, units, s in zip(part.column("doc").to_pylist(), part.column("units").to_pylist(), _sets(part, size)):
-                    data = s.tobytes()
-                    out += [(u["lead"], u["a"], u["b"], u["own"], i, data) for u in units]
-                    if len(out) * len(data) > 8 << 20:
-                        yield _unit_batch(out)
-                        out = []
-                if out:
-                    yield _unit_batch(out)
+                    found.append((i, sig, flag))
+                    waiting += len(sig)
+                    if waiting >= FLUSH:
+                        yield _packed(found, buckets)
+                        found, waiting = [], 0
+                columns = {c: pa.array([r[k] for r in rows], pa.int32() if c == "flag" else pa.int64())
+                           for k, c in enumerate(("sig", "other", "doc", "flag"))}
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array((docs + np.arange(len(rows))) % buckets, pa.int32()),
+                                                  "data": pa.nulls(len(rows), pa.binary()), **columns})
+        if waiting:
+            yield _packed(found, buckets)
     return run
 
 
-UNIT = "lead long, a int, b int, own int, doc long, elements binary"
-
-
-def _unit_batch(rows):
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
-                                      names=["lead", "a", "b", "own", "doc", "elements"])
+LEAD = 4  # flag of a row that has led its signature before
+
+
+def _led(sig, doc, flag, last):
+    """((leader, document) of what shares a signature, the leaders' rows unless this is the last call)."""
+    order = np.lexsort((doc, flag < LEAD, sig))
+    sig, doc, flag = sig[order], doc[order], flag[order]
+    begin = np.flatnonzero(np.diff(sig, prepend=~sig[:1]))
+    lead = np.repeat(doc[begin], np.diff(np.append(begin, len(sig))))
+    met = np.bitwise_or.reduceat(flag, begin)
+    # Of a bucket in one piece, signatures count that are indexed by one and probed by one at least.
+    counts = np.repeat((met >= 3) if last else np.ones(len(begin), bool), np.diff(np.append(begin, len(sig))))
+    pick = counts & (lead != doc)
+    rest = None if last else (sig[begin], doc[begin], met | np.int8(LEAD))
+    return np.stack((lead[pick], doc[pick])), rest
+
+
+def _pairs(found):
+    lead, doc = np.concatenate(found, axis=1)
+    order = np.lexsort((doc, lead))
+    lead, doc = lead[order], doc[order]
+    new = np.ones(len(lead), bool)
+    new[1:] = (lead[1:] != lead[:-1]) | (doc[1:] != doc[:-1])
+    lead, doc = lead[new], doc[new]
+    for a in range(0, len(lead), 1 << 17):
+        n = len(lead[a:a + (1 << 17)])
+        yield pa.RecordBatch.from_pydict({"sig": pa.array(lead[a:a + n]), "other": pa.nulls(n, pa.int64()),
+                                          "doc": pa.array(doc[a:a + n]), "flag": pa.array(np.ones(n, np.int32))})
+
+
+def _reduce_rows(batches):
+    """Packed rows sorted by bucket -> (leader, document) as sig and doc with flag 1, and the document rows as they are.
+
+    A bucket of more than HELD signatures is reduced as it comes: every signature keeps its first leader."""
+    key, parts, held, found, many = None, [], 0, [], 0
+
+    def reduced(last):
+        nonlocal parts, held, many
+        pairs, rest = _led(*(np.concatenate(x) for x in zip(*parts)), last)
+        parts, held = ([], 0) if last else ([rest], 0)
+        if pairs.size:
+            found.append(pairs)
+            many += pairs.shape[1]
+
+    for batch in batches:
+        documents = batch.filter(pc.is_valid(batch.column("flag")))
+        if documents.num_rows:
+            yield documents.select(["sig", "other", "doc", "flag"])
+        for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("data")):
+            if not data.is_valid:
+                continue
+            if bucket != key and parts:
+                reduced(True)
+            key = bucket
+            parts.append(unpack(data.as_buffer()))
+            held += len(parts[-1][0])
+            if held >= HELD:
+                reduced(False)
+            if many >= 1 << 20:
+                yield from _pairs(found)
+                found, many = [], 0
+    if parts:
+        reduced(True)
+    if found:
+        yield from _pairs(found)
 
 
 def common_elements(sets, columns=4096):
@@ -269,12 +357,13 @@ def forest(linked):
     return out
 
 
-def _verify(num, den):
+def _verify(size, num, den):
+    """Texts sorted by (lead, a, b) -> links of every such unit."""
     def links(rows):
         ids = np.array([r[0] for r in rows])
         order = np.argsort(ids, kind="stable")
         ids, own = ids[order], np.array([rows[k][1] for k in order])
-        sets = [np.frombuffer(rows[k][2], np.uint64) for k in order]
+        sets = [rows[k][2] for k in order]
         size = np.array([len(s) for s in sets])
         if len(sets) == 2:
             both = np.zeros((2, 2), np.int64)
@@ -297,16 +386,48 @@ def _verify(num, den):
                                                   "b": pa.array([f[1] for f in found], pa.int64())})
 
         for batch in batches:
-            for lead, a, b, own, doc, elements in zip(*(batch.column(i) for i in range(6))):
-                here = (lead.as_py(), a.as_py(), b.as_py())
-                if here != key:
-                    yield from flush()
-                    key, rows = here, []
-                rows.append((doc.as_py(), own.as_py(), elements.as_py()))
+            for part in slices(batch, "text", limit=1 << 20):
+                columns = [part.column(c).to_pylist() for c in ("lead", "a", "b", "own", "doc")]
+                for lead, a, b, own, doc, s in zip(*columns, _sets(part, size)):
+                    if (lead, a, b) != key:
+                        yield from flush()
+                        key, rows = (lead, a, b), []
+                    rows.append((doc, own, s))
         yield from flush()
     return run
 
 
+def _verified(star, texts, size, num, den):
+    """Links among the documents of each leader, the leader included, of rows (lead, rep, n)."""
+    blocks = star.groupBy("lead").agg(F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    blocks = staged(blocks, "blocks")  # a table, so that the join with a leader of many documents may be split
+    members = star.select("lead", "rep").unionByName(star.select("lead", F.col("lead").alias("rep")).distinct())
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    units = members.hint("merge").join(blocks, "lead").withColumn("own", own).withColumn(
+        "j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = units.groupBy("rep").agg(F.collect_list(F.struct(
+        "lead", F.least("own", "j").alias("a"), F.greatest("own", "j").alias("b"), "own")).alias("units"))
+    # The documents in play grow with the corpus and have no proven bound: never a broadcast.
+    involved = units.hint("merge").join(texts, F.col("rep") == F.col("doc_id"))
+    sent = involved.select(F.explode("units").alias("unit"), F.col("rep").alias("doc"), "text").select("unit.*", "doc", "text")
+    return sent.repartition("lead", "a", "b").sortWithinPartitions("lead", "a", "b").mapInArrow(
+        tidy(_verify(size, num, den)), "a long, b long")
+
+
+def _open_groups(star, first, found):
+    """Rows of `star` whose leader's group has documents that neither one group of the first round compared
+    nor one component has. `first`: (rep, lead) of that round; two of one leader in it have been compared."""
+    round_ = first.select(F.col("rep").alias("node"), F.col("lead").alias("with"))
+    names = found.select("node", "root").join(round_.hint("merge"), "node", "full")
+    ends = star.select("lead", "rep").unionByName(star.select("lead", F.col("lead").alias("rep")).distinct())
+    ends = ends.hint("merge").join(names, F.col("rep") == F.col("node"), "left").select(
+        "lead", F.coalesce("root", "rep").alias("root"), F.coalesce("with", "rep").alias("with"), (F.col("with") == F.col("lead")).alias("here"))
+    groups = ends.groupBy("lead").agg(*(f(c).alias(f"{k}_{c}") for c in ("root", "with") for k, f in (("low", F.min), ("high", F.max))),
+                                      F.count("*").alias("all"), F.count_if("here").alias("compared"))
+    groups = groups.filter("low_root <> high_root AND low_with <> high_with AND all - 1 > compared").select("lead")
+    return star.hint("merge").join(staged(groups, "open"), "lead", "left_semi")
+
+
 def similar_groups(docs, size=4, num=85, den=100):
     """Components of documents whose shingle sets have |r & s| / |r | s| >= num / den.
 
@@ -315,38 +436,35 @@ def similar_groups(docs, size=4, num=85, den=100):
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select("doc_id", "text")
-    mine = Window.partitionBy("sig", "other")
-    rows = texts.mapInArrow(tidy(_emit_rows(size, num, den)), ROWS)
-    rows = rows.withColumns({"lead": F.min("doc").over(mine), "top": F.max("doc").over(mine),
-                             "all": F.expr("bit_or(flag)").over(mine)})
-    rows = staged(rows.filter("flag < 0 OR (lead < top AND all = 3)").drop("top", "all"), "signatures")
+    buckets = min(1 << 16, 1 << (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    rows = texts.mapInArrow(tidy(_emit_rows(size, num, den, buckets)), PACKED)
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_reduce_rows), ROWS)
+    rows = staged(rows, "signatures")
 
     kind, n = F.pmod(-F.col("flag"), F.lit(4)), F.floor(-F.col("flag") / 4)
-    firsts = rows.filter("flag < 0").filter(kind == FIRST).select("doc", n.cast("long").alias("n"), F.col("lead").alias("rep"))
+    firsts = rows.filter("flag < 0").filter(kind == FIRST).select("sig", "other", "doc", n.cast("long").alias("n"))
     copies = rows.filter("flag < 0").filter(kind == COPY).select("doc", n.cast("long").alias("n"), F.col("other").alias("of"))
-    one_each = firsts.groupBy("doc").agg(F.min("rep").alias("rep"), F.max("n").alias("n"))
-
-    # Signatures by set (its smallest document), the leader of each, and the leaders' groups.
-    by_set = staged(rows.filter("flag > 0").select("sig", "doc").join(one_each, "doc").groupBy("sig", "rep").agg(F.max("n").alias("n")), "parts")
-    leads = by_set.groupBy("sig").agg(F.min("rep").alias("lead"), F.max("rep").alias("top")).filter("lead < top").drop("top")
-    star = by_set.hint("merge").join(leads, "sig").filter("rep <> lead")  # a part that many sets share may be split
-    star = staged(star.select("lead", "rep", "n").distinct(), "leaders")
-    blocks = star.groupBy("lead").agg(F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = star.select("lead", "rep").unionByName(star.select("lead", F.col("lead").alias("rep")).distinct())
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    units = members.join(blocks, "lead").withColumn("own", own).withColumn(
-        "j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = units.groupBy("rep").agg(F.collect_list(F.struct(
-        "lead", F.least("own", "j").alias("a"), F.greatest("own", "j").alias("b"), "own")).alias("units"))
-
-    # The documents in play grow with the corpus and have no proven bound: never a broadcast.
-    involved = units.hint("merge").join(texts, F.col("rep") == F.col("doc_id")).select(F.col("rep").alias("doc"), "units", "text")
-    sets = involved.mapInArrow(tidy(_send_sets(size)), UNIT)
-    links = sets.repartition("lead", "a", "b").sortWithinPartitions("lead", "a", "b").mapInArrow(tidy(_verify(num, den)), "a long, b long")
+    reps = firsts.groupBy("sig", "other").agg(F.min("doc").alias("rep"))
+    firsts = staged(firsts.hint("merge").join(reps, ["sig", "other"]).select("doc", "n", "rep"), "firsts")
+    one_each = staged(firsts.groupBy("doc").agg(F.min("rep").alias("rep"), F.max("n").alias("n")), "sets")
+
+    # Documents under their leaders, both by their set (its smallest document).
+    star = rows.filter("flag > 0").select(F.col("sig").alias("lead"), "doc").repartition("doc").distinct()
+    star = star.join(one_each.hint("merge"), "doc").select("lead", "rep", "n").distinct()
+    leads = one_each.select(F.col("doc").alias("lead"), F.col("rep").alias("to"))
+    star = star.join(leads.hint("merge"), "lead").filter("to <> rep").select(F.col("to").alias("lead"), "rep", "n")
+    star = staged(star.groupBy("lead", "rep").agg(F.max("n").alias("n")), "leaders")
+
+    first = staged(star.groupBy("rep").agg(F.min("lead").alias("lead"), F.max("n").alias("n")), "first")
+    links = _verified(first, texts, size, num, den)
     # Copies: the task's first document to the smallest first one, and to the smallest copy in its task.
     links = links.unionByName(firsts.filter("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))).unionByName(
         copies.groupBy("of").agg(F.min("doc").alias("b")).filter("of <> b").select(F.col("of").alias("a"), "b"))
     found = staged(components(links), "components")
+    rest = staged(_open_groups(star, first, found), "rest")
+    if not rest.isEmpty():
+        links = _verified(rest, texts, size, num, den).unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        found = staged(components(links), "components")
 
     known = firsts.select("doc", "n", F.col("doc").alias("of")).unionByName(copies)
     known = known.join(found, F.col("of") == F.col("node"), "left")

@@ -21,6 +21,8 @@ SETTINGS = {
 # Fixed when the session starts: no Python call sites are recorded while plans are built.
 START_ONLY = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
+FREE_EXCHANGES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 UNSET_WIDTH = 200  # Spark's default number of shuffle partitions
 
 _own_dir = None
@@ -60,10 +62,16 @@ def staged(df, name):
     """The frame written once to the shared folder and read back.
 
     For a result that several later steps read: they scan the written table and do not repeat its
-    plan, and a lost executor costs a re-read. Contents are window-grain tables, not raw events.
+    plan, and a lost executor costs a re-read. Contents are window-grain tables, not raw events. The
+    exchanges behind it are freed when it is written.
     """
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    path, conf = shared_dir(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(FREE_EXCHANGES, None)
+    conf.set(FREE_EXCHANGES, "true")  # else they stay on disk until the driver happens to collect its garbage
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(FREE_EXCHANGES) if before is None else conf.set(FREE_EXCHANGES, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
